@@ -27,6 +27,8 @@ MONTH_SECONDS = 30 * 86_400
 AS_OF = datetime.date(2024, 1, 31)
 TIE = "event_id"
 
+LOG_WITH_TIE = schemas.LOG + ", event_id bigint"
+
 # The given texts have no Chinese: dictionary words are looked for in runs of letters instead.
 LETTER_RUNS = r"\p{L}+"
 DIGIT_RUNS = r"\p{N}+"
