@@ -33,13 +33,18 @@ def read_topic(
 def topic_writer(
     messages: DataFrame, topic: str | None, checkpoint: str, root: str | None = None, bootstrap: str | None = None
 ) -> DataStreamWriter:
-    """Write ``value`` to one topic or, where ``topic`` is None, to the topic each row names."""
-    if topic is not None:
+    """Write ``value`` to one topic or, where ``topic`` is None, to the topic each row names.
+
+    As folders, a topic takes one writing query: Spark logs a query's finished files in its folder.
+    """
+    if bootstrap and topic is not None:
         messages = messages.select(F.lit(topic).alias("topic"), "value")
-    writer = messages.select("topic", "value").writeStream.option("checkpointLocation", checkpoint)
-    writer = writer.outputMode("append")
+    columns = ["value"] if topic is not None and not bootstrap else ["topic", "value"]
+    writer = messages.select(*columns).writeStream.option("checkpointLocation", checkpoint).outputMode("append")
     if bootstrap:
         return writer.format("kafka").option("kafka.bootstrap.servers", bootstrap)
+    if topic is not None:
+        return writer.format("text").option("path", f"{root}/topic={topic}")
     return writer.format("text").partitionBy("topic").option("path", root)
 
 
