@@ -66,10 +66,10 @@ def test_a_late_page_is_dropped(pages, stream_of, finish):
     # Page 2 would keep page 1 from bouncing, but comes when its time is past. Spark drops rows by
     # the watermark of the micro-batch before, hence the two batches in between.
     batches = [
-        [(1, "a", 0, None, "0")],
+        [(1, "a", 1000, None, "0")],
         [(8, "b", 60_000, "home", "0")],
         [(9, "b", 61_000, "home", "0")],
-        [(2, "a", 1000, "home", "0")],
+        [(2, "a", 2000, "home", "0")],
         [closing(-1)],
     ]
     stream = stream_of(*[pages(part) for part in batches])
