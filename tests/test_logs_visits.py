@@ -55,6 +55,7 @@ def test_start_page_and_display_logs(spark):
                                 "start struct<entry:string,loading_time:bigint>, "
                                 "displays array<struct<item:string,item_type:string,`order`:int>>, ts bigint")
     assert [r.ts for r in logs.start_logs(parsed).collect()] == [1]
+    assert sorted((r.ts, r.kind) for r in logs.tag_logs(parsed).collect()) == [(1, "start"), (2, "page"), (3, "page")]
     assert ids(logs.page_logs(parsed), "ts") == [2, 3]
     shown = logs.display_logs(logs.page_logs(parsed)).collect()
     assert [(r.item, r.ts, r.page_id) for r in shown] == [("5", 2, "p"), ("6", 2, "p")]

@@ -16,9 +16,7 @@ def parse_json(lines: DataFrame, schema: str, column: str = "value", keep: list[
 
 def is_json_object(column: Column | str) -> Column:
     """True where the text is one well-formed JSON object."""
-    column = F.col(column) if isinstance(column, str) else column
-    well_formed = F.try_parse_json(column).isNotNull() & F.ltrim(column).startswith("{")
-    return F.coalesce(well_formed, F.lit(False))
+    return F.json_object_keys(column).isNotNull()
 
 
 def split_dirty(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -9,8 +9,11 @@ from tidemark.constants import TIME_FORMAT
 
 
 def text_to_time(column: Column | str) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` text as a timestamp; null where the text is not a time."""
-    return F.try_to_timestamp(column, F.lit(TIME_FORMAT))
+    """``yyyy-MM-dd HH:mm:ss`` text as a timestamp; null where the text is not a time.
+
+    A cast reads this format several times faster than a format pattern does.
+    """
+    return (F.col(column) if isinstance(column, str) else column).try_cast("timestamp")
 
 
 def text_to_millis(column: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import age_years
-from tidemark.operators.skew import HOT_ROWS, fits_broadcast, lookup_join
+from tidemark.operators.skew import fits_broadcast, lookup_join
 
 
 def enrich(
@@ -18,7 +18,7 @@ def enrich(
     columns: dict[str, Column | str],
     dim_key: str = "id",
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add columns of a dimension with one row per key.
 

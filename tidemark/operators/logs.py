@@ -38,6 +38,11 @@ def repair_new_flag(logs: DataFrame, tie: list[str]) -> DataFrame:
     return repaired.unionByName(rest)
 
 
+def tag_logs(logs: DataFrame) -> DataFrame:
+    """Add ``kind``, ``start`` or ``page``: both kinds in one pass, for a sink split by ``kind``."""
+    return logs.withColumn("kind", F.when(F.col("start").isNotNull(), "start").otherwise("page"))
+
+
 def start_logs(logs: DataFrame) -> DataFrame:
     return logs.where(F.col("start").isNotNull()).select("common", "start", "ts")
 

@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 # A key with more rows than this is spread over SALTS tasks.
 HOT_ROWS = 1_000_000
 SALTS = 32
+# Up to this size one task can take a whole table, so no key of it needs spreading.
+ONE_TASK_BYTES = 128 * 1024 * 1024
+
+
+def estimated_bytes(rows: DataFrame) -> int:
+    """Spark's own size estimate, from file sizes; very large where it knows nothing."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits_broadcast(rows: DataFrame) -> bool:
-    """Whether Spark's own size estimate is within the session's broadcast threshold."""
+    """Whether the size estimate is within the session's broadcast threshold."""
     limit = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return limit > 0 and int(str(size)) <= limit
+    return limit > 0 and estimated_bytes(rows) <= limit
 
 
 def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -37,7 +43,7 @@ def spread_join(
     one: DataFrame,
     keys: list[str],
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """``many.join(one, keys, how)`` with the rows of hot keys spread over several tasks.
@@ -46,9 +52,16 @@ def spread_join(
     ``one`` are repeated once per salt. All other keys have the single salt 0. Every pair meets
     exactly once, so the result is that of the plain join. ``how`` is ``inner`` or ``left``.
     Batch only: counting keys needs the whole input.
+
+    Without ``hot_rows`` a key is hot above ``HOT_ROWS``, and a ``many`` small enough for one task
+    is joined plainly.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how!r}")
+    if hot_rows is None:
+        if estimated_bytes(many) <= ONE_TASK_BYTES:
+            return many.join(one, keys, how)
+        hot_rows = HOT_ROWS
     hot = F.broadcast(hot_keys(many, keys, hot_rows).withColumn("is_hot", F.lit(True)))
     own_salt = F.pmod(_content_hash(many), F.lit(salts)).cast("int")
     spread = F.col("is_hot").isNotNull()
@@ -73,7 +86,7 @@ def lookup_join(
     lookup: DataFrame,
     keys: list[str],
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join to a lookup table with unique keys: broadcast if it is small, spread otherwise."""
     if fits_broadcast(lookup):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import create_date, create_hour, text_to_time
-from tidemark.operators.skew import HOT_ROWS, spread_join
+from tidemark.operators.skew import spread_join
 
 
 def interval_join(
@@ -17,7 +17,7 @@ def interval_join(
     right_time: str,
     lower: str,
     upper: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Inner join on ``key`` where ``right_time - left_time`` lies in ``[lower, upper]``.
 
@@ -78,7 +78,7 @@ def order_wide(
     lower: str = "-5 seconds",
     upper: str = "5 seconds",
     watermark: str = "0 seconds",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per order detail that lies within the band around its order's time."""
     left = with_event_time(orders, watermark=watermark).select(
@@ -103,7 +103,7 @@ def payment_wide(
     lower: str = "-5 seconds",
     upper: str = "15 minutes",
     watermark: str = "0 seconds",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per paid order detail.
 

@@ -217,22 +217,15 @@ def _parsed(spark, sf_dir):
 
 def log_split(spark, sf_dir):
     """Start and page logs from text lines, dirty lines left out."""
-    parsed = _parsed(spark, sf_dir)
-    starts = logs.start_logs(parsed).select(
-        F.lit("start").alias("kind"),
+    tagged = logs.tag_logs(_parsed(spark, sf_dir))
+    is_start = F.col("kind") == "start"
+    return tagged.select(
+        "kind",
         F.col("common.mid").alias("mid"),
         "ts",
-        F.col("start.entry").alias("detail"),
-        F.col("start.loading_time").alias("millis"),
+        F.when(is_start, F.col("start.entry")).otherwise(F.col("page.page_id")).alias("detail"),
+        F.when(is_start, F.col("start.loading_time")).otherwise(F.col("page.during_time")).alias("millis"),
     )
-    pages = logs.page_logs(parsed).select(
-        F.lit("page").alias("kind"),
-        F.col("common.mid").alias("mid"),
-        "ts",
-        F.col("page.page_id").alias("detail"),
-        F.col("page.during_time").alias("millis"),
-    )
-    return starts.unionByName(pages)
 
 
 def display_explode(spark, sf_dir):

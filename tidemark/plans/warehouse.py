@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import dims, facts, stats, visits, wide
 from tidemark.plans import inputs
+from tidemark.session import scratch_path
 
 SIX_HOURS_MS = 6 * 3_600_000
 # One event in a median of seven hours per user: a bounce is judged over hours, not seconds.
@@ -76,15 +77,21 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.payment_info(inputs.table(spark, sf_dir, "orders"))
 
 
-def plain_payment_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide.payment_wide(plain_order_wide(spark, sf_dir), payments(spark, sf_dir))
-
-
 def payment_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.payment_wide(order_wide(spark, sf_dir), payments(spark, sf_dir))
 
 
+def _stored(rows: DataFrame, label: str) -> DataFrame:
+    """Rows written to the shared folder and read back, for rows that are read more than once."""
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def product_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven kinds of fact. Wide orders are joined once and feed two of them."""
+    orders = _stored(plain_order_wide(spark, sf_dir), "order-wide")
+    paid = wide.payment_wide(orders, payments(spark, sf_dir))
     events = inputs.table(spark, sf_dir, "events")
     lineitem = inputs.table(spark, sf_dir, "lineitem")
     log = inputs.page_log(events)
@@ -93,8 +100,8 @@ def product_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         facts.display_facts(log),
         facts.favor_facts(inputs.favor_info(events)),
         facts.cart_facts(inputs.cart_info(events)),
-        facts.order_facts(plain_order_wide(spark, sf_dir)),
-        facts.payment_facts(plain_payment_wide(spark, sf_dir)),
+        facts.order_facts(orders),
+        facts.payment_facts(paid),
         facts.refund_facts(inputs.order_refund_info(lineitem)),
         facts.comment_facts(inputs.comment_info(lineitem)),
     )
