@@ -1,5 +1,7 @@
 import json
 
+from conftest import rows_of
+
 from pyspark.sql import functions as F
 
 from tidemark.constants import BUSINESS_CODES
@@ -129,3 +131,15 @@ def test_change_lines_and_rules(spark, scratch):
     path = scratch("rules")
     spark.createDataFrame([('{"sourceTable":"t","operateType":"insert","sinkTable":"s"}',)], "value string").write.text(path)
     assert change_source.read_rules(spark, path).first().sinkPk == "id"
+
+
+def test_the_sql_table_function_splits_like_the_operator(spark):
+    dictionary = words(spark, "手机", "手", "小米")
+    rows = spark.createDataFrame(
+        [(1, "小米手机 K30"), (2, "天地"), (3, "手机手机"), (4, None), (5, "天地")], "id int, keyword string"
+    )
+    rows.createOrReplaceTempView("searches")
+    keywords.register_split_function(spark, dictionary)
+    found = spark.sql("SELECT id, word FROM searches, LATERAL split_keyword(keyword)")
+    expected = keywords.split_keywords(rows, "keyword", dictionary).select("id", "word")
+    assert rows_of(found) == rows_of(expected) and expected.count() == 10

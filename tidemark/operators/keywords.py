@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import millis_to_time
@@ -131,3 +131,41 @@ def keyword_stats(
     ``foreachBatch`` and apply ``word_counts`` there (``tidemark.streaming.jobs``).
     """
     return word_counts(keyword_counts(keywords, window), dictionary, dictionary_runs, word_runs, source)
+
+
+def register_split_function(spark: SparkSession, dictionary: DataFrame, name: str = "split_keyword") -> None:
+    """Make ``split_keywords`` a SQL table function for lateral joins.
+
+    ``SELECT word, rt FROM searches, LATERAL split_keyword(keyword)`` gives one row per word. The
+    function is SQL itself, so Spark plans it as joins and runs no Python per row.
+    """
+    words = f"{name}_dictionary"
+    dictionary.select("word").distinct().createOrReplaceTempView(words)
+    longest = longest_word(dictionary)
+    word_runs, han_runs = (pattern.replace("\\", "\\\\") for pattern in (WORD_RUNS, HAN_RUNS))
+    spark.sql(
+        f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(keyword STRING) RETURNS TABLE (word STRING) RETURN
+        SELECT explode(IF(size(found) > 0, found, array(whole))) AS word
+        FROM (
+          SELECT collect_list(word) AS found, max(whole) AS whole
+          FROM (
+            SELECT NULL AS word, keyword AS whole
+            UNION ALL
+            SELECT explode(regexp_extract_all(lower(keyword), '{word_runs}', 0)), NULL
+            UNION ALL
+            SELECT tried.word, NULL
+            FROM (
+              SELECT explode(flatten(transform(
+                regexp_extract_all(lower(keyword), '{han_runs}', 0),
+                run -> flatten(transform(
+                  sequence(1, length(run)),
+                  start -> transform(
+                    sequence(1, least({longest}, length(run) - start + 1)),
+                    size -> substr(run, start, size))))))) AS word
+            ) AS tried JOIN {words} AS known ON tried.word = known.word
+          )
+        )
+        WHERE whole IS NOT NULL
+        """
+    )

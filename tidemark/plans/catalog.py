@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import records
+from tidemark.functions import records, times
 from tidemark.functions.times import time_to_text
-from tidemark.operators import changes, facts, keywords, logs, serving, stats
+from tidemark.operators import changes, facts, keywords, logs, serving, stats, visits, wide
 from tidemark.operators.latest import latest_rows
 from tidemark.plans import inputs, streams, warehouse
 from tidemark.session import scratch_path
@@ -256,6 +256,67 @@ def user_age(spark, sf_dir):
     return warehouse.with_user(orders, spark, sf_dir)
 
 
+def order_fill(spark, sf_dir):
+    """Wide orders without their order fields, filled from other rows of the same detail."""
+    rows = warehouse.plain_order_wide(spark, sf_dir).select(
+        "order_id", "order_status", "user_id", "total_amount", "split_total_amount"
+    )
+    odd = F.col("order_id") % 2 == 1
+    missing = rows.withColumns(
+        {
+            "order_status": F.when(odd, F.col("order_status")),
+            "user_id": F.when(~odd, F.col("user_id")),
+            "split_total_amount": F.when(odd, F.col("split_total_amount")),
+        }
+    )
+    orders = inputs.order_info(inputs.table(spark, sf_dir, "orders")).withColumnRenamed("id", "order_id")
+    return plain(wide.fill_from(missing, orders, ["order_id"]))
+
+
+def province_rows(spark, sf_dir):
+    rows = warehouse.with_province(warehouse.plain_order_wide(spark, sf_dir), spark, sf_dir)
+    return plain(facts.province_facts(rows).drop("ts"))
+
+
+def wide_json(spark, sf_dir):
+    """Wide orders as JSON messages, read back."""
+    rows = warehouse.plain_order_wide(spark, sf_dir).drop("rt")
+    lines = records.to_json_lines(rows)
+    back = records.parse_json(lines, "detail_id bigint, order_id bigint, create_time string, split_total_amount decimal(18,2)")
+    return plain(back)
+
+
+def time_parts(spark, sf_dir):
+    """Order times as text, number, day and hour."""
+    orders = inputs.order_info(inputs.table(spark, sf_dir, "orders"))
+    time = times.text_to_time("create_time")
+    return orders.select(
+        "id",
+        "create_time",
+        times.text_to_millis("create_time").alias("millis"),
+        times.millis_to_text(times.text_to_millis("create_time")).alias("again"),
+        times.day_number(time).alias("day_number"),
+        F.hour(time).alias("hour"),
+        times.create_date("create_time").alias("create_date"),
+        times.create_hour("create_time").alias("create_hour"),
+    )
+
+
+def unique_visit_second(spark, sf_dir):
+    """One visit per visitor and second."""
+    return _page_columns(visits.unique_visits(warehouse.pages(spark, sf_dir), [inputs.TIE], "second"))
+
+
+def sql_keyword_split(spark, sf_dir):
+    """Searches split by the SQL table function in a lateral join."""
+    found = keywords.search_keywords(inputs.search_pages(inputs.table(spark, sf_dir, "conversations")))
+    found.createOrReplaceTempView("searched_keywords")
+    keywords.register_split_function(spark, inputs.dictionary(inputs.table(spark, sf_dir, "benchmark")))
+    return spark.sql(
+        "SELECT ts, word FROM searched_keywords, LATERAL split_keyword(keyword)"
+    )
+
+
 # Database changes
 
 
@@ -365,6 +426,10 @@ def stream_order_wide(spark, sf_dir):
     return plain(streams.order_wide(spark, sf_dir).drop("rt"))
 
 
+def stream_payment_wide(spark, sf_dir):
+    return plain(streams.payment_wide(spark, sf_dir).drop("rt"))
+
+
 def stream_cdc_route(spark, sf_dir):
     """Dimension rows as readers of the routed stream see them."""
     _, dimensions = streams.routed_changes(spark, sf_dir)
@@ -420,6 +485,12 @@ QUERIES: dict[str, Query] = {
     "payment_wide": payment_wide,
     "dim_enrich": dim_enrich,
     "user_age": user_age,
+    "order_fill": order_fill,
+    "province_rows": province_rows,
+    "wide_json": wide_json,
+    "time_parts": time_parts,
+    "unique_visit_second": unique_visit_second,
+    "sql_keyword_split": sql_keyword_split,
     "cdc_normalise": cdc_normalise,
     "cdc_route": cdc_route,
     "cdc_project": cdc_project,
@@ -433,6 +504,7 @@ QUERIES: dict[str, Query] = {
     "stream_new_flag": stream_new_flag,
     "stream_unique_visit": stream_unique_visit,
     "stream_order_wide": stream_order_wide,
+    "stream_payment_wide": stream_payment_wide,
     "stream_cdc_route": stream_cdc_route,
     "stream_topics": stream_topics,
     "stream_window_update": stream_window_update,

@@ -310,6 +310,19 @@ _ORDER_WIDE = f"""WITH {_ORDERS}, {_PRODUCTS}, {_PROVINCES}, {_USERS}
          spu_id, spu_name, tm_id, tm_name, category3_id, category3_name
   FROM ordered JOIN users USING (user_id) JOIN provinces USING (province_id) JOIN products USING (sku_id)"""
 
+_PAYMENT_WIDE = f"""WITH {_ORDERS}, {_PRODUCTS}, {_PROVINCES}, {_USERS}
+  SELECT order_id AS payment_id, subject, CASE WHEN paid_status = 'F' THEN '1101' ELSE '1102' END AS payment_type,
+         {_text('paid_s')} AS payment_create_time, {_text('paid_s + 1')} AS callback_time,
+         detail_id, order_id, sku_id, CAST(amount AS DOUBLE) AS order_price, sku_num, sku_name,
+         CAST(discount AS DOUBLE) AS split_activity_amount, CAST(tax AS DOUBLE) AS split_coupon_amount,
+         CAST(amount AS DOUBLE) AS split_total_amount, province_id, order_status, paid_user AS user_id,
+         CAST(paid_amount AS DOUBLE) AS total_amount, CAST(0 AS DOUBLE) AS activity_reduce_amount,
+         CAST(0 AS DOUBLE) AS coupon_reduce_amount, CAST(total_amount AS DOUBLE) AS original_total_amount,
+         CAST(order_id % 20 AS DOUBLE) AS feight_fee, {_text('s')} AS order_create_time,
+         user_age, user_gender, province_name, province_area_code, province_iso_code, province_3166_2_code,
+         spu_id, spu_name, tm_id, tm_name, category3_id, category3_name
+  FROM paid JOIN users USING (user_id) JOIN provinces USING (province_id) JOIN products USING (sku_id)"""
+
 _DIM_LATEST = f"""WITH {_CHANGES}
   SELECT sinkTable, pk, max(seq) AS seq, max_by(c_name, seq) AS c_name FROM (
     SELECT sink AS sinkTable, id AS pk, seq, name AS c_name FROM routed WHERE output = 'dimension'
@@ -417,24 +430,40 @@ ORACLES: dict[str, str] = {
       FROM (SELECT *, unnest(range(1, k % 4 + 1)) AS i FROM pages
             WHERE page_id <> 'home' AND NOT ({_BROKEN}))""",
     "order_wide": _ORDER_WIDE,
-    "payment_wide": f"""WITH {_ORDERS}, {_PRODUCTS}, {_PROVINCES}, {_USERS}
-      SELECT order_id AS payment_id, subject, CASE WHEN paid_status = 'F' THEN '1101' ELSE '1102' END AS payment_type,
-             {_text('paid_s')} AS payment_create_time, {_text('paid_s + 1')} AS callback_time,
-             detail_id, order_id, sku_id, CAST(amount AS DOUBLE) AS order_price, sku_num, sku_name,
-             CAST(discount AS DOUBLE) AS split_activity_amount, CAST(tax AS DOUBLE) AS split_coupon_amount,
-             CAST(amount AS DOUBLE) AS split_total_amount, province_id, order_status, paid_user AS user_id,
-             CAST(paid_amount AS DOUBLE) AS total_amount, CAST(0 AS DOUBLE) AS activity_reduce_amount,
-             CAST(0 AS DOUBLE) AS coupon_reduce_amount, CAST(total_amount AS DOUBLE) AS original_total_amount,
-             CAST(order_id % 20 AS DOUBLE) AS feight_fee, {_text('s')} AS order_create_time,
-             user_age, user_gender, province_name, province_area_code, province_iso_code, province_3166_2_code,
-             spu_id, spu_name, tm_id, tm_name, category3_id, category3_name
-      FROM paid JOIN users USING (user_id) JOIN provinces USING (province_id) JOIN products USING (sku_id)""",
+    "payment_wide": _PAYMENT_WIDE,
     "dim_enrich": f"""WITH {_ORDERS}, {_PRODUCTS}
       SELECT spu_name, tm_name, category3_name, CAST(sum(amount) AS DOUBLE) AS amount,
              CAST(sum(sku_num) AS BIGINT) AS sku_num, count(*) AS rows
       FROM details JOIN products USING (sku_id) GROUP BY 1, 2, 3""",
     "user_age": f"""WITH {_USERS}
       SELECT o_orderkey AS id, user_id, user_age, user_gender FROM orders JOIN users ON o_custkey = user_id""",
+    "order_fill": f"""WITH {_ORDERS}
+      SELECT order_id, order_status, user_id, CAST(total_amount AS DOUBLE) AS total_amount,
+             CASE WHEN order_id % 2 = 1 THEN CAST(amount AS DOUBLE) END AS split_total_amount FROM ordered""",
+    "province_rows": f"""WITH {_ORDERS}, {_PROVINCES}
+      SELECT province_id, province_name, province_area_code, province_iso_code, province_3166_2_code,
+             CAST(amount AS DOUBLE) AS order_amount, CAST(1 AS BIGINT) AS order_count
+      FROM ordered JOIN provinces USING (province_id)""",
+    "wide_json": f"""WITH {_ORDERS}
+      SELECT detail_id, order_id, {_text('s')} AS create_time, CAST(amount AS DOUBLE) AS split_total_amount
+      FROM ordered""",
+    "time_parts": f"""WITH {_ORDERS}
+      SELECT order_id AS id, {_text('s')} AS create_time, s * 1000 AS millis, {_text('s')} AS again,
+             CAST(strftime(make_timestamp(s * 1000000), '%Y%m%d') AS INTEGER) AS day_number,
+             CAST(hour(make_timestamp(s * 1000000)) AS INTEGER) AS hour,
+             strftime(make_timestamp(s * 1000000), '%Y-%m-%d') AS create_date,
+             strftime(make_timestamp(s * 1000000), '%H') AS create_hour
+      FROM orders_in""",
+    "unique_visit_second": f"""WITH {_PAGES}
+      SELECT {_PAGE_COLUMNS} FROM (
+        SELECT *, row_number() OVER (PARTITION BY mid, ts // 1000 ORDER BY ts, event_id) AS n
+        FROM pages WHERE last_page_id IS NULL) WHERE n = 1""",
+    "sql_keyword_split": r"""
+      WITH tokens AS (
+        SELECT (1704067200 + (conv_id * 3600) % 2592000 + turn * 60) * 1000 AS ts, text,
+               regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS found
+        FROM conversations WHERE role = 'user' AND text IS NOT NULL)
+      SELECT ts, unnest(CASE WHEN len(found) > 0 THEN found ELSE [text] END) AS word FROM tokens""",
     "cdc_normalise": f"""WITH {_CHANGES}
       SELECT 'shop' AS database, tab AS "tableName", type, seq,
              CAST(CASE WHEN seq % 4 >= 2 THEN width ELSE 0 END AS INTEGER) AS before_columns,
@@ -468,6 +497,7 @@ ORACLES: dict[str, str] = {
     "stream_unique_visit": f"""WITH {_VISITS}
       SELECT mid, CAST(CAST(make_timestamp(ts * 1000) AS DATE) AS VARCHAR) AS day FROM visits""",
     "stream_order_wide": _ORDER_WIDE,
+    "stream_payment_wide": _PAYMENT_WIDE,
     "stream_cdc_route": f"""WITH {_CHANGES}
       SELECT sink AS "sinkTable", id AS pk, max(seq) AS seq, max_by(name, seq) AS c_name
       FROM routed WHERE output = 'dimension' GROUP BY 1, 2""",

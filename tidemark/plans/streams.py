@@ -88,7 +88,7 @@ def unique_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run_bounces(spark: SparkSession, sf_dir: str) -> str:
     found = processors.bounces_stream(
-        page_stream(spark, sf_dir), inputs.TIE, warehouse.BOUNCE_GAP_MS, warehouse.BOUNCE_CHUNK_MS
+        page_stream(spark, sf_dir), inputs.TIE, warehouse.BOUNCE_GAP_MS, warehouse.STREAM_CHUNK_MS
     )
     return run(found, "bounce")
 
@@ -126,6 +126,12 @@ def _run_payment_wide(spark: SparkSession, sf_dir: str, orders_path: str) -> str
     return run(wide.payment_wide(orders, payments), "payment-wide")
 
 
+def payment_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide orders, then payments, as two streams one after the other; then the dimensions."""
+    rows = read(spark, _run_payment_wide(spark, sf_dir, _run_order_wide(spark, sf_dir)))
+    return warehouse.with_payment_dimensions(rows, spark, sf_dir)
+
+
 def product_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three jobs: wide orders, wide payments, then the union of all facts."""
     orders_path = _run_order_wide(spark, sf_dir)

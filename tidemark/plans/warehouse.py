@@ -12,6 +12,8 @@ SIX_HOURS_MS = 6 * 3_600_000
 # One event in a median of seven hours per user: a bounce is judged over hours, not seconds.
 BOUNCE_GAP_MS = SIX_HOURS_MS
 BOUNCE_CHUNK_MS = 24 * 3_600_000
+# A stream pays per chunk and visitor, and visitors here have few pages a day.
+STREAM_CHUNK_MS = 10 * BOUNCE_CHUNK_MS
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +83,11 @@ def payment_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.payment_wide(order_wide(spark, sf_dir), payments(spark, sf_dir))
 
 
+def with_payment_dimensions(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimensions of wide payments that were joined without them."""
+    return with_product(with_province(with_user(rows, spark, sf_dir), spark, sf_dir), spark, sf_dir)
+
+
 def _stored(rows: DataFrame, label: str) -> DataFrame:
     """Rows written to the shared folder and read back, for rows that are read more than once."""
     path = scratch_path(rows.sparkSession, label)

@@ -110,8 +110,8 @@ class BounceFinder(StatefulProcessor):
         self.pages = handle.getListState("pages", PAGE_SCHEMA)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if not self.pages.exists():
-            self.handle.registerTimer((int(key[1]) + 1) * self.chunk_ms + self.gap_ms)
+        # The same time for every page of the chunk, so registering it again changes nothing.
+        self.handle.registerTimer((int(key[1]) + 1) * self.chunk_ms + self.gap_ms)
         columns = ["ts", "tie", "is_entry", "is_own", "payload"]
         for pages in rows:
             self.pages.appendList(list(zip(*[pages[name].tolist() for name in columns])))
