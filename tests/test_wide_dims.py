@@ -161,3 +161,32 @@ def test_products_do_not_depend_on_the_way_they_are_joined(spark, scratch):
 def test_schemas_are_valid(spark):
     for name in ("LOG", "CHANGE", "RULE", "ORDER_INFO", "ORDER_DETAIL", "PAYMENT_INFO", "SENSOR"):
         assert spark.createDataFrame([], getattr(schemas, name)).count() == 0
+
+
+def test_hot_keys_may_be_counted_on_another_table(spark, skewed):
+    many, one = skewed
+    joined = many.withColumn("w", F.col("id") + 1).where("id > 5")
+    spread = skew.spread_join(joined, one, ["k"], hot_rows=10, salts=8, counted=many.select("k"))
+    assert rows_of(spread) == rows_of(joined.join(one, "k"))
+
+
+def test_a_table_one_task_can_take_is_joined_plainly(spark, skewed):
+    many, one = skewed
+    plan = skew.spread_join(many, one, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" not in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_lookup_beyond_the_broadcast_size_is_spread(spark, skewed, how, monkeypatch):
+    many, one = skewed
+    expected = rows_of(many.join(one, "k", how))
+    monkeypatch.setattr(skew, "ONE_TASK_BYTES", 0)
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        spread = skew.lookup_join(many, one, ["k"], how, counted=many)
+        assert "salt" in spread._jdf.queryExecution().optimizedPlan().toString()
+        assert rows_of(spread) == expected
+        assert rows_of(skew.lookup_join(many, one, ["k"], how)) == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

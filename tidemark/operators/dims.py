@@ -18,25 +18,33 @@ def enrich(
     columns: dict[str, Column | str],
     dim_key: str = "id",
     how: str = "inner",
-    hot_rows: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add columns of a dimension with one row per key.
 
     ``columns`` maps the new fact column to a dimension column or expression; a fact column of
     the same name is replaced. Facts with an unknown key are dropped unless ``how='left'``.
-    Dimensions may hold their key as text: it is cast to the fact's key type.
+    Dimensions may hold their key as text: it is cast to the fact's key type. ``counted`` is a
+    table to find hot keys in, for dimensions too large to broadcast (see ``skew.lookup_join``).
     """
     wanted = [(F.col(source) if isinstance(source, str) else source).alias(name) for name, source in columns.items()]
     key_type = facts.schema[key].dataType
     lookup = dim.select(F.col(dim_key).try_cast(key_type).alias(key), *wanted)
     facts = facts.drop(*[name for name in columns if name in facts.columns])
-    return lookup_join(facts, lookup, [key], how, hot_rows)
+    return lookup_join(facts, lookup, [key], how, counted)
 
 
-def with_user(facts: DataFrame, users: DataFrame, as_of: datetime.date | None = None, how: str = "inner") -> DataFrame:
+def with_user(
+    facts: DataFrame,
+    users: DataFrame,
+    as_of: datetime.date | None = None,
+    how: str = "inner",
+    counted: DataFrame | None = None,
+) -> DataFrame:
     """Age on ``as_of`` (today if left out) and gender of the user."""
     day = F.current_date() if as_of is None else F.lit(as_of)
-    return enrich(facts, users, "user_id", {"user_age": age_years("birthday", day), "user_gender": "gender"}, how=how)
+    columns = {"user_age": age_years("birthday", day), "user_gender": "gender"}
+    return enrich(facts, users, "user_id", columns, how=how, counted=counted)
 
 
 def with_province(facts: DataFrame, provinces: DataFrame, how: str = "inner") -> DataFrame:
@@ -63,6 +71,7 @@ def with_product(
     category3: DataFrame,
     with_price: bool = False,
     how: str = "inner",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Names and ids of the product levels above ``sku_id``.
 
@@ -79,4 +88,5 @@ def with_product(
         return _with_levels(enrich(facts, sku, "sku_id", columns, how=how), spu, trademark, category3, how)
     products = sku.select(F.col("id"), *[source.alias(name) for name, source in columns.items()])
     products = _with_levels(products, spu, trademark, category3, how)
-    return enrich(facts, products, "sku_id", {name: name for name in products.columns if name != "id"}, how=how)
+    wanted = {name: name for name in products.columns if name != "id"}
+    return enrich(facts, products, "sku_id", wanted, how=how, counted=counted)

@@ -45,6 +45,7 @@ def spread_join(
     how: str = "inner",
     hot_rows: int | None = None,
     salts: int = SALTS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """``many.join(one, keys, how)`` with the rows of hot keys spread over several tasks.
 
@@ -53,16 +54,19 @@ def spread_join(
     exactly once, so the result is that of the plain join. ``how`` is ``inner`` or ``left``.
     Batch only: counting keys needs the whole input.
 
-    Without ``hot_rows`` a key is hot above ``HOT_ROWS``, and a ``many`` small enough for one task
-    is joined plainly.
+    Keys are counted on ``counted``, by default ``many``. Where ``many`` is costly to compute,
+    name the table its keys come from: which keys are spread does not change the result. Without
+    ``hot_rows`` a key is hot above ``HOT_ROWS``, and if all that is counted is small enough for
+    one task the join is a plain one.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how!r}")
+    counted = many if counted is None else counted
     if hot_rows is None:
-        if estimated_bytes(many) <= ONE_TASK_BYTES:
+        if estimated_bytes(counted) <= ONE_TASK_BYTES:
             return many.join(one, keys, how)
         hot_rows = HOT_ROWS
-    hot = F.broadcast(hot_keys(many, keys, hot_rows).withColumn("is_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(counted, keys, hot_rows).withColumn("is_hot", F.lit(True)))
     own_salt = F.pmod(_content_hash(many), F.lit(salts)).cast("int")
     spread = F.col("is_hot").isNotNull()
     if how == "left":
@@ -82,15 +86,16 @@ def spread_join(
 
 
 def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    how: str = "inner",
-    hot_rows: int | None = None,
+    rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", counted: DataFrame | None = None
 ) -> DataFrame:
-    """Join to a lookup table with unique keys: broadcast if it is small, spread otherwise."""
+    """Join to a lookup table with unique keys.
+
+    A lookup within the broadcast threshold is broadcast. Beyond it, ``counted`` (see
+    ``spread_join``) spreads hot keys from the start; without it the join is left to adaptive
+    execution, which splits the skewed partitions it measures and needs no pass over the rows.
+    """
     if fits_broadcast(lookup):
         return rows.join(F.broadcast(lookup), keys, how)
-    if rows.isStreaming:
+    if rows.isStreaming or counted is None:
         return rows.join(lookup, keys, how)
-    return spread_join(rows, lookup, keys, how, hot_rows)
+    return spread_join(rows, lookup, keys, how, counted=counted)

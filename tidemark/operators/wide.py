@@ -103,12 +103,13 @@ def payment_wide(
     lower: str = "-5 seconds",
     upper: str = "15 minutes",
     watermark: str = "0 seconds",
-    hot_rows: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """One row per paid order detail.
 
     Where an order and its payment both have a column (``user_id``, ``total_amount``), the
-    payment's value stands. ``create_time`` is kept from both under separate names.
+    payment's value stands. ``create_time`` is kept from both under separate names. ``counted`` is
+    a table to find hot orders in, by default the wide rows (see ``skew.spread_join``).
     """
     left = wide.drop("user_id", "total_amount", "create_date", "create_hour").withColumnsRenamed(
         {"create_time": "order_create_time", "rt": "order_time"}
@@ -129,7 +130,7 @@ def payment_wide(
     # Many details share one order and so one payment: the details are the side that may be hot.
     after = F.col("rt") >= F.col("order_time") + F.expr(f"INTERVAL '{lower}'")
     before = F.col("rt") <= F.col("order_time") + F.expr(f"INTERVAL '{upper}'")
-    return spread_join(left, right, ["order_id"], hot_rows=hot_rows).where(after & before).drop("order_time")
+    return spread_join(left, right, ["order_id"], counted=counted).where(after & before).drop("order_time")
 
 
 # Columns filled from the other row, and columns only ever kept.

@@ -245,8 +245,8 @@ def payment_wide(spark, sf_dir):
 
 def dim_enrich(spark, sf_dir):
     """Every detail, inside or outside the band, with its product levels."""
-    details = inputs.order_detail(inputs.table(spark, sf_dir, "lineitem"))
-    named = warehouse.with_product(details, spark, sf_dir, with_price=True)
+    details = warehouse.details(spark, sf_dir)
+    named = warehouse.with_product(details, spark, sf_dir, with_price=True, counted=details)
     sums = [F.sum("split_total_amount").alias("amount"), F.sum("sku_num").alias("sku_num"), F.count("*").alias("rows")]
     return plain(named.groupBy("spu_name", "tm_name", "category3_name").agg(*sums))
 

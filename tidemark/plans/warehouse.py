@@ -41,14 +41,20 @@ def visitor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_order_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order rows with their details, without dimensions."""
-    orders = inputs.order_info(inputs.table(spark, sf_dir, "orders"))
-    details = inputs.order_detail(inputs.table(spark, sf_dir, "lineitem"))
-    return wide.order_wide(orders, details)
+    return wide.order_wide(orders(spark, sf_dir), details(spark, sf_dir))
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.order_info(inputs.table(spark, sf_dir, "orders"))
+
+
+def details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.order_detail(inputs.table(spark, sf_dir, "lineitem"))
 
 
 def with_user(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     users = inputs.user_info(inputs.table(spark, sf_dir, "customer"))
-    return dims.with_user(rows, users, inputs.AS_OF)
+    return dims.with_user(rows, users, inputs.AS_OF, counted=orders(spark, sf_dir))
 
 
 def with_province(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +64,13 @@ def with_province(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFram
     return dims.with_province(rows, provinces)
 
 
-def with_product(rows: DataFrame, spark: SparkSession, sf_dir: str, with_price: bool = False) -> DataFrame:
+def with_product(
+    rows: DataFrame,
+    spark: SparkSession,
+    sf_dir: str,
+    with_price: bool = False,
+    counted: DataFrame | None = None,
+) -> DataFrame:
     part = inputs.table(spark, sf_dir, "part")
     return dims.with_product(
         rows,
@@ -67,12 +79,15 @@ def with_product(rows: DataFrame, spark: SparkSession, sf_dir: str, with_price:
         inputs.base_trademark(part),
         inputs.base_category3(part),
         with_price,
+        counted=counted,
     )
 
 
 def order_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_user(plain_order_wide(spark, sf_dir), spark, sf_dir)
-    return with_product(with_province(rows, spark, sf_dir), spark, sf_dir)
+    return with_product(
+        with_province(rows, spark, sf_dir), spark, sf_dir, counted=details(spark, sf_dir)
+    )
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +95,9 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payment_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide.payment_wide(order_wide(spark, sf_dir), payments(spark, sf_dir))
+    return wide.payment_wide(
+        order_wide(spark, sf_dir), payments(spark, sf_dir), counted=details(spark, sf_dir)
+    )
 
 
 def with_payment_dimensions(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +114,8 @@ def _stored(rows: DataFrame, label: str) -> DataFrame:
 
 def product_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seven kinds of fact. Wide orders are joined once and feed two of them."""
-    orders = _stored(plain_order_wide(spark, sf_dir), "order-wide")
-    paid = wide.payment_wide(orders, payments(spark, sf_dir))
+    ordered = _stored(plain_order_wide(spark, sf_dir), "order-wide")
+    paid = wide.payment_wide(ordered, payments(spark, sf_dir))
     events = inputs.table(spark, sf_dir, "events")
     lineitem = inputs.table(spark, sf_dir, "lineitem")
     log = inputs.page_log(events)
@@ -107,7 +124,7 @@ def product_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         facts.display_facts(log),
         facts.favor_facts(inputs.favor_info(events)),
         facts.cart_facts(inputs.cart_info(events)),
-        facts.order_facts(orders),
+        facts.order_facts(ordered),
         facts.payment_facts(paid),
         facts.refund_facts(inputs.order_refund_info(lineitem)),
         facts.comment_facts(inputs.comment_info(lineitem)),
