@@ -1,7 +1,6 @@
 import random
 
 from conftest import ids, rows_of
-from pyspark.sql import functions as F
 
 from tidemark.functions import records
 from tidemark.operators import logs, visits

@@ -364,7 +364,7 @@ def cdc_project(spark, sf_dir):
 
 
 def dim_latest(spark, sf_dir):
-    """Newest image of every market segment's customer row and of every nation's."""
+    """Newest image of every customer, and the newest one within every market segment."""
     dims = changes.dimension_changes(_routed(spark, sf_dir))
     by_segment = dims.withColumn("pk", F.element_at("after", F.lit("c_mktsegment")))
     latest = changes.latest_dimensions(dims.unionByName(by_segment))
