@@ -2,9 +2,8 @@
 
 A linear-chain conditional random field labels the lines of a text as content or boilerplate;
 Viterbi decoding finds the best sequence and the share of words in content lines decides whether
-the document stays. The field is trained on a bounded sample of labelled documents: a line of a
-document of good quality counts as content unless it repeats an earlier line, a line of a document
-of bad quality counts as boilerplate.
+the document stays. The field is trained on a bounded sample of labelled documents: lines of a
+document of good quality count as content, lines of a document of bad quality as boilerplate.
 """
 
 from __future__ import annotations
@@ -146,8 +145,7 @@ def train_field(texts: list[str], good: list[int], rounds: int = 120, rate: floa
         features = read_lines(text)[0][:SAMPLE_LINES]
         if features:
             docs.append(np.array(features))
-            repeat = docs[-1][:, FEATURES.index("earlier line")] > 0
-            marks.append(np.where(repeat, 0, 1) if quality else np.zeros(len(features), int))
+            marks.append(np.full(len(features), 1 if quality else 0))
     if not docs or len({int(mark) for row in marks for mark in row}) < 2:
         return default_field()
     longest = max(map(len, docs))
