@@ -85,14 +85,14 @@ def lookup(rows: DataFrame, found: DataFrame, keys: list[str], uses: str) -> Dat
     hot = found.where(F.col(uses) > least).drop(uses)
     hot = hot.select(*keys, F.struct(*values).alias("hot_found"))
     cold = found.where(F.col(uses) <= least).drop(uses)
-    cold = cold.select(*keys, F.lit(0).alias("spread_key"), F.struct(*values).alias("cold_found"))
+    cold = cold.select(*keys, F.lit(0).cast("bigint").alias("spread_key"), F.struct(*values).alias("cold_found"))
     marked = rows.join(F.broadcast(hot), keys, "left")
     plain = F.col("hot_found").isNull()
     for key in keys:
         plain = plain & F.col(key).isNotNull()
-    plain_types = [field.name for field in rows.schema if field.dataType.typeName() not in ("map", "variant")]
-    other = F.bitwise_or(F.xxhash64(*plain_types), F.lit(1)) if hasattr(F, "bitwise_or") else F.xxhash64(*plain_types).bitwiseOR(F.lit(1))
+    hashable = [field.name for field in rows.schema if field.dataType.typeName() not in ("map", "variant")]
+    other = F.xxhash64(*hashable).bitwiseOR(F.lit(1))
     marked = marked.withColumn("spread_key", F.when(plain, F.lit(0).cast("bigint")).otherwise(other))
-    joined = marked.join(cold.withColumn("spread_key", F.col("spread_key").cast("bigint")), [*keys, "spread_key"], "left")
+    joined = marked.join(cold, [*keys, "spread_key"], "left")
     answer = F.coalesce("hot_found", "cold_found")
     return joined.select(*[F.col(name) for name in rows.columns], *[answer[name].alias(name) for name in values])

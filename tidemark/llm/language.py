@@ -169,10 +169,13 @@ def fit(docs: DataFrame) -> Model:
     rows = docs.where(~held_out_column()).select("doc_id", "text", "lang").where("text is not null and lang is not null")
     rows = rows.where(F.length("text") > 0)
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    langs = counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
-    # The choice is made on narrow rows; the group limit of the window keeps a few per task and language.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    light = rows.select("doc_id", "lang").join(F.broadcast(langs), "lang")
+    langs = counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    # The choice is made on narrow rows. A language with many documents first keeps those with the least
+    # hashes, about four times the sample, so that no task ranks all documents of a language.
+    light = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("rank")).join(F.broadcast(langs), "lang")
+    share = F.pmod("rank", F.lit(1 << 30)) / (1 << 30)
+    light = light.where(share * F.col("n") <= 4 * SAMPLE_DOCS)
+    order = Window.partitionBy("lang").orderBy("rank", "doc_id")
     chosen = light.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
     chosen = chosen.select(F.col("doc_id").alias("doc_key"), F.col("lang").alias("lang_key")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("doc_key")) & (F.col("lang") == F.col("lang_key"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html_text, language, line_quality, secrets, warc
+from tidemark.llm import bpe, html_text, jaccard, language, line_quality, secrets, warc
 from tidemark.llm.common import table
 from tidemark.session import scratch_path
 
@@ -15,6 +15,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), bpe.Vocabulary.load())
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard.near_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = line_quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -41,6 +46,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op4_line_quality": op4_line_quality,
     "op6_language": op6_language,
     "op8_warc": op8_warc,

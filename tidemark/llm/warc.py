@@ -27,7 +27,7 @@ ROLL_BYTES = 32 << 20
 # Payloads shorter than this are always written out.
 REVISIT_BYTES = 100
 # Rows per range: the number of shards follows the number of records.
-SHARD_ROWS = 50_000
+SHARD_ROWS = 10_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, name string, records bigint, bytes bigint, sha256 string"
