@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html_text, jaccard, language, line_quality, secrets, warc
+from tidemark.llm import bpe, html_text, jaccard, language, line_quality, repeats, secrets, warc
 from tidemark.llm.common import table
 from tidemark.session import scratch_path
 
@@ -26,6 +26,10 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(docs, field, ["doc_id"])
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op4_line_quality": op4_line_quality,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language": op6_language,
     "op8_warc": op8_warc,
     "op9_html_text": op9_html_text,
