@@ -242,3 +242,15 @@ def line_quality(
     table gives an empty result.
     """
     return add_columns(docs, text_col, lambda texts: judge(texts, field, share), MADE, keep)
+
+
+def keep_good(docs: DataFrame, field: LineField, text_col: str = "text") -> DataFrame:
+    """The documents that are kept, with all their columns; see ``line_quality``."""
+    mark = "kept"
+    while mark in docs.columns:
+        mark += "_"
+
+    def kept(texts: list[str | None]) -> dict[str, list]:
+        return {mark: judge(texts, field)["kept"]}
+
+    return add_columns(docs, text_col, kept, f"`{mark}` boolean", docs.columns).where(F.col(mark)).select(*docs.columns)

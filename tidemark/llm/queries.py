@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html_text, jaccard, language, line_quality, repeats, secrets, warc
+from tidemark.llm import bpe, decontaminate, html_text, jaccard, language, line_quality, pii, repeats, secrets, warc
 from tidemark.llm.common import table
 from tidemark.session import scratch_path
 
@@ -20,6 +20,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = line_quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -34,6 +38,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -51,9 +59,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_pii": op3_pii,
     "op4_line_quality": op4_line_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language": op6_language,
+    "op7_decontaminate": op7_decontaminate,
     "op8_warc": op8_warc,
     "op9_html_text": op9_html_text,
     "op10_secrets": op10_secrets,
