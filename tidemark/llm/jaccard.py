@@ -7,7 +7,7 @@ short ones are merged and give the candidates, the long ones are only probed by
 Equal sets are one class. A first round joins classes that share a least hash, block by block, in
 memory. The second round loses no link: the lists of each set's rarest shingles, as many as guarantee
 that two linking sets meet, are merged across the cluster, pairs already connected are left out, and
-the rest is confirmed by probing one set for the shingles of the other.
+the rest is confirmed on the sets.
 """
 
 from __future__ import annotations
@@ -31,9 +31,12 @@ from tidemark.llm.components import components
 CELL_BITS, CELLS_PER_ROW = 20, 4096
 # Sets, and shingles, of one in-memory block of the first round.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 2_000_000
+# Groups of the first round have more classes than this under the first and the second least hash; smaller
+# ones are left to the second round, whose pairs are then as few.
+LEAST_GROUP = {"low_0": 2, "low_1": 16}
 # Members of one list that are compared in one task of the second round.
-LIST_BLOCK = 2048
-# Texts looked up by broadcast up to this many keys, else by a shuffled join.
+LIST_BLOCK = 4096
+# Keys (32 bytes each) of a lookup that is broadcast; a longer one is a shuffled join.
 BROADCAST_KEYS = 200_000
 # The weight of list length in DivideSkip's choice of the number of long lists.
 SKIP_WEIGHT = 0.0085
@@ -47,6 +50,10 @@ def class_key(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
+def class_no(key: bytes) -> int:
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
 def overlap_holds(shared: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """Whether 100 * intersection >= percent * union, from the intersection and the sum of sizes."""
     return 100 * shared >= percent * (sizes - shared)
@@ -188,78 +195,90 @@ def set_facts(texts: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     return rows.where("cell_row is null").drop("cell_row", "cells"), sketch.ravel()
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """The columns of ``wanted`` and the set of the text that (rep_id, rep_text) name, as sorted 64-bit hashes."""
+def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The columns of ``wanted`` but (rep_id, rep_text), with the text that these two name."""
     if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
     same = F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("rep_text") == F.col("text_hash"))
     rows = texts.join(wanted, same).drop("rep_id", "rep_text", "doc_id", "text_hash")
-    names = [name for name in rows.columns if name != "text"]
-    schema = StructType([*rows.select(*names).schema, *StructType.fromDDL("shingles binary")])
-    columns = rows.columns
+    key_at = rows.columns.index("class_key")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        key_at, text_at = columns.index("class_key"), columns.index("text")
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows that repeat an id and text give the text once per task.
+        seen = set()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                # Rows that repeat an id and text give the set once per task.
-                keys = part.column(key_at).to_pylist()
-                new = [i for i, key in enumerate(keys) if not (key in seen or seen.add(key))]
-                part = part.take(pa.array(new, pa.int64()))
-                sets = [set_of(text, words, hashes).tobytes() for text in part.column(text_at).to_pylist()]
-                arrays = [part.column(columns.index(name)) for name in names]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(sets, pa.binary())], [*names, "shingles"])
+            keys = batch.column(key_at).to_pylist()
+            yield batch.filter(pa.array([not (key in seen or seen.add(key)) for key in keys], pa.bool_()))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(once, rows.schema)
 
 
-def links_by_least_hash(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """First round: links (a, b) between classes that share a least hash, found in blocks in memory."""
-    wanted = None
-    for name in ("low_0", "low_1"):
-        groups = classes.groupBy(name).agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("size")).where("sets > 1")
-        n = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("size") / BLOCK_SHINGLES))
-        block = F.pmod(F.xxhash64("class_key", F.lit(name)), n)
-        rows = classes.join(groups, name).select(
-            "class_key", "rep_id", "rep_text", F.xxhash64(F.lit(name), name, block).alias("block")
-        )
-        wanted = rows if wanted is None else wanted.unionByName(rows)
-    blocks = wanted.groupBy("class_key", "rep_id", "rep_text").agg(F.collect_set("block").alias("blocks"))
-    sets = sets_of(texts, stored(blocks, "blocks"), words).withColumn("block", F.explode("blocks")).drop("blocks")
+def links_in_blocks(texts: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one block: enough to connect all that link there.
+
+    ``wanted`` has one row per class with (rep_id, rep_text) and its ``blocks``. The texts are what is
+    shuffled, as they take less room than their sets of 64-bit hashes.
+    """
+    rows = texts_of(texts, wanted).withColumn("block", F.explode("blocks")).drop("blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in whole_groups(batches, "block"):
             block = batch.column("block").to_numpy()
             cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+            links: list[tuple[bytes, bytes]] = []
             for start, end in zip(cuts, cuts[1:], strict=False):
                 part = batch.slice(start, end - start)
-                found = dict(zip(part.column("class_key").to_pylist(), part.column("shingles").to_pylist(), strict=True))
+                found = dict(zip(part.column("class_key").to_pylist(), part.column("text").to_pylist(), strict=True))
                 keys = sorted(found)
-                links = divide_skip([np.frombuffer(found[key], np.uint64) for key in keys], percent)
-                if links:
-                    pairs = [[keys[i] for i, _ in links], [keys[j] for _, j in links]]
-                    yield pa.RecordBatch.from_arrays([pa.array(side, pa.binary()) for side in pairs], ["a", "b"])
+                sets = [set_of(found[key], words, hashes) for key in keys]
+                links += [(keys[i], keys[j]) for i, j in divide_skip(sets, percent)]
+            if links:
+                sides = [pa.array(side, pa.binary()) for side in zip(*links, strict=True)]
+                yield pa.RecordBatch.from_arrays(sides, ["a", "b"])
 
-    return sets.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a binary, b binary")
+
+
+def block_counts(groups: DataFrame) -> DataFrame:
+    """Adds ``n``, the number of blocks that ``sets`` sets with ``size`` shingles make."""
+    n = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("size") / BLOCK_SHINGLES))
+    return groups.withColumn("n", F.greatest(n, F.lit(1)))
+
+
+def links_by_least_hash(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """First round: links between classes that share a least hash, found in blocks."""
+    wanted = None
+    for name in ("low_0", "low_1"):
+        groups = classes.groupBy(name).agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("size"))
+        groups = block_counts(groups.where(F.col("sets") > LEAST_GROUP[name]))
+        part = F.pmod(F.xxhash64("class_key", F.lit(name)), F.col("n"))
+        rows = classes.join(groups, name).select(
+            "class_key", "rep_id", "rep_text", F.xxhash64(F.lit(name), name, part).alias("block")
+        )
+        wanted = rows if wanted is None else wanted.unionByName(rows)
+    blocks = wanted.groupBy("class_key", "rep_id", "rep_text").agg(F.collect_set("block").alias("blocks"))
+    return links_in_blocks(texts, stored(blocks, "blocks"), words, percent)
 
 
 def rare_lists(texts: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, class_key, n, place, bits_0, bits_1): entries of the short lists.
+    """(token, class_no, n, place, bits_0, bits_1, most): entries of the short lists.
 
     Of a set of n shingles, the n - T + 1 rarest by the sketch; T is the overlap that any link needs.
     Which counts the sketch has does not matter for the result: any one order of all shingles guarantees
     that two linking sets share one of these. The bits are parities of the set by hash, for a bound.
+    ``most`` is the sketch's count, which a list's length never exceeds. ``class_no`` is the start of
+    the class key; should two classes share it, they are told apart when pairs are confirmed.
     """
     sent = texts.sparkSession.sparkContext.broadcast(sketch.astype("<u4").tobytes())
-    schema = "token bigint, class_key binary, n int, place int, bits_0 bigint, bits_1 bigint"
+    names = ["token", "class_no", "n", "place", "bits_0", "bits_1", "most"]
+    schema = "token bigint, class_no bigint, n int, place int, bits_0 bigint, bits_1 bigint, most bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, hashes, seen = np.frombuffer(sent.value, "<u4"), WordHashes(), set()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
-                tokens, keys, sizes, places, bits = [], [], [], [], []
+                tokens, keys, sizes, places, bits, most = [], [], [], [], [], []
                 for text in batch.column(0).slice(start, SLICE_ROWS).to_pylist():
                     values = set_of(text, words, hashes)
                     n = len(values)
@@ -272,50 +291,53 @@ def rare_lists(texts: DataFrame, sketch: np.ndarray, words: int, percent: int) -
                     chosen = np.lexsort((values, rank))[:width]
                     parity = np.bincount((values & np.uint64(127)).astype(np.int64), minlength=128) & 1
                     tokens.append(values[chosen])
-                    keys += [key] * width
+                    keys.append(np.full(width, class_no(key)))
                     sizes.append(np.full(width, n))
                     places.append(np.arange(width))
+                    most.append(rank[chosen].astype(np.int64))
                     bits.append(np.repeat(np.packbits(parity.astype(np.uint8)).view("<i8")[None], width, axis=0))
                 if not keys:
                     continue
                 both = np.concatenate(bits)
                 columns = [
-                    pa.array(np.concatenate(tokens).view(np.int64)), pa.array(keys, pa.binary()),
+                    pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)),
                     pa.array(np.concatenate(sizes), pa.int32()), pa.array(np.concatenate(places), pa.int32()),
                     pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])),
+                    pa.array(np.concatenate(most)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "class_key", "n", "place", "bits_0", "bits_1"])
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return texts.select("text").mapInArrow(run, schema)
 
 
 def candidate_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) that meet in a short list, are not connected yet and may reach the overlap.
+    """Distinct pairs (a, b) of class numbers that meet in a short list and may reach the overlap.
 
-    ``entries`` carries the component of each class. Lists of more than ``LIST_BLOCK`` members are dealt
-    out as pairs of blocks. Kept pairs pass bounds that every link passes: sizes, places in both lists,
-    and the number of parities that differ.
+    ``entries`` carries the component of each class; pairs within one are connected already. Lists that
+    may have more than ``LIST_BLOCK`` members are counted and dealt out as pairs of blocks. Kept pairs
+    pass bounds that every link passes: sizes, places in both lists, and the number of parities that
+    differ.
     """
-    lists = entries.groupBy("token").agg(
-        F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most")
-    )
-    lists = lists.where("least <> most").select("token", F.ceil(F.col("members") / LIST_BLOCK).cast("int").alias("blocks"))
-    rows = entries.join(lists, "token").withColumn("own", F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.withColumn("other", F.explode(every))
-    pair = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.withColumn("meet", pair).withColumn("mixed", F.col("blocks") > 1)
+    may_be_long = F.col("most") > LIST_BLOCK
+    lists = entries.where(may_be_long).groupBy("token").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
+    long = entries.where(may_be_long).join(lists, "token")
+    rows = entries.where(~may_be_long).withColumn("blocks", F.lit(1)).unionByName(long)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("class_no"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
     # In a pair of two blocks only members of different ones are compared.
-    side = F.when(F.col("own") == F.col("other"), F.lit(0)).when(F.col("own") < F.col("other"), F.lit(1)).otherwise(F.lit(2))
-    rows = rows.select("meet", "class_key", "component", "n", "place", "bits_0", "bits_1", side.alias("side"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    packed = F.shiftleft(F.col("n").cast("bigint"), 32) + F.shiftleft(F.col("place").cast("bigint"), 2) + side
+    rows = rows.select(meet.alias("meet"), "class_no", "component", "bits_0", "bits_1", packed.alias("packed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, "meet"):
-            meet = batch.column("meet").to_numpy()
-            n, place, side = (batch.column(name).to_numpy().astype(np.int64) for name in ("n", "place", "side"))
+            meet, number, component, packed = (
+                batch.column(name).to_numpy() for name in ("meet", "class_no", "component", "packed")
+            )
+            n, place, side = packed >> 32, (packed & 0xFFFFFFFF) >> 2, packed & 3
             bits = [batch.column(name).to_numpy().view(np.uint64) for name in ("bits_0", "bits_1")]
-            component = batch.column("component").dictionary_encode().indices.to_numpy()
-            at, gap, found = np.arange(len(meet)), 0, []
+            at, gap, found, held = np.arange(len(meet)), 0, [], 0
             while len(at):
                 gap += 1
                 at = at[at + gap < len(meet)]
@@ -331,45 +353,61 @@ def candidate_pairs(entries: DataFrame, percent: int) -> DataFrame:
                 size = n[i] + n[j]
                 most = np.minimum(most, (size - differ) // 2)
                 ok = overlap_holds(most, size, percent)
-                found.append(np.stack([i[ok], j[ok]]))
-                if sum(part.shape[1] for part in found) > 100_000:
-                    yield pairs(batch, np.concatenate(found, axis=1))
-                    found = []
-            if found and sum(part.shape[1] for part in found):
-                yield pairs(batch, np.concatenate(found, axis=1))
-
-    def pairs(batch: pa.RecordBatch, found: np.ndarray) -> pa.RecordBatch:
-        keys = batch.column("class_key")
-        sides = [keys.take(pa.array(side)).to_pylist() for side in found]
-        once = sorted({(min(a, b), max(a, b)) for a, b in zip(*sides, strict=True)})
-        return pa.RecordBatch.from_arrays([pa.array([pair[k] for pair in once], pa.binary()) for k in (0, 1)], ["a", "b"])
+                found.append(np.sort(np.stack([number[i[ok]], number[j[ok]]]), axis=0))
+                held += int(ok.sum())
+                if held > 100_000:
+                    yield pairs(found)
+                    found, held = [], 0
+            if held:
+                yield pairs(found)
+
+    def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+        once = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], ["a", "b"])
 
     rows = rows.repartition("meet").sortWithinPartitions("meet")
-    return rows.mapInArrow(run, "a binary, b binary").where("a <> b").distinct()
+    return rows.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
 def confirmed(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose sets reach the overlap; the smaller set's shingles are probed in the larger one."""
-    keys = pairs.select(F.col("a").alias("class_key")).unionByName(pairs.select(F.col("b").alias("class_key"))).distinct()
-    wanted = classes.join(keys, "class_key").select("class_key", "rep_id", "rep_text")
-    sets = stored(sets_of(texts, stored(wanted, "wanted"), words).dropDuplicates(["class_key"]), "sets")
+    """Links (a, b) that connect all classes that pairs connect by a link.
+
+    Pairs that hang together are one block, in which each text is needed once. Where that would be more
+    than a block may hold, each pair is confirmed by itself: the smaller set's shingles are probed in
+    the larger one.
+    """
+    numbered = classes.withColumn("class_no", F.expr("cast(conv(hex(substring(class_key, 1, 8)), 16, -10) as bigint)"))
+    numbered = numbered.select("class_no", "class_key", "rep_id", "rep_text", "n_shingles")
+    groups = components(pairs).select(F.col("node").alias("class_no"), "root")
+    members = stored(numbered.join(groups, "class_no"), "members")
+    sizes = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("size"))
+    sizes = stored(block_counts(sizes).select("root", "n"), "sizes")
+    small = members.join(sizes.where("n = 1"), "root")
+    small = small.select("class_key", "rep_id", "rep_text", F.array(F.xxhash64("root")).alias("blocks"))
+    links = links_in_blocks(texts, small, words, percent)
+    large = members.join(sizes.where("n > 1"), "root")
+    sides = texts_of(texts, large.select("class_no", "class_key", "rep_id", "rep_text"))
     both = pairs
     for side in ("a", "b"):
-        both = both.join(sets.select(F.col("class_key").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+        both = both.join(sides.select(F.col("class_no").alias(side), F.struct("class_key", "text").alias(f"of_{side}")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            keep = []
+            found = []
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                for one, two in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    small, large = sorted((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)), key=len)
-                    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    shared = int((large[place] == small).sum())
-                    keep.append(bool(overlap_holds(shared, len(small) + len(large), percent)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                for one, two in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    sets = sorted((set_of(side["text"], words, hashes) for side in (one, two)), key=len)
+                    place = np.minimum(np.searchsorted(sets[1], sets[0]), len(sets[1]) - 1)
+                    shared = int((sets[1][place] == sets[0]).sum())
+                    if overlap_holds(shared, len(sets[0]) + len(sets[1]), percent):
+                        found.append((one["class_key"], two["class_key"]))
+            if found:
+                columns = [pa.array(side, pa.binary()) for side in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+    return links.unionByName(both.select("of_a", "of_b").mapInArrow(run, "a binary, b binary"))
 
 
 def near_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -393,8 +431,11 @@ def near_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame
     near = stored(links_by_least_hash(texts, classes, words, percent), "near")
     so_far = components(near)
     entries = rare_lists(texts, sketch, words, percent)
-    known = so_far.select(F.col("node").alias("class_key"), "root")
-    entries = entries.join(known, "class_key", "left").withColumn("component", F.coalesce("root", "class_key")).drop("root")
+    number = F.expr("cast(conv(hex(substring(node, 1, 8)), 16, -10) as bigint)")
+    known = so_far.select(number.alias("class_no"), F.xxhash64("root").alias("of_root"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_KEYS else known
+    component = F.coalesce("of_root", F.xxhash64("class_no"))
+    entries = entries.join(known, "class_no", "left").withColumn("component", component).drop("of_root")
     pairs = stored(candidate_pairs(stored(entries, "lists"), percent), "pairs")
     links = near.unionByName(confirmed(texts, classes, pairs, words, percent))
     roots = components(links).select(F.col("node").alias("class_key"), "root")
