@@ -23,8 +23,9 @@ from tidemark.llm.common import SLICE_ROWS, add_columns, lookup
 # A slot is template if at least this many pages have it and this share of them the same text.
 TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.8
-# Texts counted per slot; with this many, any text above a fifth of the pages is found.
-SLOT_TEXTS = 4
+# Texts counted per slot, and per slot that repeats on a page: what has one of so many shares of all
+# texts is always among them.
+SLOT_TEXTS, REPEAT_TEXTS = 4, 128
 PARTS = 32
 # A block outside an article whose letters are links to this share is a menu.
 LINK_SHARE = 0.8
@@ -227,16 +228,17 @@ def text_key(value: str) -> str:
 
 
 class Slot:
-    """A node of a wrapper: pages that have it, how often which text was seen, and its slots in order.
+    """A node of a wrapper: pages that have it, on how many which text was seen, and its slots in order.
 
-    Neighbours with one label are one slot that repeats; what repeats is never template.
+    Neighbours with one label are one slot that repeats, with the texts of all of them. In the slots of a
+    page ``nodes`` holds its nodes, each with the key of its text ("" if it has blocks below).
     """
 
     __slots__ = ("label", "pages", "texts", "repeats", "slots", "nodes")
 
     def __init__(self, label: str, pages: int = 1) -> None:
         self.label, self.pages, self.texts, self.repeats, self.slots = label, pages, {}, False, []
-        self.nodes: list[Node] = []
+        self.nodes: list[tuple[Node, str]] = []
 
     def to_list(self) -> list:
         return [self.label, self.pages, self.texts, self.repeats, [slot.to_list() for slot in self.slots]]
@@ -249,12 +251,10 @@ class Slot:
 
 
 def skeleton(node: Node) -> Slot:
-    """The slots of one page."""
+    """The slots of one page; a marked article is one slot, as all of it is content."""
     slot = Slot(node.label)
-    slot.nodes = [node]
-    key = text_key(own_text(node))
-    if key:
-        slot.texts = {key: 1}
+    if node.tag in ROOTS or node.role == "main":
+        return slot
     blocks_below = []
     stack = list(reversed(node.parts))
     while stack:
@@ -270,6 +270,9 @@ def skeleton(node: Node) -> Slot:
             merge(slot.slots[-1], made, same_page=True)
         else:
             slot.slots.append(made)
+    key = "" if blocks_below else text_key(own_text(node))
+    slot.nodes = [(node, key)]
+    slot.texts = {key: 1} if key else {}
     return slot
 
 
@@ -302,11 +305,11 @@ def matched(a: Slot, b: Slot) -> int:
     return 1 + sum(matched(a.slots[i], b.slots[j]) for i, j in match_slots(a.slots, b.slots))
 
 
-def count_texts(texts: dict[str, int]) -> dict[str, int]:
-    """At most ``SLOT_TEXTS`` texts: a rarer one lowers the others' counts, so frequent ones always stay."""
-    if len(texts) <= SLOT_TEXTS:
+def count_texts(texts: dict[str, int], limit: int) -> dict[str, int]:
+    """At most ``limit`` texts: a rarer one lowers the others' counts, so frequent ones always stay."""
+    if len(texts) <= limit:
         return texts
-    off = sorted(texts.values(), reverse=True)[SLOT_TEXTS]
+    off = sorted(texts.values(), reverse=True)[limit]
     return {key: count - off for key, count in texts.items() if count > off}
 
 
@@ -319,8 +322,8 @@ def merge(into: Slot, other: Slot, same_page: bool = False) -> None:
         into.pages += other.pages
     texts = dict(into.texts)
     for key, count in other.texts.items():
-        texts[key] = texts.get(key, 0) + count
-    into.texts = {} if into.repeats else count_texts(texts)
+        texts[key] = 1 if same_page else texts.get(key, 0) + count
+    into.texts = count_texts(texts, REPEAT_TEXTS if into.repeats else SLOT_TEXTS)
     pairs = match_slots(into.slots, other.slots)
     new, done = [], 0
     at = 0
@@ -339,17 +342,13 @@ def page_tree(source: str) -> tuple[Node, list[Node]]:
     return root, article_roots(root)
 
 
-def mark_template(page: Slot, wrapper: Slot, protected: set[int]) -> None:
+def mark_template(page: Slot, wrapper: Slot) -> None:
     """Align a page with its host's wrapper and mark the nodes that show a template text."""
-    if any(id(node) in protected for node in page.nodes):
-        return
-    if not wrapper.repeats and wrapper.pages >= TEMPLATE_PAGES and not page.slots:
-        for key, count in wrapper.texts.items():
-            if count >= TEMPLATE_SHARE * wrapper.pages and key in page.texts:
-                for node in page.nodes:
-                    node.template = True
+    if wrapper.pages >= TEMPLATE_PAGES:
+        for node, key in page.nodes:
+            node.template = wrapper.texts.get(key, 0) >= TEMPLATE_SHARE * wrapper.pages
     for i, j in match_slots(page.slots, wrapper.slots):
-        mark_template(page.slots[i], wrapper.slots[j], protected)
+        mark_template(page.slots[i], wrapper.slots[j])
 
 
 def page_text(source: str | None, wrapper: Slot | None) -> str:
@@ -358,7 +357,7 @@ def page_text(source: str | None, wrapper: Slot | None) -> str:
         return ""
     root, roots = page_tree(source)
     if wrapper is not None:
-        mark_template(skeleton(root), wrapper, {id(node) for node in roots})
+        mark_template(skeleton(root), wrapper)
     return "\n".join(block for node in (roots or [root]) for block in blocks(node, links_out=not roots))
 
 
