@@ -29,59 +29,45 @@ from tidemark.llm.common import SLICE_ROWS, add_columns, lookup, stored
 from tidemark.llm.suffix_sort import repeated_windows
 
 WIDTH = 200
-# Bytes that an anchor's hash covers; a window of 200 has 161 places for it.
-ANCHOR_BYTES = 40
+# Bytes that an anchor's hash covers; a window of 200 has 129 places for it. Shorter common lines give
+# no recurring anchors.
+ANCHOR_BYTES = 72
 # Window starts of a text that are looked at together, and bytes of forms sorted together.
 SEGMENT = 1 << 20
-SORT_BYTES = 1 << 21
+SORT_BYTES = 1 << 19
 # Anchors with more forms than this are settled window by window, spread over the cluster.
 MOST_FORMS = 4096
-# Texts looked up by broadcast up to this many keys, else by a shuffled join.
+# Keys (24 bytes each) of a lookup that is broadcast; a longer one is a shuffled join.
 BROADCAST_KEYS = 200_000
-# Two primes below 2 ** 31 and a base for each.
-PRIMES = ((2147483647, 1000003), (2147483629, 998244353))
+# Fixed value: the base of the polynomial hash, any odd number.
+BASE = 0xD6E8FEB86659FD93
 
 
 class Powers:
-    """Powers of each base and of its inverse modulo its prime, up to the longest buffer seen."""
+    """Powers of an odd base and of its inverse modulo 2 ** 64, and a 64-bit value per byte."""
 
     def __init__(self) -> None:
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = [self._grow(prime, base, 1) for prime, base in PRIMES]
+        self.values = mix(np.arange(256, dtype=np.uint64))
+        self.up, self.down = self._grow(1)
 
     @staticmethod
-    def _grow(prime: int, base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def _grow(size: int) -> list[np.ndarray]:
         made = []
-        for factor in (base, pow(base, -1, prime)):
+        for factor in (BASE, pow(BASE, -1, 1 << 64)):
             out = np.ones(1, np.uint64)
             while len(out) < size:
-                step = np.uint64(pow(factor, len(out), prime))
-                out = np.concatenate([out, out * step % np.uint64(prime)])
+                out = np.concatenate([out, out * np.uint64(pow(factor, len(out), 1 << 64))])
             made.append(out)
-        return made[0], made[1]
+        return made
 
-    def of(self, which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.tables[which][0]) < size:
-            self.tables[which] = self._grow(*PRIMES[which], size)
-        up, down = self.tables[which]
-        return up[:size], down[:size]
-
-
-def prefix_sums(data: np.ndarray, which: int, powers: Powers) -> np.ndarray:
-    prime = np.uint64(PRIMES[which][0])
-    up, _ = powers.of(which, len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1] % prime, out=out[1:])
-    return out % prime
-
-
-def span_hash(sums: np.ndarray, starts: np.ndarray | slice, size: int, which: int, powers: Powers) -> np.ndarray:
-    """31-bit hashes of the ``size`` bytes from each start on."""
-    prime = np.uint64(PRIMES[which][0])
-    _, down = powers.of(which, len(sums))
-    ends = slice(size, None) if isinstance(starts, slice) else starts + size
-    low = sums[: len(sums) - size] if isinstance(starts, slice) else sums[starts]
-    scale = down[: len(sums) - size] if isinstance(starts, slice) else down[starts]
-    return (sums[ends] + prime - low) % prime * scale % prime
+    def span_hashes(self, data: np.ndarray, size: int) -> np.ndarray:
+        """Polynomial hashes of the ``size`` bytes from every place on; sums simply overflow."""
+        if len(self.up) < len(data):
+            self.up, self.down = self._grow(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.up[: len(data)], out=sums[1:])
+        n = len(data) - size + 1
+        return (sums[size:] - sums[:n]) * self.down[:n]
 
 
 def find_runs(data: np.ndarray, valid: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,9 +77,9 @@ def find_runs(data: np.ndarray, valid: np.ndarray, powers: Powers) -> tuple[np.n
     place with the least hash.
     """
     places = WIDTH - ANCHOR_BYTES + 1
-    sums = prefix_sums(data, 0, powers)
-    codes = span_hash(sums, slice(None), ANCHOR_BYTES, 0, powers)
-    ranked = ((mix(codes) >> np.uint64(32)) << np.uint64(32)) | np.arange(len(codes), dtype=np.uint64)
+    codes = powers.span_hashes(data, ANCHOR_BYTES)
+    ranked = (codes ^ (codes >> np.uint64(29))) * np.uint64(BASE)
+    ranked = (ranked & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(codes), dtype=np.uint64)
     # Least value of each stretch of ``places`` values, from minima ahead and behind within blocks.
     n = len(data) - WIDTH + 1
     padded = np.full(-(-len(ranked) // places) * places, np.iinfo(np.uint64).max, np.uint64)
@@ -107,8 +93,7 @@ def find_runs(data: np.ndarray, valid: np.ndarray, powers: Powers) -> tuple[np.n
     ends = np.r_[False, (anchor[1:] != anchor[:-1]) | ~valid[1:n]]
     last = np.flatnonzero(np.r_[ends[1:], True] & valid[:n])
     at = anchor[start]
-    second = span_hash(prefix_sums(data, 1, powers), at, ANCHOR_BYTES, 1, powers)
-    return start, last, at, mix((codes[at] << np.uint64(31)) | second)
+    return start, last, at, mix(codes[at])
 
 
 def segments(values: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
@@ -181,11 +166,12 @@ def _runs(texts: DataFrame, schema: str, with_forms: bool) -> DataFrame:
 
 def with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (text_key, rep_id and more) with the text of the row that (rep_id, text_key) names."""
+    keys = wanted.select(F.col("text_key").alias("wanted_key"), "rep_id")
     if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
-    wanted = wanted.withColumnRenamed("text_key", "wanted_key")
+        keys = F.broadcast(keys)
     same = F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("wanted_key") == F.col("text_key"))
-    return docs.select("doc_id", "text_key", "text").join(wanted, same).drop("doc_id", "rep_id", "wanted_key")
+    texts = docs.select("doc_id", "text_key", "text").join(keys, same, "left_semi").drop("doc_id")
+    return texts.join(wanted.drop("rep_id"), "text_key")
 
 
 def open_forms(docs: DataFrame, texts: DataFrame, runs: DataFrame) -> DataFrame:
@@ -299,7 +285,8 @@ def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
     long = docs.where(F.octet_length("text") >= WIDTH).select("text_key", "text")
     places = _runs(long, "anchor bigint, source bigint", with_forms=False)
     least = places.groupBy("anchor").agg(F.min("source").alias("least"), F.max("source").alias("most"))
-    recurring = least.where("least <> most").select("anchor")
+    # Written first, so that adaptive execution sees two plain sides and splits an anchor that is hot.
+    recurring = stored(least.where("least <> most").select("anchor"), "anchors")
     schema = "anchor bigint, source bigint, form binary, text_key binary, start bigint, last bigint"
     live = stored(_runs(long, schema, with_forms=True).join(recurring, "anchor", "left_semi"), "runs")
     forms = live.groupBy("anchor", "form").agg(F.min("source").alias("one"), F.max("source").alias("most"))

@@ -14,7 +14,7 @@ def _order(keys: list[np.ndarray]) -> np.ndarray:
         packed = np.zeros(len(keys[0]), np.int64)
         for key in keys:
             packed = (packed << PACKED) | key
-        return np.argsort(packed, kind="stable")
+        return np.argsort(packed)
     return np.lexsort(keys[::-1])
 
 
