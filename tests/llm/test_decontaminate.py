@@ -8,10 +8,10 @@ ITEMS = [prose(f"item{i}", n) for i, n in enumerate([4, 9, 15, 20, 40, 59])]
 
 
 def brute(text, items):
-    words = [token.decode() for token in dc.tokens_of(text)]
+    words = dc.tokens_of(text)
     found = set()
     for item_id, item in items:
-        own = [token.decode() for token in dc.tokens_of(item)]
+        own = dc.tokens_of(item)
         size = min(len(own), dc.STRETCH)
         if len(own) < 4:
             continue

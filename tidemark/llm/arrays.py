@@ -24,15 +24,15 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hash of a word's bytes, looked up as an item and remembered."""
+    """64-bit hash of a word, looked up as an item and remembered. Text is hashed as its UTF-8 bytes."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) >= KNOWN_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes] | list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

@@ -32,9 +32,9 @@ TOKEN = re.compile(r"[^\W_]+")
 MADE = "item_id bigint, doc_start bigint, item_start bigint, n_tokens bigint, n_same bigint"
 
 
-def tokens_of(text: str | None) -> list[bytes]:
+def tokens_of(text: str | None) -> list[str]:
     """Runs of letters and digits, case folded."""
-    return [token.encode("utf-8", "surrogatepass") for token in TOKEN.findall((text or "").casefold())]
+    return TOKEN.findall((text or "").casefold())
 
 
 def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
