@@ -70,6 +70,12 @@ def test_payment_band_is_exact_to_the_millisecond(spark):
     assert wide.interval_join(left, right, "k", "a", "b", "-5 seconds", "15 minutes").count() == 1
 
 
+def test_fill_from_repeats_no_row(spark):
+    own = spark.createDataFrame([(1, None), (2, "x")], "order_id int, order_status string")
+    other = spark.createDataFrame([(1, "b"), (1, "a"), (1, None)], "order_id int, order_status string")
+    assert sorted(map(tuple, wide.fill_from(own, other, ["order_id"]).collect())) == [(1, "a"), (2, "x")]
+
+
 def test_fill_from_keeps_own_values(spark):
     schema = "order_id int, order_status string, sku_name string, split_total_amount int"
     own = spark.createDataFrame([(1, None, "a", None), (2, "x", "b", 3)], schema)
@@ -91,7 +97,7 @@ def skewed(spark):
 @pytest.mark.parametrize("hot_rows", [10, 10**6])
 def test_spreading_a_hot_key_does_not_change_the_join(spark, skewed, how, hot_rows):
     many, one = skewed
-    spread = skew.spread_join(many, one, ["k"], how, hot_rows=hot_rows, salts=8)
+    spread = skew.spread_join(many, one, ["k"], how, hot_rows=hot_rows)
     assert rows_of(spread) == rows_of(many.join(one, "k", how))
 
 
@@ -100,7 +106,7 @@ def test_a_hot_key_reaches_several_tasks(spark, skewed):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        joined = skew.spread_join(many, one, ["k"], hot_rows=10, salts=8).where("k = 0")
+        joined = skew.spread_join(many, one, ["k"], hot_rows=10).where("k = 0")
         assert joined.select(F.spark_partition_id()).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -115,7 +121,7 @@ def test_hot_keys_are_few(spark, skewed):
 def test_spread_join_takes_maps(spark):
     many = spark.createDataFrame([(1, {"a": "b"})] * 4, "k int, m map<string,string>")
     one = spark.createDataFrame([(1, "x")], "k int, v string")
-    assert skew.spread_join(many, one, ["k"], hot_rows=1, salts=2).count() == 4
+    assert skew.spread_join(many, one, ["k"], hot_rows=1).count() == 4
 
 
 def test_enrich_drops_or_keeps_unknown_keys(spark):
@@ -133,7 +139,7 @@ def test_age_is_days_over_365(spark):
     assert age.first().age == 31
 
 
-def test_products_do_not_depend_on_the_way_they_are_joined(spark, scratch):
+def test_products_do_not_depend_on_the_way_they_are_joined(spark, scratch, monkeypatch):
     def stored(rows, schema):
         path = scratch("dim")
         spark.createDataFrame(rows, schema).write.parquet(path)
@@ -148,6 +154,7 @@ def test_products_do_not_depend_on_the_way_they_are_joined(spark, scratch):
         stored([("6", "category")], "id string, name string"),
     ]
     small = dims.with_product(facts, *tables, with_price=True)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", -1)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         large = dims.with_product(facts, *tables, with_price=True)
@@ -166,21 +173,32 @@ def test_schemas_are_valid(spark):
 def test_hot_keys_may_be_counted_on_another_table(spark, skewed):
     many, one = skewed
     joined = many.withColumn("w", F.col("id") + 1).where("id > 5")
-    spread = skew.spread_join(joined, one, ["k"], hot_rows=10, salts=8, counted=many.select("k"))
+    spread = skew.spread_join(joined, one, ["k"], hot_rows=10, counted=many.select("k"))
     assert rows_of(spread) == rows_of(joined.join(one, "k"))
 
 
-def test_a_table_one_task_can_take_is_joined_plainly(spark, skewed):
+def test_salts_follow_from_the_count(spark, skewed):
+    many, _ = skewed
+    assert [(r.k, r.salts) for r in skew.hot_keys(many, ["k"], 10).collect()] == [(0, 30)]
+    assert [(r.k, r.salts) for r in skew.hot_keys(many, ["k"], 100).collect()] == [(0, 3)]
+
+
+def test_small_lookups_are_broadcast_whatever_their_estimate(spark, skewed):
     many, one = skewed
-    plan = skew.spread_join(many, one, ["k"])._jdf.queryExecution().optimizedPlan().toString()
-    assert "salt" not in plan
+    few = one.groupBy((F.col("k") % 6).alias("k")).agg(F.max("v").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = skew.lookup_join(many, few, ["k"])._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_a_lookup_beyond_the_broadcast_size_is_spread(spark, skewed, how, monkeypatch):
     many, one = skewed
     expected = rows_of(many.join(one, "k", how))
-    monkeypatch.setattr(skew, "ONE_TASK_BYTES", 0)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", -1)
     monkeypatch.setattr(skew, "HOT_ROWS", 10)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:

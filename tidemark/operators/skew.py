@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is spread over SALTS tasks.
+# Rows of one key that one task takes; a key with more is spread over as many tasks as that makes.
 HOT_ROWS = 1_000_000
-SALTS = 32
-# Up to this size one task can take a whole table, so no key of it needs spreading.
-ONE_TASK_BYTES = 128 * 1024 * 1024
+# A lookup with at most this many rows is broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def estimated_bytes(rows: DataFrame) -> int:
@@ -18,18 +17,25 @@ def estimated_bytes(rows: DataFrame) -> int:
 
 
 def fits_broadcast(rows: DataFrame) -> bool:
-    """Whether the size estimate is within the session's broadcast threshold."""
+    """Whether a lookup is small: by Spark's estimate, or else by counting its rows up to the bound.
+
+    The estimate does not know that an aggregate shrinks its input or that a join need not multiply its
+    sides, so a table of a few rows may look large. Counting stops just above the bound.
+    """
     limit = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return limit > 0 and estimated_bytes(rows) <= limit
+    if limit > 0 and estimated_bytes(rows) <= limit:
+        return True
+    return not rows.isStreaming and rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows.
+    """Keys with more than ``hot_rows`` rows, and the ``salts`` that spread them to about that many each.
 
     At most ``count(rows) / hot_rows`` keys can pass, so the result is small by construction.
     """
     counted = rows.where(F.coalesce(*keys).isNotNull()).groupBy(*keys).agg(F.count("*").alias("key_rows"))
-    return counted.where(F.col("key_rows") > hot_rows).drop("key_rows")
+    salts = F.ceil(F.col("key_rows") / hot_rows).cast("int")
+    return counted.where(F.col("key_rows") > hot_rows).select(*keys, salts.alias("salts"))
 
 
 def _content_hash(rows: DataFrame) -> Column:
@@ -44,44 +50,32 @@ def spread_join(
     keys: list[str],
     how: str = "inner",
     hot_rows: int | None = None,
-    salts: int = SALTS,
     counted: DataFrame | None = None,
 ) -> DataFrame:
     """``many.join(one, keys, how)`` with the rows of hot keys spread over several tasks.
 
-    Rows of ``many`` under a hot key get a salt from their own content, and the matching rows of
-    ``one`` are repeated once per salt. All other keys have the single salt 0. Every pair meets
-    exactly once, so the result is that of the plain join. ``how`` is ``inner`` or ``left``.
-    Batch only: counting keys needs the whole input.
+    Rows of ``many`` under a hot key get a salt from their own content, as many salts as the key's count
+    asks for, and the matching rows of ``one`` are repeated once per salt. All other keys have the single
+    salt 0. Every pair meets exactly once, so the result is that of the plain join. ``how`` is ``inner``
+    or ``left``. Batch only: counting keys needs the whole input.
 
     Keys are counted on ``counted``, by default ``many``. Where ``many`` is costly to compute,
-    name the table its keys come from: which keys are spread does not change the result. Without
-    ``hot_rows`` a key is hot above ``HOT_ROWS``, and if all that is counted is small enough for
-    one task the join is a plain one.
+    name the table its keys come from: which keys are spread does not change the result.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how!r}")
-    counted = many if counted is None else counted
-    if hot_rows is None:
-        if estimated_bytes(counted) <= ONE_TASK_BYTES:
-            return many.join(one, keys, how)
-        hot_rows = HOT_ROWS
-    hot = F.broadcast(hot_keys(counted, keys, hot_rows).withColumn("is_hot", F.lit(True)))
-    own_salt = F.pmod(_content_hash(many), F.lit(salts)).cast("int")
-    spread = F.col("is_hot").isNotNull()
+    hot = F.broadcast(hot_keys(many if counted is None else counted, keys, hot_rows or HOT_ROWS))
+    salts = F.col("salts")
     if how == "left":
         # A null key finds nothing; without a salt all of them would meet in one task.
+        null = F.lit(False)
         for key in keys:
-            spread = spread | F.col(key).isNull()
-    salted_many = (
-        many.join(hot, keys, "left").withColumn("salt", F.when(spread, own_salt).otherwise(0)).drop("is_hot")
-    )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_one = (
-        one.join(hot, keys, "left")
-        .withColumn("salt", F.explode(F.when(F.col("is_hot").isNotNull(), every_salt).otherwise(F.array(F.lit(0)))))
-        .drop("is_hot")
-    )
+            null = null | F.col(key).isNull()
+        salts = F.when(null, F.lit(1 << 20)).otherwise(salts)
+    own_salt = F.pmod(_content_hash(many), F.coalesce(salts, F.lit(1))).cast("int")
+    salted_many = many.join(hot, keys, "left").withColumn("salt", own_salt).drop("salts")
+    every_salt = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+    salted_one = one.join(hot, keys, "left").withColumn("salt", F.explode(every_salt)).drop("salts")
     return salted_many.join(salted_one, [*keys, "salt"], how).drop("salt")
 
 
@@ -90,9 +84,9 @@ def lookup_join(
 ) -> DataFrame:
     """Join to a lookup table with unique keys.
 
-    A lookup within the broadcast threshold is broadcast. Beyond it, ``counted`` (see
-    ``spread_join``) spreads hot keys from the start; without it the join is left to adaptive
-    execution, which splits the skewed partitions it measures and needs no pass over the rows.
+    A small lookup (``fits_broadcast``) is broadcast. Beyond it, ``counted`` (see ``spread_join``)
+    spreads hot keys from the start; without it the join is left to adaptive execution, which splits
+    the skewed partitions it measures and needs no pass over the rows.
     """
     if fits_broadcast(lookup):
         return rows.join(F.broadcast(lookup), keys, how)

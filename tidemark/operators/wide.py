@@ -24,11 +24,14 @@ def interval_join(
     Bounds are Spark interval texts such as ``'-5 seconds'`` and are inclusive. ``right`` is the
     side that may have many rows per key. Apart from the key the two sides must not share column
     names. On streams both sides need a watermark, from which Spark derives when to drop state.
+
+    A key with very many rows is left to adaptive execution, which splits the partition it measures;
+    with ``hot_rows`` keys are counted first and those above it spread from the start.
     """
     band = F.col(right_time).between(
         F.col(left_time) + F.expr(f"INTERVAL '{lower}'"), F.col(left_time) + F.expr(f"INTERVAL '{upper}'")
     )
-    if left.isStreaming or right.isStreaming:
+    if hot_rows is None or left.isStreaming or right.isStreaming:
         return left.join(right, key).where(band)
     return spread_join(right, left, [key], hot_rows=hot_rows).where(band)
 
@@ -103,13 +106,11 @@ def payment_wide(
     lower: str = "-5 seconds",
     upper: str = "15 minutes",
     watermark: str = "0 seconds",
-    counted: DataFrame | None = None,
 ) -> DataFrame:
     """One row per paid order detail.
 
     Where an order and its payment both have a column (``user_id``, ``total_amount``), the
-    payment's value stands. ``create_time`` is kept from both under separate names. ``counted`` is
-    a table to find hot orders in, by default the wide rows (see ``skew.spread_join``).
+    payment's value stands. ``create_time`` is kept from both under separate names.
     """
     left = wide.drop("user_id", "total_amount", "create_date", "create_hour").withColumnsRenamed(
         {"create_time": "order_create_time", "rt": "order_time"}
@@ -127,13 +128,12 @@ def payment_wide(
     )
     if left.isStreaming or right.isStreaming:
         return interval_join(left, right, "order_id", "order_time", "rt", lower, upper).drop("order_time")
-    # Many details share one order and so one payment: the details are the side that may be hot.
     after = F.col("rt") >= F.col("order_time") + F.expr(f"INTERVAL '{lower}'")
     before = F.col("rt") <= F.col("order_time") + F.expr(f"INTERVAL '{upper}'")
-    return spread_join(left, right, ["order_id"], counted=counted).where(after & before).drop("order_time")
+    return left.join(right, "order_id").where(after & before).drop("order_time")
 
 
-# Columns filled from the other row, and columns only ever kept.
+# Columns filled from the other row.
 FILLED_COLUMNS = [
     "order_status",
     "create_time",
@@ -152,9 +152,12 @@ FILLED_COLUMNS = [
 
 
 def fill_from(wide: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Fill nulls of a wide row from another row with the same key; all rows are kept."""
+    """Fill nulls of a wide row from another row with the same key; all rows are kept, none is repeated.
+
+    Of several other rows under one key the first value that is not null counts, by the order of values.
+    """
     filled = [name for name in FILLED_COLUMNS if name in wide.columns and name not in keys]
-    source = other.select(*keys, *[F.col(name).alias(f"other_{name}") for name in filled])
+    source = other.groupBy(*keys).agg(*[F.min(name).alias(f"other_{name}") for name in filled])
     return wide.join(source, keys, "left").select(
         *[F.coalesce(name, f"other_{name}").alias(name) if name in filled else F.col(name) for name in wide.columns]
     )
