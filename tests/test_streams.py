@@ -78,14 +78,50 @@ def test_a_late_page_is_dropped(pages, stream_of, finish):
 
 def test_unique_visits(pages, stream_of, finish):
     rows = random_pages(200, 8, 3 * 86_400_000, 3)
-    stream = stream_of(*[pages(part) for part in in_order(rows, 3)])
-    found = finish(processors.unique_visits_stream(stream))
-    expected = visits.unique_visits(pages(rows), ["event_id"])
-
-    def days(log):
-        return sorted((r.mid, r.ts // 86_400_000) for r in log.select("common.mid", "ts").collect())
-
-    assert days(found) == days(expected)
+    stream = stream_of(*[pages(part) for part in in_order(rows, 3)], pages([(-1, "closing", FAR, None, "0")]))
+    found = real(finish(processors.unique_visits_stream(stream, "event_id"))).drop("batch_id")
+    assert rows_of(found) == rows_of(visits.unique_visits(pages(rows), ["event_id"]))
+
+
+def test_the_earliest_visit_counts_not_the_first_to_arrive(pages, stream_of, finish):
+    batches = [[(1, "a", 36_000_000, None, "0")], [(2, "a", 32_000_000, None, "0")], [(3, "a", 90_000_000, None, "0")]]
+    stream = stream_of(*[pages(part) for part in batches], pages([closing(-1)]), pages([(-2, "end", FAR, None, "0")]))
+    found = finish(processors.unique_visits_stream(stream, "event_id", watermark="2 hours"))
+    assert ids(found.where("event_id > 0")) == [2, 3]
+
+
+def test_visits_bounces_and_statistics_run_at_the_same_time(spark, pages, scratch):
+    """A dozen micro-batches through the three jobs with their defaults; none of the results comes too late."""
+    rows = random_pages(1500, 40, 220_000, 11)
+    end = [(-1, "closing", FAR, "home", "0")]
+    source, folders = scratch("pages"), {name: scratch(name) for name in ("visits", "bounces", "stats")}
+    pages([]).write.parquet(source)
+    log = spark.readStream.schema(pages([]).schema).parquet(source)
+    found = {
+        "visits": processors.unique_visits_stream(log, "event_id"),
+        "bounces": processors.bounces_stream(log, "event_id"),
+    }
+    followed = {}
+    for name, stream in found.items():
+        spark.createDataFrame([], stream.schema).write.parquet(f"{folders[name]}/batch_id=-1")
+        schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch_id int"
+        followed[name] = spark.readStream.schema(schema).parquet(folders[name]).drop("batch_id")
+    union = facts.union_facts(
+        facts.page_facts(log), facts.visit_facts(followed["visits"]), facts.bounce_facts(followed["bounces"])
+    )
+    found["stats"] = stats.visitor_stats(union)
+    for batch in [*in_order(rows, 12), end]:
+        pages(batch).coalesce(1).write.mode("append").parquet(source)
+        for name, stream in found.items():
+            jobs.run_to_table(stream, folders[name], f"{folders[name]}-checkpoint")
+    log = pages(rows)
+    union = facts.union_facts(
+        facts.page_facts(log),
+        facts.visit_facts(visits.unique_visits(log, ["event_id"])),
+        facts.bounce_facts(visits.bounces(log, ["event_id"])),
+    )
+    done = spark.read.parquet(folders["stats"]).drop("batch_id").where("stt < '2000-01-01' or ts < 1000000000")
+    assert rows_of(done) == rows_of(stats.visitor_stats(union))
 
 
 def text(second):

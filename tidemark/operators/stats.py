@@ -37,8 +37,19 @@ def stamp_now(stats: DataFrame) -> DataFrame:
     return stats.withColumn("ts", F.unix_millis(F.current_timestamp()))
 
 
+def visitor_lateness(gap_ms: int = 10_000, watermark_ms: int = 2_000, slack_ms: int = 3_000) -> str:
+    """How long visitor statistics have to wait for bounces judged with this gap and watermark.
+
+    With the defaults this is the 15 seconds of ``visitor_stats``.
+    """
+    return f"{gap_ms + watermark_ms + slack_ms} milliseconds"
+
+
 def visitor_stats(facts: DataFrame, window: str = "10 seconds", watermark: str = "15 seconds") -> DataFrame:
-    """Visits, pages, entries, bounces and time on page by area, channel, version and new flag."""
+    """Visits, pages, entries, bounces and time on page by area, channel, version and new flag.
+
+    A stream must wait as long as its inputs can be late; bounces come last (``visitor_lateness``).
+    """
     keys = ["vc", "ch", "ar", "is_new"]
     sums = [F.sum(name).alias(name) for name in VISITOR_COUNTERS]
     return (

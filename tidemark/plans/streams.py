@@ -1,171 +1,184 @@
-"""The same pipelines as streams over the given tables, each run until its input is used up.
+"""The same pipelines as streams over the given tables, in several micro-batches in order of time.
 
-A table is read where it lies, all its files in one micro-batch, so rows need not be stored in
-order of time. One closing row far in the future, which is removed from every result, lets the
-watermark pass all others so that the last windows and timers close.
+Jobs that feed each other run side by side: after every part of the input each of them runs once (see
+``replay``). A job waits for late rows as long as the jobs it reads from can hold rows back; those
+times follow from the same bands and gaps.
 """
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.records import to_json_lines
+from tidemark.functions.times import millis_to_time
 from tidemark.operators import changes, facts, keywords, stats, wide
 from tidemark.plans import inputs, warehouse
+from tidemark.plans.replay import FAR, FAR_MS, PARTS, Replay, millis_part, part_of, run_one, text_part
 from tidemark.session import scratch_path
-from tidemark.sources.tables import batch_writer, newest_versions
+from tidemark.sources import topics
+from tidemark.sources.tables import batch_writer
 from tidemark.streaming import jobs, processors
 
-FAR = datetime.datetime(2100, 1, 1, tzinfo=datetime.timezone.utc)
-FAR_MS = int(FAR.timestamp()) * 1000
 CLOSING = "closing"
+# A wide order leaves with its last detail, up to this long after its order; a payment fact with the
+# later of the payment and the wide order, a payment being up to the same time before its order.
+WIDE_LATENESS, PAID_LATENESS = "5 seconds", "10 seconds"
+# Every so many events one comes a part late in ``late_pages``.
+LATE_EVERY = 50
+
+
+def pages(replay: Replay, sf_dir: str, part: Column | None = None) -> DataFrame:
+    log = inputs.page_log(inputs.table(replay.spark, sf_dir, "events"))
+
+    def filled(column: str, **values: str) -> Column:
+        fields = log.schema[column].dataType.fields
+        return F.struct(*[F.lit(values.get(field.name)).cast(field.dataType).alias(field.name) for field in fields])
+
+    return replay.source(
+        log,
+        millis_part() if part is None else part,
+        common=filled("common", mid=CLOSING),
+        page=filled("page", last_page_id="home"),
+        ts=F.lit(FAR_MS),
+        event_id=F.lit(-1),
+    )
 
 
-def open_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = inputs.table(spark, sf_dir, name).schema
-    # A stream reads a folder or a pattern; the pattern also finds a table that is a single file.
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
-
-
-def with_closing_row(rows: DataFrame, **values: Column) -> DataFrame:
-    """The stream and one more row with these values, null elsewhere."""
-    spark = rows.sparkSession
-    row = [values.get(field.name, F.lit(None)).cast(field.dataType.simpleString()).alias(field.name) for field in rows.schema]
-    path = scratch_path(spark, "closing-row")
-    spark.range(1).select(*row).write.parquet(path)
-    return rows.unionByName(spark.readStream.schema(rows.schema).parquet(path))
-
-
-def run(stream: DataFrame, label: str, mode: str = "append") -> str:
-    """Run a stream into a new table under the shared folder and return the table's path."""
-    spark = stream.sparkSession
-    path = scratch_path(spark, label)
-    jobs.run_to_table(stream, path, scratch_path(spark, f"{label}-checkpoint"), mode)
-    return path
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("batch_id")
+def _without_closing(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("common.mid") != CLOSING)
 
 
-def reopen(spark: SparkSession, path: str) -> DataFrame:
-    """A stored table as a stream, the way the next job reads a topic."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).drop("batch_id")
+def _bounced(log: DataFrame) -> DataFrame:
+    return processors.bounces_stream(log, inputs.TIE, warehouse.BOUNCE_GAP_MS, warehouse.BOUNCE_CHUNK_MS)
 
 
-def page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = inputs.page_log(open_stream(spark, sf_dir, "events"))
-    common = F.struct(
-        *[F.lit(CLOSING if name == "mid" else None).cast("string").alias(name) for name in log.schema["common"].dataType.names]
-    )
-    page = F.struct(
-        *[
-            F.lit("home" if field.name == "last_page_id" else None).cast(field.dataType).alias(field.name)
-            for field in log.schema["page"].dataType
-        ]
+def new_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = run_one(
+        spark, lambda replay: processors.repair_new_flag_stream(pages(replay, sf_dir), inputs.TIE), "new-flag"
     )
-    return with_closing_row(log, common=common, page=page, ts=F.lit(FAR_MS), event_id=F.lit(-1))
+    return _without_closing(done)
 
 
-def _without_closing(pages: DataFrame) -> DataFrame:
-    return pages.where(F.col("common.mid") != CLOSING)
+def unique_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_one(
+        spark, lambda replay: processors.unique_visits_stream(pages(replay, sf_dir), inputs.TIE), "unique-visit"
+    )
 
 
-def new_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    repaired = processors.repair_new_flag_stream(page_stream(spark, sf_dir), inputs.TIE)
-    return _without_closing(read(spark, run(repaired, "new-flag")))
+def bounces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_one(spark, lambda replay: _bounced(pages(replay, sf_dir)), "bounce")
 
 
-def _run_unique_visits(spark: SparkSession, sf_dir: str) -> str:
-    return run(processors.unique_visits_stream(page_stream(spark, sf_dir)), "unique-visit")
+def visitor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three jobs at the same time: unique visits, bounces, and the statistics that read both and the pages."""
 
+    def build(replay: Replay) -> DataFrame:
+        log = pages(replay, sf_dir)
+        visits = replay.chained(processors.unique_visits_stream(log, inputs.TIE), "unique-visit")
+        bounced = replay.chained(_bounced(log), "bounce")
+        union = facts.union_facts(facts.page_facts(log), facts.visit_facts(visits), facts.bounce_facts(bounced))
+        return stats.visitor_stats(union, "1 hour", stats.visitor_lateness(warehouse.BOUNCE_GAP_MS))
 
-def unique_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _without_closing(read(spark, _run_unique_visits(spark, sf_dir)))
+    return run_one(spark, build, "visitor-stats").where(F.col("stt") < FAR)
 
 
-def _run_bounces(spark: SparkSession, sf_dir: str) -> str:
-    found = processors.bounces_stream(
-        page_stream(spark, sf_dir), inputs.TIE, warehouse.BOUNCE_GAP_MS, warehouse.STREAM_CHUNK_MS
-    )
-    return run(found, "bounce")
+def late_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page counts per hour where some pages come a part late: those whose hour is closed are dropped."""
 
+    def build(replay: Replay) -> DataFrame:
+        late = F.when(F.col(inputs.TIE) % LATE_EVERY == 0, 1).otherwise(0)
+        return stats.visitor_stats(facts.page_facts(pages(replay, sf_dir, millis_part() + late)), "1 hour")
 
-def bounces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _without_closing(read(spark, _run_bounces(spark, sf_dir)))
+    return run_one(spark, build, "late-pages").where(F.col("stt") < FAR)
 
 
-def visitor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three jobs: unique visits and bounces to tables, then their union with the pages."""
-    visits = reopen(spark, _run_unique_visits(spark, sf_dir))
-    bounced = reopen(spark, _run_bounces(spark, sf_dir))
-    union = facts.union_facts(
-        facts.page_facts(page_stream(spark, sf_dir)), facts.visit_facts(visits), facts.bounce_facts(bounced)
-    )
-    done = run(stats.visitor_stats(union, window="1 hour"), "visitor-stats")
-    return read(spark, done).where(F.col("stt") < FAR)
+def _order_wide(replay: Replay, sf_dir: str) -> DataFrame:
+    orders = replay.source(warehouse.orders(replay.spark, sf_dir), text_part())
+    details = replay.source(warehouse.details(replay.spark, sf_dir), text_part())
+    return wide.order_wide(orders, details)
 
 
-def _run_order_wide(spark: SparkSession, sf_dir: str) -> str:
-    orders = inputs.order_info(open_stream(spark, sf_dir, "orders"))
-    details = inputs.order_detail(open_stream(spark, sf_dir, "lineitem"))
-    return run(wide.order_wide(orders, details), "order-wide")
+def _payment_wide(replay: Replay, sf_dir: str, ordered: DataFrame) -> DataFrame:
+    payments = replay.source(warehouse.payments(replay.spark, sf_dir), text_part())
+    return wide.payment_wide(ordered.withWatermark("rt", WIDE_LATENESS), payments)
 
 
 def order_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Details join their orders as a stream; the wide rows then join the dimensions."""
-    rows = warehouse.with_user(read(spark, _run_order_wide(spark, sf_dir)), spark, sf_dir)
-    return warehouse.with_product(warehouse.with_province(rows, spark, sf_dir), spark, sf_dir)
+    """Details join their orders as a stream; each micro-batch joins the dimensions as they are then."""
+    replay = Replay(spark)
+    path = scratch_path(spark, "order-wide")
 
+    def with_dimensions(rows: DataFrame) -> DataFrame:
+        rows = warehouse.with_province(warehouse.with_user(rows, spark, sf_dir), spark, sf_dir)
+        return warehouse.with_product(rows, spark, sf_dir)
 
-def _run_payment_wide(spark: SparkSession, sf_dir: str, orders_path: str) -> str:
-    payments = inputs.payment_info(open_stream(spark, sf_dir, "orders"))
-    orders = reopen(spark, orders_path).withWatermark("rt", "0 seconds")
-    return run(wide.payment_wide(orders, payments), "payment-wide")
+    replay.job(_order_wide(replay, sf_dir), "wide", write=batch_writer(path, transform=with_dimensions))
+    replay.run()
+    return replay.read(path)
 
 
 def payment_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide orders, then payments, as two streams one after the other; then the dimensions."""
-    rows = read(spark, _run_payment_wide(spark, sf_dir, _run_order_wide(spark, sf_dir)))
-    return warehouse.with_payment_dimensions(rows, spark, sf_dir)
+    """Wide orders and payments as two jobs at the same time; then the dimensions, per micro-batch."""
+    replay = Replay(spark)
+    path = scratch_path(spark, "payment-wide")
+    paid = _payment_wide(replay, sf_dir, replay.chained(_order_wide(replay, sf_dir), "order-wide"))
+
+    def with_dimensions(rows: DataFrame) -> DataFrame:
+        return warehouse.with_payment_dimensions(rows, spark, sf_dir)
+
+    replay.job(paid, "paid", write=batch_writer(path, transform=with_dimensions))
+    replay.run()
+    return replay.read(path)
 
 
 def product_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three jobs: wide orders, wide payments, then the union of all facts."""
-    orders_path = _run_order_wide(spark, sf_dir)
-    paid_path = _run_payment_wide(spark, sf_dir, orders_path)
-    events = open_stream(spark, sf_dir, "events")
-    lineitem = open_stream(spark, sf_dir, "lineitem")
-    log = inputs.page_log(events)
-    union = facts.union_facts(
-        facts.click_facts(log),
-        facts.display_facts(log),
-        facts.favor_facts(inputs.favor_info(events)),
-        facts.cart_facts(inputs.cart_info(events)),
-        facts.order_facts(reopen(spark, orders_path)),
-        facts.payment_facts(reopen(spark, paid_path)),
-        facts.refund_facts(inputs.order_refund_info(lineitem)),
-        facts.comment_facts(inputs.comment_info(lineitem)),
-    )
-    union = with_closing_row(union, fact=F.lit(CLOSING), sku_id=F.lit(-1), rt=F.lit(FAR))
-    done = read(spark, run(stats.product_stats(union, window="1 day"), "product-stats"))
-    return warehouse.with_product(done.where(F.col("stt") < FAR), spark, sf_dir, with_price=True)
+    """Three jobs at the same time: wide orders, wide payments, and the statistics over all facts."""
+
+    def build(replay: Replay) -> DataFrame:
+        events = inputs.table(spark, sf_dir, "events")
+        lineitem = inputs.table(spark, sf_dir, "lineitem")
+        ordered = replay.chained(_order_wide(replay, sf_dir), "order-wide")
+        paid = replay.chained(_payment_wide(replay, sf_dir, ordered), "payment-wide")
+        log = replay.source(inputs.page_log(events), millis_part())
+        union = facts.union_facts(
+            facts.click_facts(log),
+            facts.display_facts(log),
+            facts.favor_facts(replay.source(inputs.favor_info(events), text_part())),
+            facts.cart_facts(replay.source(inputs.cart_info(events), text_part())),
+            facts.order_facts(ordered),
+            facts.payment_facts(paid),
+            facts.refund_facts(replay.source(inputs.order_refund_info(lineitem), text_part())),
+            facts.comment_facts(
+                replay.source(
+                    inputs.comment_info(lineitem),
+                    text_part(),
+                    sku_id=F.lit(-1),
+                    create_time=F.lit("2100-01-01 00:00:00"),
+                )
+            ),
+        )
+        return stats.product_stats(union, "1 day", PAID_LATENESS)
+
+    done = run_one(spark, build, "product-stats").where(F.col("stt") < FAR)
+    return warehouse.with_product(done, spark, sf_dir, with_price=True)
 
 
 def province_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide_rows = reopen(spark, _run_order_wide(spark, sf_dir))
-    rows = with_closing_row(warehouse.with_province(wide_rows, spark, sf_dir), rt=F.lit(FAR))
-    done = run(stats.province_stats(rows, window="1 day"), "province-stats")
-    return read(spark, done).where(F.col("stt") < FAR)
+    def build(replay: Replay) -> DataFrame:
+        ordered = replay.chained(_order_wide(replay, sf_dir), "order-wide")
+        rows = warehouse.with_province(ordered, spark, sf_dir)
+        closing = replay.source(rows.sparkSession.createDataFrame([], rows.schema), F.lit(0), rt=F.lit(FAR))
+        return stats.province_stats(rows.unionByName(closing), "1 day", WIDE_LATENESS)
+
+    return run_one(spark, build, "province-stats").where(F.col("stt") < FAR)
 
 
 def keyword_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword counts per closed window, split into words micro-batch by micro-batch."""
-    searched = keywords.search_keywords(inputs.search_pages(open_stream(spark, sf_dir, "conversations")))
-    searched = with_closing_row(searched, keyword=F.lit(CLOSING), rt=F.lit(FAR))
-    counts = keywords.keyword_counts(searched, window="1 day")
+    replay = Replay(spark)
+    found = keywords.search_keywords(inputs.search_pages(inputs.table(spark, sf_dir, "conversations")))
+    searched = replay.source(found, millis_part(), keyword=F.lit(CLOSING), ts=F.lit(FAR_MS), rt=F.lit(FAR))
     path = scratch_path(spark, "keyword-stats")
     writer = jobs.keyword_writer(
         path,
@@ -173,25 +186,54 @@ def keyword_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         dictionary_runs=inputs.LETTER_RUNS,
         word_runs=inputs.DIGIT_RUNS,
     )
-    jobs.run_available(counts, writer, scratch_path(spark, "keyword-stats-checkpoint"))
-    return read(spark, path).where(F.col("stt") < FAR)
+    replay.job(keywords.keyword_counts(searched, window="1 day"), "keyword-counts", write=writer)
+    replay.run()
+    return replay.read(path).where(F.col("stt") < FAR)
 
 
 def routed_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Topic messages and dimension changes, routed by rules read per micro-batch."""
-    customer = inputs.captured_changes(open_stream(spark, sf_dir, "customer"), "customer", "c_custkey")
-    orders = inputs.captured_changes(open_stream(spark, sf_dir, "orders"), "orders", "o_orderkey")
-    captured = changes.normalise_changes(customer.unionByName(orders))
-    topics, dimensions = scratch_path(spark, "topics"), scratch_path(spark, "dimensions")
-    writer = jobs.route_writer(topics, dimensions, lambda: changes.current_rules(inputs.rule_table(spark)))
-    jobs.run_available(captured, writer, scratch_path(spark, "route-checkpoint"))
-    return read(spark, topics), spark.read.parquet(dimensions)
+    replay = Replay(spark)
+    captured = [
+        replay.source(
+            inputs.captured_changes(inputs.table(spark, sf_dir, name), name, key), F.pmod("seq", F.lit(PARTS)).cast("int")
+        )
+        for name, key in (("customer", "c_custkey"), ("orders", "o_orderkey"))
+    ]
+    envelopes = changes.normalise_changes(captured[0].unionByName(captured[1]))
+    facts_path, dimensions = scratch_path(spark, "topics"), scratch_path(spark, "dimensions")
+    writer = jobs.route_writer(facts_path, dimensions, lambda: changes.current_rules(inputs.rule_table(spark)))
+    replay.job(envelopes, "route", write=writer)
+    replay.run()
+    return replay.read(facts_path), spark.read.parquet(dimensions)
+
+
+def topic_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as JSON messages in a topic, which a second job opens as a SQL table."""
+    log = inputs.page_log(inputs.table(spark, sf_dir, "events"))
+    lines, root = scratch_path(spark, "lines"), scratch_path(spark, "topics")
+    to_json_lines(log).repartition(PARTS).write.text(lines)
+    # One file per micro-batch here; a topic of a real size has no such limit.
+    messages = spark.readStream.option("maxFilesPerTrigger", 1).text(lines)
+    writer = topics.topic_writer(messages, "dwd_page_log", scratch_path(spark, "topic-checkpoint"), root=root)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    found = topics.read_topic(spark, "dwd_page_log", root=root, maxFilesPerTrigger="1")
+    topics.register_topic_table(spark, "page_topic", found, inputs.LOG_WITH_TIE, millis_to_time("ts"))
+    later = spark.sql("SELECT event_id, common.mid AS mid, rt, rt + INTERVAL '8' HOUR AS later FROM page_topic")
+    path = scratch_path(spark, "topic-table")
+    jobs.run_to_table(later, path, scratch_path(spark, "table-checkpoint"))
+    return spark.read.parquet(path).drop("batch_id")
 
 
 def window_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every total an update-mode stream puts out, reduced to the newest per window."""
-    readings = inputs.sensors(open_stream(spark, sf_dir, "events"))
-    path = scratch_path(spark, "sensor-totals")
-    totals = stats.sensor_totals(readings, window="1 day")
-    jobs.run_available(totals, batch_writer(path), scratch_path(spark, "sensor-checkpoint"), "update")
-    return newest_versions(spark.read.parquet(path), ["id"])
+    """Every total an update-mode stream puts out, with its micro-batch.
+
+    Readings of every day come in every part, so each window's total is put out again as it grows.
+    """
+    replay = Replay(spark)
+    rows = inputs.sensors(inputs.table(spark, sf_dir, "events"))
+    turn = F.pmod(F.unix_micros("rt"), F.lit(PARTS)).cast("int")
+    totals = stats.sensor_totals(replay.source(rows, turn), window="1 day", watermark="60 days")
+    path = replay.job(totals, "sensor-totals", "update")
+    replay.run()
+    return spark.read.parquet(path)

@@ -96,36 +96,56 @@ def repair_new_flag_stream(logs: DataFrame, tie: str, watermark: str = "2 second
 
 
 PAGE_SCHEMA = "ts bigint, tie bigint, is_entry boolean, is_own boolean, payload string"
+ENTRY_SCHEMA = "ts bigint, payload string"
 
 
 class BounceFinder(StatefulProcessor):
-    """Per mid and chunk of time, keeps the pages until all that can matter have arrived."""
+    """Per mid and chunk of time, judges an entry page as soon as the watermark allows.
 
-    def __init__(self, gap_ms: int, chunk_ms: int) -> None:
+    The state is the pages the watermark has not passed and one entry page that waits for the next
+    one. An entry page leaves as a bounce when the next page shows it, or when the watermark passes
+    its time and the gap, whichever is first.
+    """
+
+    def __init__(self, gap_ms: int) -> None:
         self.gap_ms = gap_ms
-        self.chunk_ms = chunk_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pages = handle.getListState("pages", PAGE_SCHEMA)
+        self.entry = handle.getValueState("entry", ENTRY_SCHEMA)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # The same time for every page of the chunk, so registering it again changes nothing.
-        self.handle.registerTimer((int(key[1]) + 1) * self.chunk_ms + self.gap_ms)
         columns = ["ts", "tie", "is_entry", "is_own", "payload"]
         for pages in rows:
             self.pages.appendList(list(zip(*[pages[name].tolist() for name in columns])))
+            self.handle.registerTimer(int(pages["ts"].min()) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
         pages = sorted(self.pages.get(), key=lambda page: page[:2])
-        self.pages.clear()
-        bounced = []
-        for page, following in zip(pages, [*pages[1:], None]):
-            ts, tie, is_entry, is_own, payload = page
-            stays = following is not None and not following[2] and following[0] - ts < self.gap_ms
-            if is_own and is_entry and not stays:
-                bounced.append((payload,))
+        done = sum(1 for page in pages if page[0] <= passed)
+        held = self.entry.get() if self.entry.exists() else None
+        entry, bounced = held, []
+        for ts, _, is_entry, is_own, payload in pages[:done]:
+            if entry is not None and (is_entry or ts - entry[0] >= self.gap_ms):
+                bounced.append((entry[1],))
+            entry = (ts, payload) if is_entry and is_own else None
+        if entry is not None and entry[0] + self.gap_ms <= passed:
+            bounced.append((entry[1],))
+            entry = None
+        if done:
+            self.pages.clear()
+            if done < len(pages):
+                self.pages.appendList(pages[done:])
+        if done < len(pages):
+            self.handle.registerTimer(pages[done][0] + 1)
+        if entry != held:
+            self.entry.clear()
+            if entry is not None:
+                self.entry.update(entry)
+                self.handle.registerTimer(entry[0] + self.gap_ms + 1)
         if bounced:
             yield pd.DataFrame(bounced, columns=["payload"])
 
@@ -138,10 +158,10 @@ def bounces_stream(
 ) -> DataFrame:
     """Streaming form of ``operators.visits.bounces``.
 
-    State is held per mid and chunk of time and dropped when the watermark has passed the chunk
-    and the gap after it, so neither a busy mid nor a long run grows it. Of pages that cannot
-    bounce only the times are held. A result is at most one chunk and one gap late; a shorter
-    chunk brings it sooner.
+    State is held per mid and chunk of time, so a busy mid is spread over its chunks; pages that lie
+    within the gap after a chunk's start are also shown to the chunk before. Of pages that cannot
+    bounce only the times are held. A bounce leaves at most the gap and the watermark after its time,
+    which is how long a job that reads it has to wait (``stats.visitor_lateness``).
     """
     schema = pages.schema
     chunk_ms = max(chunk_ms, gap_ms)
@@ -165,7 +185,7 @@ def bounces_stream(
         )
     )
     found = thin.groupBy("mid", "chunk").transformWithStateInPandas(
-        statefulProcessor=BounceFinder(gap_ms, chunk_ms),
+        statefulProcessor=BounceFinder(gap_ms),
         outputStructType="payload string",
         outputMode="Append",
         timeMode="eventTime",
@@ -173,16 +193,75 @@ def bounces_stream(
     return found.select(F.from_json("payload", schema).alias("page")).select("page.*")
 
 
-def unique_visits_stream(pages: DataFrame, granularity: str = "day") -> DataFrame:
-    """Streaming form of ``operators.visits.unique_visits``: the first entry page to arrive.
+VISIT_SCHEMA = "ts bigint, tie bigint, payload string, settled boolean"
+
+
+class FirstVisit(StatefulProcessor):
+    """Per visitor and day, holds the earliest entry page until the watermark has passed it.
+
+    What comes after it, or after it has left, is dropped. The state goes when the day has passed.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", VISIT_SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.first.get() if self.first.exists() else None
+        best = held
+        for visits in rows:
+            if best is not None and best[3]:
+                continue
+            visits = visits.sort_values(["ts", "tie"], kind="stable").iloc[0]
+            found = (int(visits["ts"]), int(visits["tie"]), str(visits["payload"]), False)
+            self.handle.registerTimer(max(int(visits["until"]), found[0]) + 1)
+            if best is None or found[:2] < best[:2]:
+                best = found
+        if best is not held:
+            if held is not None:
+                self.handle.deleteTimer(held[0] + 1)
+            self.first.update(best)
+            self.handle.registerTimer(best[0] + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.first.exists():
+            return
+        ts, tie, payload, settled = self.first.get()
+        if not settled:
+            self.first.update((ts, tie, "", True))
+            yield pd.DataFrame([(payload,)], columns=["payload"])
+        elif expiredTimerInfo.getExpiryTimeInMs() > ts + 1:
+            self.first.clear()
+
+    def close(self) -> None:
+        pass
+
 
-    A visitor's key is forgotten one day after its event time, when no page of that day can come.
+def unique_visits_stream(
+    pages: DataFrame, tie: str, granularity: str = "day", watermark: str = "2 seconds"
+) -> DataFrame:
+    """Streaming form of ``operators.visits.unique_visits``: the earliest entry page, not the first to arrive.
+
+    Pages that come out of order within the watermark give the batch result. A visit leaves when the
+    watermark has passed its page; the state of a visitor's day goes when the day has passed.
     """
-    entries = pages.where(is_entry_page()).withColumns(
-        {"visit_mid": F.col("common.mid"), "visit_key": visit_key(granularity), "rt": millis_to_time("ts")}
+    schema = pages.schema
+    one = F.expr("INTERVAL 1 DAY") if granularity == "day" else F.expr("INTERVAL 1 SECOND")
+    start = F.date_trunc(granularity, millis_to_time("ts"))
+    thin = pages.where(is_entry_page()).select(
+        F.col("common.mid").alias("visit_mid"),
+        visit_key(granularity).cast("string").alias("visit_key"),
+        "ts",
+        F.col(tie).cast("bigint").alias("tie"),
+        F.unix_millis(start + one).alias("until"),
+        F.to_json(F.struct(*schema.names)).alias("payload"),
+        millis_to_time("ts").alias("rt"),
     )
-    first = entries.withWatermark("rt", "1 day").dropDuplicatesWithinWatermark(["visit_mid", "visit_key"])
-    return first.select(*pages.columns)
+    found = thin.withWatermark("rt", watermark).groupBy("visit_mid", "visit_key").transformWithStateInPandas(
+        statefulProcessor=FirstVisit(), outputStructType="payload string", outputMode="Append", timeMode="eventTime"
+    )
+    return found.select(F.from_json("payload", schema).alias("page")).select("page.*")
 
 
 def use_rocksdb(spark) -> None:
