@@ -85,3 +85,19 @@ def test_stored_dimensions_resolve_to_the_newest_and_survive_a_retry(spark, scra
     tables.compact_dimensions(spark, path, compacted)
     kept = spark.read.parquet(compacted)
     assert rows_of(kept.select("pk", "seq")) == rows_of(tables.read_dimensions(spark, path).select("pk", "seq"))
+
+
+def test_compacted_rows_and_later_changes_equal_the_whole_history(spark, scratch):
+    path, compacted = scratch("dims"), scratch("compact")
+    schema = "sinkTable string, pk string, after map<string,string>, seq bigint"
+    write = tables.batch_writer(path, ["sinkTable"])
+    for batch in range(4):
+        rows = [("t", str(n % 5), {"v": str(batch)}, batch * 10 + n) for n in range(batch, 8)]
+        write(spark.createDataFrame(rows, schema), batch)
+        if batch == 1:
+            tables.compact_dimensions(spark, path, compacted)
+        if batch == 2:
+            tables.compact_dimensions(spark, path, compacted, compacted)
+        if batch:
+            both = tables.read_dimensions(spark, path, compacted).select("pk", "seq", "after.v")
+            assert rows_of(both) == rows_of(tables.read_dimensions(spark, path).select("pk", "seq", "after.v"))

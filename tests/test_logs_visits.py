@@ -38,6 +38,17 @@ def test_dirty_lines_are_split_from_objects(spark):
     assert dirty.count() == 3
 
 
+def test_lines_are_parsed_and_tagged_in_one_pass(spark):
+    values = ["{bad", '{"a":1}', "[1]", None, '{"a":"x"}', ' {"b":2}', '{"a":1', "7", '{"a":3} x']
+    lines = spark.createDataFrame([(value,) for value in values], "value string")
+    tagged = records.parse_or_keep(lines, "a int")
+    good, dirty = records.split_dirty(lines)
+    assert tagged.where("dirty is null").count() == good.count()
+    found = sorted(row.dirty for row in tagged.where("dirty is not null").collect())
+    assert found == sorted(row.value or "" for row in dirty.collect())
+    assert sorted(row.a for row in tagged.where("dirty is null and a is not null").collect())[0] == 1
+
+
 def test_start_page_and_display_logs(spark):
     lines = spark.createDataFrame(
         [

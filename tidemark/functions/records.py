@@ -24,6 +24,20 @@ def split_dirty(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Dat
     return lines.where(is_json_object(column)), lines.where(~is_json_object(column))
 
 
+def parse_or_keep(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """Typed columns of every line and ``dirty``: the text of a line that is no JSON object, else null.
+
+    One pass for a sink that is split by ``dirty``, the same split as ``split_dirty``. A line is parsed
+    once; only one that did not parse to the schema is looked at again. A null line is dirty and has
+    the empty text.
+    """
+    record = F.from_json(column, f"{schema}, unparsed string", {"columnNameOfCorruptRecord": "unparsed"})
+    parsed = lines.select(record.alias("record"), F.col(column).alias("line"))
+    whole = F.col("record.unparsed").isNull() & F.coalesce(F.ltrim("line").startswith("{"), F.lit(False))
+    dirty = F.when(whole, None).when(is_json_object("line"), None).otherwise(F.coalesce("line", F.lit("")))
+    return parsed.select("record.*", dirty.alias("dirty")).drop("unparsed")
+
+
 def to_json_lines(rows: DataFrame) -> DataFrame:
     """Every row as one JSON text in ``value``; null fields are left out."""
     return rows.select(F.to_json(F.struct("*")).alias("value"))

@@ -72,6 +72,12 @@ def unrouted(routed: DataFrame) -> DataFrame:
     return routed.where(~F.coalesce(known, F.lit(False)))
 
 
+def with_output(routed: DataFrame) -> DataFrame:
+    """Add ``output``, ``topic``, ``dimension`` or ``unrouted``: all three in one pass, for a sink split by it."""
+    output = F.when(F.col("sinkType") == SINK_KAFKA, "topic").when(F.col("sinkType") == SINK_HBASE, "dimension")
+    return routed.withColumn("output", output.otherwise("unrouted"))
+
+
 def topic_messages(routed: DataFrame) -> DataFrame:
     """``topic`` and JSON ``value`` of each fact change."""
     return to_topics(routed).select(F.col("sinkTable").alias("topic"), F.to_json("after").alias("value"))

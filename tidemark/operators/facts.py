@@ -97,6 +97,73 @@ def comment_facts(comments: DataFrame) -> DataFrame:
     )
 
 
+def product_fact(kind: str, sku_id: Column, millis: Column, order_id: Column | None = None, **measures) -> Column:
+    """One fact as a struct, for rows that give several; the fields are those of the single facts."""
+    zero_money = F.lit(0).cast(MONEY)
+    return F.struct(
+        F.lit(kind).alias("fact"),
+        sku_id.try_cast("bigint").alias("sku_id"),
+        (F.lit(None) if order_id is None else order_id).cast("bigint").alias("order_id"),
+        *[measures.get(name, F.lit(0)).cast("bigint").alias(name) for name in PRODUCT_COUNTERS],
+        *[F.coalesce(measures.get(name, zero_money).cast(MONEY), zero_money).alias(name) for name in PRODUCT_AMOUNTS],
+        millis.alias("ts"),
+    )
+
+
+def exploded_facts(rows: DataFrame, facts: Column) -> DataFrame:
+    """One row per struct of the array ``facts``; nulls in it are no facts."""
+    found = rows.select(F.explode(facts).alias("one")).where(F.col("one").isNotNull()).select("one.*")
+    return found.withColumn("rt", millis_to_time("ts"))
+
+
+def page_product_facts(pages: DataFrame, favor: Column, cart: Column, sku_id: Column, second: Column) -> DataFrame:
+    """Clicks, displays, favors and carts in one pass over the pages.
+
+    ``favor`` and ``cart`` say which pages stand for one; these facts have ``sku_id`` and the time
+    ``second`` in milliseconds.
+    """
+    clicked = (F.col("page.page_id") == "good_detail") & (F.col("page.item_type") == "sku_id")
+    click = F.when(clicked, product_fact("click", F.col("page.item"), F.col("ts"), click_ct=F.lit(1)))
+    shown = F.transform(
+        F.filter(F.coalesce("displays", F.array()), lambda display: display["item_type"] == "sku_id"),
+        lambda display: product_fact("display", display["item"], F.col("ts"), display_ct=F.lit(1)),
+    )
+    marked = [
+        F.when(favor, product_fact("favor", sku_id, second, favor_ct=F.lit(1))),
+        F.when(cart, product_fact("cart", sku_id, second, cart_ct=F.lit(1))),
+    ]
+    return exploded_facts(pages, F.concat(F.array(click, *marked), shown))
+
+
+def marked_visitor_facts(marked: DataFrame) -> DataFrame:
+    """One visitor fact per page from ``visits.with_visit_marks``, with its visit and bounce counted on it."""
+    entry = F.when(is_entry_page(), 1).otherwise(0)
+    return _visitor_fact(
+        marked,
+        pv_ct=F.lit(1),
+        sv_ct=entry,
+        dur_sum=F.col("page.during_time"),
+        uv_ct=F.col("is_visit").cast("int"),
+        uj_ct=F.col("is_bounce").cast("int"),
+    )
+
+
+def single_visitor_facts(marked: DataFrame) -> DataFrame:
+    """The same as separate facts per page, visit and bounce, as the union of the three streams has them."""
+    together = marked_visitor_facts(marked)
+    zeros = {name: F.lit(0).cast("bigint") for name in VISITOR_COUNTERS}
+
+    def fact(**kept: Column) -> Column:
+        values = {**zeros, **kept}
+        return F.struct(*[values.get(name, F.col(name)).alias(name) for name in together.columns])
+
+    page = fact(pv_ct=F.col("pv_ct"), sv_ct=F.col("sv_ct"), dur_sum=F.col("dur_sum"))
+    visit = F.when(F.col("uv_ct") == 1, fact(uv_ct=F.col("uv_ct")))
+    bounce = F.when(F.col("uj_ct") == 1, fact(uj_ct=F.col("uj_ct")))
+    found = together.select(F.explode(F.array(page, visit, bounce)).alias("one"))
+    return found.where(F.col("one").isNotNull()).select("one.*")
+
+
 def union_facts(*facts: DataFrame) -> DataFrame:
     """All facts together; duplicates stay."""
     return reduce(DataFrame.unionByName, facts)

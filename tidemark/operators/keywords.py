@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import millis_to_time
-from tidemark.operators.skew import fits_broadcast, spread_join
+from tidemark.operators.skew import lookup_join
 
 # Runs searched for dictionary words, and runs that are a word by themselves.
 HAN_RUNS = r"\p{IsHan}+"
@@ -24,33 +24,30 @@ def search_keywords(pages: DataFrame) -> DataFrame:
     )
 
 
-def longest_word(dictionary: DataFrame) -> int:
-    """Length of the longest dictionary word (one number is brought to the driver)."""
-    return dictionary.agg(F.max(F.length("word"))).first()[0] or 0
+def word_lengths(dictionary: DataFrame) -> list[int]:
+    """The lengths that dictionary words have (a few numbers are brought to the driver)."""
+    return sorted(row[0] for row in dictionary.select(F.length("word")).distinct().collect() if row[0])
 
 
 def _runs(text: str, pattern: str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0))
 
 
-def _substrings(run: Column, longest: int) -> Column:
-    """Every substring of up to ``longest`` characters, one per start and length."""
+def _substrings(run: Column, lengths: list[int]) -> Column:
+    """Every substring that has one of these lengths, one per start and length."""
 
     def from_start(start: Column) -> Column:
-        lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.length(run) - start + 1))
-        return F.transform(lengths, lambda size: F.substr(run, start, size))
+        fitting = F.filter(F.array(*map(F.lit, lengths)), lambda size: size <= F.length(run) - start + 1)
+        return F.transform(fitting, lambda size: F.substr(run, start, size))
 
     return F.flatten(F.transform(F.sequence(F.lit(1), F.length(run)), from_start))
 
 
-def _dictionary_words(rows: DataFrame, text: str, dictionary: DataFrame, pattern: str, longest: int) -> DataFrame:
-    """Overlapping dictionary words inside the runs of ``pattern``, one row per occurrence."""
-    words = dictionary.select("word").distinct()
-    runs = rows.withColumn("run", F.explode(_runs(text, pattern)))
-    candidates = runs.withColumn("word", F.explode(_substrings(F.col("run"), longest))).drop("run")
-    if fits_broadcast(dictionary):
-        return candidates.join(F.broadcast(words), "word")
-    return spread_join(candidates, words, ["word"])
+def _tried(text: str, dictionary_runs: str, lengths: list[int]) -> Column:
+    """Substrings of a text that may be dictionary words."""
+    if not lengths:
+        return F.array().cast("array<string>")
+    return F.flatten(F.transform(_runs(text, dictionary_runs), lambda run: _substrings(run, lengths)))
 
 
 def split_keywords(
@@ -66,22 +63,27 @@ def split_keywords(
     default Chinese characters, which are written without spaces) gives every dictionary word in
     it, overlapping ones too. A text without any word gives itself once; a null text gives nothing.
 
-    All substrings up to the longest dictionary word are tried, so no word is missed. Batch only:
-    a text is known to have no word only after all of them were tried.
+    All substrings of the lengths that dictionary words have are tried, so no word is missed. Runs and
+    substrings come from one pass over the rows. Batch only: a text is known to have no word only after
+    all of them were tried.
     """
-    longest = longest_word(dictionary)
+    lengths = word_lengths(dictionary)
+    known = dictionary.select("word").distinct().withColumn("is_known", F.lit(True))
     rows = rows.where(F.col(text).isNotNull())
-    tokens = rows.withColumn("word", F.explode(_runs(text, word_runs)))
     columns = [*rows.columns, "word"]
-    if longest == 0:
-        whole = rows.where(F.size(_runs(text, word_runs)) == 0).withColumn("word", F.col(text))
-        return tokens.unionByName(whole)
-    hits = _dictionary_words(rows, text, dictionary, dictionary_runs, longest).select(*columns)
+    tokens = F.transform(_runs(text, word_runs), lambda word: F.struct(word.alias("word"), F.lit(True).alias("is_run")))
+    tried = _tried(text, dictionary_runs, lengths)
+    tried = F.transform(tried, lambda word: F.struct(word.alias("word"), F.lit(False).alias("is_run")))
+    candidates = rows.withColumn("tried", F.explode(F.concat(tokens, tried))).select(*rows.columns, "tried.*")
+    found = lookup_join(candidates, known, ["word"], "left").where(F.col("is_run") | F.col("is_known"))
     # Only texts without a letter or digit run can turn out to have no word.
     silent = rows.where(F.size(_runs(text, word_runs)) == 0)
-    known = _dictionary_words(silent.select(text).distinct(), text, dictionary, dictionary_runs, longest)
-    whole = silent.join(known.select(text).distinct(), text, "left_anti").withColumn("word", F.col(text))
-    return tokens.unionByName(hits).unionByName(whole.select(*columns))
+    if lengths:
+        texts = silent.select(text).distinct()
+        hits = texts.withColumn("word", F.explode(_tried(text, dictionary_runs, lengths)))
+        hits = lookup_join(hits, known, ["word"]).select(text).distinct()
+        silent = silent.join(hits, text, "left_anti")
+    return found.select(*columns).unionByName(silent.withColumn("word", F.col(text)).select(*columns))
 
 
 def keyword_counts(keywords: DataFrame, window: str = "10 seconds", watermark: str = "2 seconds") -> DataFrame:
@@ -133,7 +135,13 @@ def keyword_stats(
     return word_counts(keyword_counts(keywords, window), dictionary, dictionary_runs, word_runs, source)
 
 
-def register_split_function(spark: SparkSession, dictionary: DataFrame, name: str = "split_keyword") -> None:
+def register_split_function(
+    spark: SparkSession,
+    dictionary: DataFrame,
+    name: str = "split_keyword",
+    dictionary_runs: str = HAN_RUNS,
+    word_runs: str = WORD_RUNS,
+) -> None:
     """Make ``split_keywords`` a SQL table function for lateral joins.
 
     ``SELECT word, rt FROM searches, LATERAL split_keyword(keyword)`` gives one row per word. The
@@ -141,8 +149,8 @@ def register_split_function(spark: SparkSession, dictionary: DataFrame, name: st
     """
     words = f"{name}_dictionary"
     dictionary.select("word").distinct().createOrReplaceTempView(words)
-    longest = longest_word(dictionary)
-    word_runs, han_runs = (pattern.replace("\\", "\\\\") for pattern in (WORD_RUNS, HAN_RUNS))
+    lengths = ", ".join(map(str, word_lengths(dictionary))) or "0"
+    word_runs, dictionary_runs = (pattern.replace("\\", "\\\\") for pattern in (word_runs, dictionary_runs))
     spark.sql(
         f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {name}(keyword STRING) RETURNS TABLE (word STRING) RETURN
@@ -157,11 +165,11 @@ def register_split_function(spark: SparkSession, dictionary: DataFrame, name: st
             SELECT tried.word, NULL
             FROM (
               SELECT explode(flatten(transform(
-                regexp_extract_all(lower(keyword), '{han_runs}', 0),
+                regexp_extract_all(lower(keyword), '{dictionary_runs}', 0),
                 run -> flatten(transform(
                   sequence(1, length(run)),
                   start -> transform(
-                    sequence(1, least({longest}, length(run) - start + 1)),
+                    filter(array({lengths}), size -> size <= length(run) - start + 1),
                     size -> substr(run, start, size))))))) AS word
             ) AS tried JOIN {words} AS known ON tried.word = known.word
           )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.constants import KEYWORD_WEIGHTS
@@ -117,18 +117,18 @@ def with_rates(counts: DataFrame) -> DataFrame:
     )
 
 
-def visitor_rates(stats: DataFrame, date: int = 0) -> DataFrame:
-    """New against old visitors: one row per measure, one column per side.
-
-    Every flag other than ``'1'`` counts as old; a side without visitors shows zeros.
-    """
+def _side_totals(grouped: GroupedData) -> DataFrame:
     new = F.col("is_new").eqNullSafe("1")
-    day = on_day(stats, date)
-    totals = {}
-    for side, belongs in (("new", new), ("old", ~new)):
-        for name in VISITOR_COUNTERS:
-            totals[f"{side}_{name}"] = F.coalesce(F.sum(F.when(belongs, F.col(name))), F.lit(0))
-    counts = day.agg(*[total.alias(name) for name, total in totals.items()])
+    totals = [
+        F.coalesce(F.sum(F.when(belongs, F.col(name))), F.lit(0)).alias(f"{side}_{name}")
+        for side, belongs in (("new", new), ("old", ~new))
+        for name in VISITOR_COUNTERS
+    ]
+    return grouped.agg(*totals)
+
+
+def _side_rows() -> Column:
+    """One struct per measure, with a column per side, from the totals of both sides."""
 
     def measures(side: str) -> list[Column]:
         def total(name: str) -> Column:
@@ -147,27 +147,51 @@ def visitor_rates(stats: DataFrame, date: int = 0) -> DataFrame:
         F.struct(F.lit(name).alias("type"), new_.cast("decimal(20,2)").alias("new"), old_.cast("decimal(20,2)").alias("old"))
         for name, new_, old_ in zip(names, measures("new"), measures("old"))
     ]
-    return counts.select(F.inline(F.array(*rows)))
+    return F.inline(F.array(*rows))
+
+
+def visitor_rates(stats: DataFrame, date: int = 0) -> DataFrame:
+    """New against old visitors: one row per measure, one column per side.
+
+    Every flag other than ``'1'`` counts as old; a side without visitors shows zeros.
+    """
+    return _side_totals(on_day(stats, date).groupBy()).select(_side_rows())
+
+
+def visitor_rates_by_day(stats: DataFrame) -> DataFrame:
+    """``visitor_rates`` for every day that has visitors."""
+    return _side_totals(by_day(stats).groupBy("day")).select("day", _side_rows())
+
+
+def _per_hour(grouped: GroupedData) -> DataFrame:
+    return grouped.agg(
+        F.sum("uv_ct").alias("uv_ct"),
+        F.sum("pv_ct").alias("pv_ct"),
+        F.sum("uj_ct").alias("uj_ct"),
+        F.sum(F.when(F.col("is_new") == "1", F.col("uv_ct")).otherwise(0)).alias("new_uv"),
+    )
+
+
+def _hours(spark: SparkSession) -> DataFrame:
+    return spark.range(24).select(F.col("id").cast("int").alias("hr"))
 
 
 def visitors_by_hour(stats: DataFrame, date: int = 0) -> DataFrame:
     """Visitors, pages, bounces and new visitors for each of the 24 hours, zero where none."""
-    counted = (
-        on_day(stats, date)
-        .groupBy(F.hour("stt").alias("hr"))
-        .agg(
-            F.sum("uv_ct").alias("uv_ct"),
-            F.sum("pv_ct").alias("pv_ct"),
-            F.sum("uj_ct").alias("uj_ct"),
-            F.sum(F.when(F.col("is_new") == "1", F.col("uv_ct")).otherwise(0)).alias("new_uv"),
-        )
-    )
-    hours = stats.sparkSession.range(24).select(F.col("id").cast("int").alias("hr"))
+    counted = _per_hour(on_day(stats, date).groupBy(F.hour("stt").alias("hr")))
     # At most 24 rows can match.
-    full = hours.join(F.broadcast(counted), "hr", "left").na.fill(0)
+    full = _hours(stats.sparkSession).join(F.broadcast(counted), "hr", "left").na.fill(0)
     return full.withColumn("hour_label", F.format_string("%02d", "hr")).orderBy("hr")
 
 
+def visitors_by_hour_and_day(stats: DataFrame) -> DataFrame:
+    """``visitors_by_hour`` for every day that has visitors: 24 rows each."""
+    counted = _per_hour(by_day(stats).groupBy("day", F.hour("stt").alias("hr")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hr")
+    full = counted.select("day").distinct().select("day", every).join(counted, ["day", "hr"], "left").na.fill(0)
+    return full.withColumn("hour_label", F.format_string("%02d", "hr"))
+
+
 def keyword_score(source: str = "source") -> Column:
     """Weight of a keyword hit by its source, in any letter case."""
     weight = F.lit(0)
@@ -176,15 +200,22 @@ def keyword_score(source: str = "source") -> Column:
     return weight
 
 
+def _scored(grouped: GroupedData) -> DataFrame:
+    return grouped.agg(F.sum(F.col("ct") * keyword_score()).alias("score"), F.sum("ct").alias("count"))
+
+
+def top_keywords_by_day(stats: DataFrame, limit: int = 20) -> DataFrame:
+    """The ``limit`` keywords with the highest score of every day."""
+    scored = _scored(by_day(stats).groupBy("day", "keyword"))
+    top = _top(scored, [F.desc("score"), F.col("keyword")], limit, "day")
+    return top.select("day", "keyword", F.col("score").alias("ct"))
+
+
 def top_keywords(stats: DataFrame, date: int = 0, limit: int = 20, order_by: str = "score") -> DataFrame:
     """Keywords by weighted score; ``order_by='count'`` orders by the unweighted count instead."""
     if order_by not in ("score", "count"):
         raise ValueError(f"order_by must be score or count, not {order_by!r}")
-    scored = (
-        on_day(stats, date)
-        .groupBy("keyword")
-        .agg(F.sum(F.col("ct") * keyword_score()).alias("score"), F.sum("ct").alias("count"))
-    )
+    scored = _scored(on_day(stats, date).groupBy("keyword"))
     return _top(scored, [F.desc(order_by), F.col("keyword")], limit, None).select(
         "keyword", F.col("score").alias("ct")
     )

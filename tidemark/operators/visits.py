@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import millis_to_text, millis_to_time
@@ -31,37 +30,53 @@ def unique_visits(pages: DataFrame, tie: list[str], granularity: str = "day") ->
     return first.select(*pages.columns)
 
 
-def bounces(pages: DataFrame, tie: list[str], gap_ms: int = 10_000, chunk_ms: int = HOUR_MS) -> DataFrame:
-    """Entry pages not followed by another page of the visit within ``gap_ms``.
+def _judged(pages: DataFrame, tie: list[str], gap_ms: int, chunk: Column, before: Column, follows: Column) -> DataFrame:
+    """Pages with ``is_bounce`` and, for entry pages, their ``entry_no`` in the chunk.
 
-    In order of ``(ts, *tie)`` within a ``mid``, an entry page is a bounce unless the next page is
-    a non-entry page less than ``gap_ms`` later.
-
-    Only pages closer than the gap matter, so time is cut into chunks no shorter than the gap and
-    ``lead`` runs per mid and chunk: a mid with very many pages is spread over its chunks. The
-    first page of each chunk is also shown to the chunk before it, as a row that is only looked at.
+    ``lead`` runs per mid and chunk of time, so a mid with very many pages is spread over its chunks.
+    Pages that ``follows`` marks, those within the gap after a chunk's start, are also shown to the chunk
+    before it, as rows that are only looked at. All is one pass over the pages, one shuffle and one sort.
     """
-    chunk_ms = max(chunk_ms, gap_ms)
-    timed = pages.withColumns(
+    own = F.struct(chunk.alias("chunk"), F.lit(True).alias("is_own"))
+    ahead = F.struct(before.alias("chunk"), F.lit(False).alias("is_own"))
+    part = F.explode(F.when(follows, F.array(own, ahead)).otherwise(F.array(own)))
+    shown = pages.withColumns({"chunk_mid": F.col("common.mid"), "is_entry": is_entry_page(), "part": part})
+    shown = shown.withColumns({"chunk": F.col("part.chunk"), "is_own": F.col("part.is_own")}).drop("part")
+    order = Window.partitionBy("chunk_mid", "chunk").orderBy("ts", *tie)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    judged = shown.withColumns(
         {
-            "chunk_mid": F.col("common.mid"),
-            "chunk": F.floor(F.col("ts") / F.lit(chunk_ms)),
-            "is_entry": is_entry_page(),
+            "following": F.lead(F.struct("ts", "is_entry")).over(order),
+            "entry_no": F.count(F.when(F.col("is_own") & F.col("is_entry"), 1)).over(so_far),
         }
-    )
-    order = ["ts", *tie]
-    ahead = (
-        timed.groupBy("chunk_mid", "chunk")
-        .agg(F.min(F.struct(*order, "is_entry")).alias("first"))
-        .select("chunk_mid", (F.col("chunk") - 1).alias("chunk"), "first.*", F.lit(False).alias("is_own"))
-    )
-    per_chunk = Window.partitionBy("chunk_mid", "chunk").orderBy(*order)
-    following = F.lead(F.struct("ts", "is_entry")).over(per_chunk)
-    judged = (
-        timed.withColumn("is_own", F.lit(True))
-        .unionByName(ahead, allowMissingColumns=True)
-        .withColumn("following", following)
-    )
+    ).where("is_own")
     stays = F.col("following").isNotNull() & ~F.col("following.is_entry")
     stays = stays & (F.col("following.ts") - F.col("ts") < gap_ms)
-    return judged.where(F.col("is_own") & F.col("is_entry") & ~stays).select(*pages.columns)
+    is_bounce = (F.col("is_entry") & ~stays).alias("is_bounce")
+    return judged.select(*pages.columns, is_bounce, F.when(F.col("is_entry"), F.col("entry_no")).alias("entry_no"))
+
+
+def bounces(pages: DataFrame, tie: list[str], gap_ms: int = 10_000, chunk_ms: int = HOUR_MS) -> DataFrame:
+    """Entry pages not followed by another page of the visit within ``gap_ms``.
+
+    In order of ``(ts, *tie)`` within a ``mid``, an entry page is a bounce unless the next page is
+    a non-entry page less than ``gap_ms`` later. Only pages closer than the gap matter, so time is cut
+    into chunks no shorter than the gap.
+    """
+    chunk_ms = max(chunk_ms, gap_ms)
+    chunk = F.floor(F.col("ts") / F.lit(chunk_ms))
+    judged = _judged(pages, tie, gap_ms, chunk, chunk - 1, F.col("ts") - chunk * chunk_ms < gap_ms)
+    return judged.where("is_bounce").select(*pages.columns)
+
+
+def with_visit_marks(pages: DataFrame, tie: list[str], gap_ms: int = 10_000) -> DataFrame:
+    """Pages with ``is_bounce`` and ``is_visit``, whether it is the visitor's first entry page of the day.
+
+    Days are the chunks, so both are found in one pass; the gap must not be longer than a day.
+    """
+    if gap_ms > 24 * HOUR_MS:
+        raise ValueError("the gap must not be longer than a day")
+    day = visit_key("day")
+    since = F.col("ts") - F.unix_millis(F.date_trunc("day", millis_to_time("ts")))
+    judged = _judged(pages, tie, gap_ms, day, F.date_sub(day, 1), since < gap_ms)
+    return judged.withColumn("is_visit", F.coalesce(F.col("entry_no") == 1, F.lit(False))).drop("entry_no")

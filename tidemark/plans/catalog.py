@@ -18,6 +18,7 @@ from tidemark.operators.latest import latest_rows
 from tidemark.plans import inputs, streams, warehouse
 from tidemark.session import scratch_path
 from tidemark.sources import tables
+from tidemark.sources.changes import read_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,58 +60,66 @@ def _page_columns(pages: DataFrame) -> DataFrame:
 
 
 def gmv_day(spark, sf_dir):
-    return plain(serving.gmv(warehouse.sales_stats(spark, sf_dir), DAY))
+    return plain(serving.gmv(warehouse.stored_sales(spark, sf_dir), DAY))
 
 
 def gmv_by_day(spark, sf_dir):
-    return plain(serving.gmv_by_day(warehouse.sales_stats(spark, sf_dir)))
+    return plain(serving.gmv_by_day(warehouse.stored_sales(spark, sf_dir)))
 
 
 def top_trademark(spark, sf_dir):
-    return plain(serving.top_trademarks(warehouse.sales_stats(spark, sf_dir), DAY))
+    return plain(serving.top_trademarks(warehouse.stored_sales(spark, sf_dir), DAY))
 
 
 def top_category(spark, sf_dir):
-    return plain(serving.top_categories(warehouse.sales_stats(spark, sf_dir), DAY))
+    return plain(serving.top_categories(warehouse.stored_sales(spark, sf_dir), DAY))
 
 
 def top_spu(spark, sf_dir):
-    return plain(serving.top_spus(warehouse.sales_stats(spark, sf_dir), DAY))
+    return plain(serving.top_spus(warehouse.stored_sales(spark, sf_dir), DAY))
 
 
 def _top_by_day(keys: list[str]) -> Query:
     def query(spark, sf_dir):
-        daily = serving.by_day(warehouse.sales_stats(spark, sf_dir))
+        daily = serving.by_day(warehouse.stored_sales(spark, sf_dir))
         return plain(serving.top_products(daily, keys, 10, day="day"))
 
     return query
 
 
 def province_amount(spark, sf_dir):
-    return plain(serving.province_amounts(warehouse.province_stats(spark, sf_dir), DAY))
+    return plain(serving.province_amounts(warehouse.stored_provinces(spark, sf_dir), DAY))
 
 
 def province_amount_by_day(spark, sf_dir):
-    return plain(serving.province_amounts_by_day(warehouse.province_stats(spark, sf_dir)))
+    return plain(serving.province_amounts_by_day(warehouse.stored_provinces(spark, sf_dir)))
 
 
 def visitor_by_flag(spark, sf_dir):
-    return plain(serving.visitors_by_flag(warehouse.visitor_stats(spark, sf_dir), DAY))
+    return plain(serving.visitors_by_flag(warehouse.stored_visitors(spark, sf_dir), DAY))
 
 
 def visitor_by_flag_and_day(spark, sf_dir):
-    return plain(serving.visitors_by_flag_and_day(warehouse.visitor_stats(spark, sf_dir)))
+    return plain(serving.visitors_by_flag_and_day(warehouse.stored_visitors(spark, sf_dir)))
 
 
 def visitor_by_hour(spark, sf_dir):
-    return plain(serving.visitors_by_hour(warehouse.visitor_stats(spark, sf_dir), DAY))
+    return plain(serving.visitors_by_hour(warehouse.stored_visitors(spark, sf_dir), DAY))
 
 
 def visitor_rates(spark, sf_dir):
-    return plain(serving.visitor_rates(warehouse.visitor_stats(spark, sf_dir), DAY))
+    return plain(serving.visitor_rates(warehouse.stored_visitors(spark, sf_dir), DAY))
 
 
-def keyword_score(spark, sf_dir):
+def visitor_by_hour_and_day(spark, sf_dir):
+    return plain(serving.visitors_by_hour_and_day(warehouse.stored_visitors(spark, sf_dir)))
+
+
+def visitor_rates_by_day(spark, sf_dir):
+    return plain(serving.visitor_rates_by_day(warehouse.stored_visitors(spark, sf_dir)))
+
+
+def _keyword_hits(spark, sf_dir):
     """Item hits by source: searches, carts and clicks from the page log, orders from details."""
     pages = warehouse.pages(spark, sf_dir)
     source = (
@@ -129,7 +138,15 @@ def keyword_score(spark, sf_dir):
         .agg(F.count("*").alias("ct"))
         .select(F.col("window.start").alias("stt"), "keyword", "source", "ct")
     )
-    return serving.top_keywords(counted, DAY, 20)
+    return warehouse.stored_by_day(counted, "keyword-hits")
+
+
+def keyword_score(spark, sf_dir):
+    return serving.top_keywords(_keyword_hits(spark, sf_dir), DAY, 20)
+
+
+def keyword_score_by_day(spark, sf_dir):
+    return plain(serving.top_keywords_by_day(_keyword_hits(spark, sf_dir), 20))
 
 
 # Aggregates and facts
@@ -201,18 +218,17 @@ def _raw_lines(spark, sf_dir):
 
 
 def dirty_split(spark, sf_dir):
-    """Good and dirty lines, each with its text."""
-    good, dirty = records.split_dirty(_raw_lines(spark, sf_dir))
-    good = good.select(F.lit("good").alias("kind"), F.get_json_object("value", "$.event_id").alias("event_id"))
-    dirty = dirty.select(
-        F.lit("dirty").alias("kind"), F.regexp_extract("value", r'"event_id":(\d+)$', 1).alias("event_id")
+    """Good and dirty lines, each with its id, in one pass."""
+    tagged = records.parse_or_keep(_raw_lines(spark, sf_dir), inputs.LOG_WITH_TIE)
+    found = F.regexp_extract("dirty", r'"event_id":(\d+)$', 1)
+    return tagged.select(
+        F.when(F.col("dirty").isNull(), "good").otherwise("dirty").alias("kind"),
+        F.coalesce(F.col("event_id").cast("string"), found).alias("event_id"),
     )
-    return good.unionByName(dirty)
 
 
 def _parsed(spark, sf_dir):
-    good, _ = records.split_dirty(_raw_lines(spark, sf_dir))
-    return records.parse_json(good, inputs.LOG_WITH_TIE)
+    return records.parse_or_keep(_raw_lines(spark, sf_dir), inputs.LOG_WITH_TIE).where(F.col("dirty").isNull()).drop("dirty")
 
 
 def log_split(spark, sf_dir):
@@ -317,6 +333,45 @@ def sql_keyword_split(spark, sf_dir):
     )
 
 
+def sql_keyword_dictionary(spark, sf_dir):
+    """The SQL table function with runs of letters looked up in the dictionary."""
+    found = keywords.search_keywords(inputs.search_pages(inputs.table(spark, sf_dir, "conversations")))
+    found.createOrReplaceTempView("searched_keywords")
+    words = inputs.dictionary(inputs.table(spark, sf_dir, "benchmark"))
+    name = "split_by_dictionary"
+    keywords.register_split_function(spark, words, name, inputs.LETTER_RUNS, inputs.DIGIT_RUNS)
+    return spark.sql(f"SELECT ts, word FROM searched_keywords, LATERAL {name}(keyword)")
+
+
+# Records and names
+
+
+def sensor_csv(spark, sf_dir):
+    """Events as lines of comma-separated text, read back as typed readings."""
+    events = inputs.table(spark, sf_dir, "events")
+    line = F.concat_ws(",", "user_id", F.unix_millis(F.col("ts").cast("timestamp")), "value")
+    return records.parse_sensor_lines(events.select(line.alias("value")))
+
+
+def camel_columns(spark, sf_dir):
+    return records.camel_case_columns(inputs.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
+
+
+def code_names(spark, sf_dir):
+    """Payments by the name of their type."""
+    payments = warehouse.payments(spark, sf_dir).withColumnRenamed("payment_type", "code")
+    named = payments.join(F.broadcast(records.business_codes(spark)), "code")
+    return named.groupBy("code", "code_group", "meaning").agg(F.count("*").alias("ct"))
+
+
+def cdc_rule_defaults(spark, sf_dir):
+    """Changes routed by a stored rule table whose rules name no key."""
+    path = scratch_path(spark, "rules")
+    inputs.rule_table(spark).drop("sinkPk").write.json(path)
+    routed = changes.route_changes(changes.drop_deletes(_envelopes(spark, sf_dir)), read_rules(spark, path))
+    return routed.groupBy("sinkTable", "type", "Pk").agg(F.count("*").alias("ct"))
+
+
 # Database changes
 
 
@@ -344,13 +399,9 @@ def cdc_normalise(spark, sf_dir):
 
 
 def cdc_route(spark, sf_dir):
-    routed = _routed(spark, sf_dir)
-    parts = [
-        changes.to_topics(routed).withColumn("output", F.lit("topic")),
-        changes.to_dimensions(routed).withColumn("output", F.lit("dimension")),
-        changes.unrouted(routed).withColumn("output", F.lit("unrouted")),
-    ]
-    return facts.union_facts(*parts).select("output", "tableName", "type", "seq", "sinkTable", "Pk")
+    """Where each routed change goes, in one pass."""
+    routed = changes.with_output(_routed(spark, sf_dir))
+    return routed.select("output", "tableName", "type", "seq", "sinkTable", "Pk")
 
 
 def cdc_project(spark, sf_dir):
@@ -376,10 +427,10 @@ def versioned_replace(spark, sf_dir):
 
     The first run lacks the bounces and is older by one.
     """
-    facts_now = warehouse.visitor_facts(spark, sf_dir)
+    facts_now = facts.marked_visitor_facts(warehouse.marked_pages(spark, sf_dir))
     path = scratch_path(spark, "visitor-versions")
     keys = ["vc", "ch", "ar", "is_new"]
-    first = stats.visitor_stats(facts_now.where(F.col("uj_ct") == 0), window="1 hour")
+    first = stats.visitor_stats(facts_now.withColumn("uj_ct", F.lit(0).cast("bigint")), window="1 hour")
     second = stats.visitor_stats(facts_now, window="1 hour")
     tables.write_stats(first.withColumn("ts", F.lit(1).cast("bigint")), path, version=0)
     tables.write_stats(second.withColumn("ts", F.lit(2).cast("bigint")), path, version=1)
@@ -415,11 +466,13 @@ def stream_new_flag(spark, sf_dir):
 
 
 def stream_unique_visit(spark, sf_dir):
-    """One row per visitor and day; which of a day's entry pages arrives first is not fixed."""
-    visits = streams.unique_visits(spark, sf_dir)
-    return visits.select(
-        F.col("common.mid").alias("mid"), F.to_date(F.timestamp_millis("ts")).cast("string").alias("day")
-    )
+    return _page_columns(streams.unique_visits(spark, sf_dir))
+
+
+def stream_late_pages(spark, sf_dir):
+    """Pages per hour where one in fifty comes a part late; those whose hour has closed are not counted."""
+    rows = streams.late_pages(spark, sf_dir)
+    return _stats(rows.groupBy("stt", "edt").agg(F.sum("pv_ct").alias("pv_ct")))
 
 
 def stream_order_wide(spark, sf_dir):
@@ -447,8 +500,16 @@ def stream_topics(spark, sf_dir):
     )
 
 
+def stream_topic_table(spark, sf_dir):
+    """Pages written to a topic, opened as a SQL table and read with a computed column."""
+    return plain(streams.topic_table(spark, sf_dir))
+
+
 def stream_window_update(spark, sf_dir):
-    return plain(streams.window_totals(spark, sf_dir).drop("batch_id"))
+    """Of every window the newest total, and how often a total was put out."""
+    totals = streams.window_totals(spark, sf_dir)
+    times = totals.groupBy("stt", "edt", "id").agg(F.count("*").alias("times"))
+    return plain(tables.newest_versions(totals, ["id"]).drop("batch_id").join(times, ["stt", "edt", "id"]))
 
 
 QUERIES: dict[str, Query] = {
@@ -465,8 +526,11 @@ QUERIES: dict[str, Query] = {
     "visitor_by_flag": visitor_by_flag,
     "visitor_by_flag_and_day": visitor_by_flag_and_day,
     "visitor_by_hour": visitor_by_hour,
+    "visitor_by_hour_and_day": visitor_by_hour_and_day,
     "visitor_rates": visitor_rates,
+    "visitor_rates_by_day": visitor_rates_by_day,
     "keyword_score": keyword_score,
+    "keyword_score_by_day": keyword_score_by_day,
     "visitor_stats": visitor_stats,
     "product_stats": product_stats,
     "province_stats": province_stats,
@@ -491,6 +555,11 @@ QUERIES: dict[str, Query] = {
     "time_parts": time_parts,
     "unique_visit_second": unique_visit_second,
     "sql_keyword_split": sql_keyword_split,
+    "sql_keyword_dictionary": sql_keyword_dictionary,
+    "sensor_csv": sensor_csv,
+    "camel_columns": camel_columns,
+    "code_names": code_names,
+    "cdc_rule_defaults": cdc_rule_defaults,
     "cdc_normalise": cdc_normalise,
     "cdc_route": cdc_route,
     "cdc_project": cdc_project,
@@ -503,9 +572,11 @@ QUERIES: dict[str, Query] = {
     "stream_bounce": stream_bounce,
     "stream_new_flag": stream_new_flag,
     "stream_unique_visit": stream_unique_visit,
+    "stream_late_pages": stream_late_pages,
     "stream_order_wide": stream_order_wide,
     "stream_payment_wide": stream_payment_wide,
     "stream_cdc_route": stream_cdc_route,
     "stream_topics": stream_topics,
+    "stream_topic_table": stream_topic_table,
     "stream_window_update": stream_window_update,
 }

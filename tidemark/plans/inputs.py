@@ -49,8 +49,8 @@ def _millis(column: str) -> Column:
     return F.unix_millis(F.col(column).cast("timestamp"))
 
 
-def page_log(events: DataFrame) -> DataFrame:
-    """Events as page logs with ``common``, ``page``, ``displays``, ``ts`` and ``event_id``."""
+def page_log(events: DataFrame, *keep: str) -> DataFrame:
+    """Events as page logs with ``common``, ``page``, ``displays``, ``ts`` and ``event_id``, and columns to ``keep``."""
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
     page_id = (
@@ -96,6 +96,7 @@ def page_log(events: DataFrame) -> DataFrame:
         shown.alias("displays"),
         _millis("ts").alias("ts"),
         "event_id",
+        *keep,
     )
 
 
@@ -202,6 +203,25 @@ def comment_info(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def order_detail_facts(lineitem: DataFrame) -> DataFrame:
+    """Details with the times and values of the facts they give, from one pass over the table.
+
+    The same values as ``order_detail``, ``order_refund_info`` and ``comment_info``; times in milliseconds.
+    """
+    second = _order_second("l_orderkey")
+    return lineitem.select(
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_partkey").alias("sku_id"),
+        F.col("l_quantity").cast("bigint").alias("sku_num"),
+        _money("l_extendedprice").alias("split_total_amount"),
+        _money("l_extendedprice").alias("refund_amount"),
+        ((second + F.col("l_linenumber") * 2 - 6) * 1000).alias("detail_ms"),
+        F.when(F.col("l_returnflag") == "R", (second + 3600) * 1000).alias("refund_ms"),
+        F.when(F.col("l_returnflag") == "A", (second + 7200) * 1000).alias("comment_ms"),
+        F.when(F.col("l_linestatus") == "F", "1201").otherwise("1203").alias("appraise"),
+    )
+
+
 def _marked(events: DataFrame, kind: str) -> DataFrame:
     return events.where(F.col("event_type") == kind).select(
         F.get_json_object("props", "$.k").cast("bigint").alias("sku_id"),

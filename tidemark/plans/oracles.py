@@ -248,8 +248,7 @@ dictionary AS (
   SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}{2,}')) AS word FROM benchmark
 )"""
 
-_KEYWORD_STATS = (
-    rf"""WITH {_DICTIONARY},
+_KEYWORD_WORDS = rf"""WITH {_DICTIONARY},
 searched AS (
   SELECT row_number() OVER () AS id, text,
          1704067200 + (conv_id * 3600) % 2592000 + turn * 60 AS s
@@ -270,13 +269,14 @@ words AS (
 all_words AS (
   SELECT id, word FROM words
   UNION ALL SELECT id, text FROM searched WHERE id NOT IN (SELECT id FROM words)
-)
+)"""
+
+_KEYWORD_STATS = f"""{_KEYWORD_WORDS}
 SELECT strftime(day, {_TIME}) AS stt, strftime(day + INTERVAL 1 DAY, {_TIME}) AS edt, keyword,
        'search' AS source, ct, ts FROM (
   SELECT date_trunc('day', make_timestamp(s * 1000000)) AS day, word AS keyword, count(*) AS ct,
          min(s) * 1000 AS ts
   FROM all_words JOIN searched USING (id) GROUP BY 1, 2)"""
-)
 
 _CHANGES = """
 changes AS (
@@ -335,6 +335,13 @@ _NEW_FLAG = f"""WITH {_PAGES}
   SELECT event_id, ts, mid, CASE WHEN is_new = '1' AND n = 1 THEN '1' ELSE '0' END AS is_new, page_id, during_time
   FROM (SELECT *, row_number() OVER (PARTITION BY mid, is_new ORDER BY ts, event_id) AS n FROM pages)"""
 
+_HITS = f"""{_PAGES}, {_ORDERS},
+      hits AS (
+        SELECT item AS keyword, CASE WHEN last_page_id = 'search' THEN 10 WHEN page_id = 'payment' THEN 2
+                                     WHEN page_id = 'good_detail' THEN 1 ELSE 0 END AS weight,
+               CAST(make_timestamp(ts * 1000) AS DATE) AS day FROM pages
+        UNION ALL SELECT CAST(sku_id AS VARCHAR), 3, CAST(make_timestamp(s * 1000000) AS DATE) FROM ordered)"""
+
 _BROKEN = "page_id = 'payment' AND ch = 'ch0'"
 
 ORACLES: dict[str, str] = {
@@ -368,6 +375,31 @@ ORACLES: dict[str, str] = {
              CAST(coalesce(pv, 0) AS BIGINT) AS pv_ct, CAST(coalesce(uj, 0) AS BIGINT) AS uj_ct,
              CAST(coalesce(new_uv, 0) AS BIGINT) AS new_uv, lpad(CAST(h AS VARCHAR), 2, '0') AS hour_label
       FROM range(24) AS hours(h) LEFT JOIN hourly ON hourly.hr = h""",
+    "visitor_by_hour_and_day": f"""WITH {_VISITS},
+      hourly AS (
+        SELECT CAST(stt AS DATE) AS day, hour(stt) AS hr, sum(uv_ct) AS uv, sum(pv_ct) AS pv, sum(uj_ct) AS uj,
+               sum(CASE WHEN is_new = '1' THEN uv_ct ELSE 0 END) AS new_uv
+        FROM visitor_stats GROUP BY 1, 2),
+      days AS (SELECT DISTINCT day FROM hourly)
+      SELECT CAST(days.day AS VARCHAR) AS day, CAST(h AS INTEGER) AS hr, CAST(coalesce(uv, 0) AS BIGINT) AS uv_ct,
+             CAST(coalesce(pv, 0) AS BIGINT) AS pv_ct, CAST(coalesce(uj, 0) AS BIGINT) AS uj_ct,
+             CAST(coalesce(new_uv, 0) AS BIGINT) AS new_uv, lpad(CAST(h AS VARCHAR), 2, '0') AS hour_label
+      FROM days CROSS JOIN range(24) AS hours(h) LEFT JOIN hourly ON hourly.hr = h AND hourly.day = days.day""",
+    "visitor_rates_by_day": f"""WITH {_VISITS},
+      days AS (SELECT DISTINCT CAST(stt AS DATE) AS day FROM visitor_stats),
+      sides AS (
+        SELECT day, side, {", ".join(f"coalesce(CAST(sum({c}) AS BIGINT), 0) AS {c}" for c in ("uv_ct", "pv_ct", "sv_ct", "uj_ct", "dur_sum"))}
+        FROM days CROSS JOIN (VALUES ('1'), ('0')) AS flags(side)
+        LEFT JOIN visitor_stats ON is_new = side AND CAST(stt AS DATE) = day GROUP BY day, side),
+      rated AS (SELECT *, {_rates()} FROM sides),
+      long AS (
+        SELECT day, 'visitors' AS type, side, CAST(uv_ct AS DOUBLE) AS v FROM rated
+        UNION ALL SELECT day, 'pages', side, pv_ct FROM rated
+        UNION ALL SELECT day, 'bounce_rate', side, uj_rate FROM rated
+        UNION ALL SELECT day, 'seconds_per_visit', side, dur_per_sv FROM rated
+        UNION ALL SELECT day, 'pages_per_visit', side, pv_per_sv FROM rated)
+      SELECT CAST(day AS VARCHAR) AS day, type, CAST(max(CASE WHEN side = '1' THEN v END) AS DOUBLE) AS new,
+             CAST(max(CASE WHEN side = '0' THEN v END) AS DOUBLE) AS old FROM long GROUP BY day, type""",
     "visitor_rates": f"""WITH {_VISITS},
       sides AS (
         SELECT side, {", ".join(f"coalesce(CAST(sum({c}) AS BIGINT), 0) AS {c}" for c in ("uv_ct", "pv_ct", "sv_ct", "uj_ct", "dur_sum"))}
@@ -382,14 +414,15 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'pages_per_visit', side, pv_per_sv FROM rated)
       SELECT type, CAST(max(CASE WHEN side = '1' THEN v END) AS DOUBLE) AS new,
              CAST(max(CASE WHEN side = '0' THEN v END) AS DOUBLE) AS old FROM long GROUP BY type""",
-    "keyword_score": f"""WITH {_PAGES}, {_ORDERS},
-      hits AS (
-        SELECT item AS keyword, CASE WHEN last_page_id = 'search' THEN 10 WHEN page_id = 'payment' THEN 2
-                                     WHEN page_id = 'good_detail' THEN 1 ELSE 0 END AS weight,
-               CAST(make_timestamp(ts * 1000) AS DATE) AS day FROM pages
-        UNION ALL SELECT CAST(sku_id AS VARCHAR), 3, CAST(make_timestamp(s * 1000000) AS DATE) FROM ordered)
+    "keyword_score": f"""WITH {_HITS}
       SELECT keyword, CAST(sum(weight) AS BIGINT) AS ct FROM hits WHERE day = {_DAY}
       GROUP BY keyword ORDER BY ct DESC, keyword LIMIT 20""",
+    "keyword_score_by_day": f"""WITH {_HITS},
+      ranked AS (
+        SELECT day, keyword, sum(weight) AS ct,
+               row_number() OVER (PARTITION BY day ORDER BY sum(weight) DESC, keyword) AS n
+        FROM hits GROUP BY day, keyword)
+      SELECT CAST(day AS VARCHAR) AS day, keyword, CAST(ct AS BIGINT) AS ct FROM ranked WHERE n <= 20""",
     "visitor_stats": _VISITOR_STATS,
     "product_stats": _PRODUCT_STATS,
     "province_stats": _PROVINCE_ROWS,
@@ -464,6 +497,16 @@ ORACLES: dict[str, str] = {
                regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS found
         FROM conversations WHERE role = 'user' AND text IS NOT NULL)
       SELECT ts, unnest(CASE WHEN len(found) > 0 THEN found ELSE [text] END) AS word FROM tokens""",
+    "sql_keyword_dictionary": f"""{_KEYWORD_WORDS}
+      SELECT s * 1000 AS ts, word FROM all_words JOIN searched USING (id)""",
+    "sensor_csv": "SELECT CAST(user_id AS VARCHAR) AS id, epoch_us(ts) // 1000 AS ts, value AS vc FROM events",
+    "camel_columns": 'SELECT c_custkey AS "cCustkey", c_mktsegment AS "cMktsegment" FROM customer',
+    "code_names": """
+      SELECT CASE WHEN o_orderstatus = 'F' THEN '1101' ELSE '1102' END AS code, 'payment_type' AS code_group,
+             CASE WHEN o_orderstatus = 'F' THEN 'alipay' ELSE 'wechat' END AS meaning, count(*) AS ct
+      FROM orders GROUP BY ALL""",
+    "cdc_rule_defaults": f"""WITH {_CHANGES}
+      SELECT sink AS "sinkTable", type, 'id' AS "Pk", count(*) AS ct FROM routed GROUP BY ALL""",
     "cdc_normalise": f"""WITH {_CHANGES}
       SELECT 'shop' AS database, tab AS "tableName", type, seq,
              CAST(CASE WHEN seq % 4 >= 2 THEN width ELSE 0 END AS INTEGER) AS before_columns,
@@ -494,8 +537,16 @@ ORACLES: dict[str, str] = {
     "stream_keyword_stats": _KEYWORD_STATS,
     "stream_bounce": _BOUNCES,
     "stream_new_flag": _NEW_FLAG,
-    "stream_unique_visit": f"""WITH {_VISITS}
-      SELECT mid, CAST(CAST(make_timestamp(ts * 1000) AS DATE) AS VARCHAR) AS day FROM visits""",
+    "stream_unique_visit": f"WITH {_VISITS} SELECT {_PAGE_COLUMNS} FROM visits",
+    "stream_late_pages": f"""WITH {_PAGES},
+      parted AS (
+        SELECT *, greatest(0, least(2, CAST(floor((ts // 1000 - 1704067200) * 3 / 2592000) AS INTEGER))) AS part,
+               event_id % 50 = 0 AS late, ts // 3600000 * 3600 AS h FROM pages),
+      arriving AS (SELECT *, part + CASE WHEN late THEN 1 ELSE 0 END AS arrival FROM parted),
+      passed AS (SELECT arrival, max(max(ts)) OVER (ORDER BY arrival) - 15000 AS mark FROM arriving GROUP BY arrival)
+      SELECT {_text('h')} AS stt, {_text('h + 3600')} AS edt, count(*) AS pv_ct
+      FROM arriving LEFT JOIN passed ON passed.arrival = arriving.arrival - 1
+      WHERE NOT late OR (h + 3600) * 1000 > mark GROUP BY h""",
     "stream_order_wide": _ORDER_WIDE,
     "stream_payment_wide": _PAYMENT_WIDE,
     "stream_cdc_route": f"""WITH {_CHANGES}
@@ -504,9 +555,12 @@ ORACLES: dict[str, str] = {
     "stream_topics": f"""WITH {_CHANGES}
       SELECT sink AS topic, id AS o_orderkey, cust AS o_custkey, status AS o_orderstatus
       FROM routed WHERE output = 'topic'""",
+    "stream_topic_table": f"""WITH {_PAGES}
+      SELECT event_id, mid, {_text('ts // 1000')} AS rt, {_text('ts // 1000 + 28800')} AS later FROM pages""",
     "stream_window_update": f"""
       SELECT strftime(day, {_TIME}) AS stt, strftime(day + INTERVAL 1 DAY, {_TIME}) AS edt, id,
-             CAST(vc AS DOUBLE) AS vc FROM (
+             CAST(vc AS DOUBLE) AS vc, times FROM (
         SELECT date_trunc('day', ts) AS day, CAST(user_id AS VARCHAR) AS id,
-               sum(CAST(value AS DECIMAL(18,2))) AS vc FROM events GROUP BY 1, 2)""",
+               sum(CAST(value AS DECIMAL(18,2))) AS vc, count(DISTINCT epoch_us(ts) % 3) AS times
+        FROM events GROUP BY 1, 2)""",
 }

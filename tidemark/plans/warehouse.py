@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.constants import APPRAISE_GOOD
+from tidemark.functions.times import text_to_millis
 from tidemark.operators import dims, facts, stats, visits, wide
 from tidemark.plans import inputs
 from tidemark.session import scratch_path
+from tidemark.sources import tables
 
 SIX_HOURS_MS = 6 * 3_600_000
 # One event in a median of seven hours per user: a bounce is judged over hours, not seconds.
 BOUNCE_GAP_MS = SIX_HOURS_MS
 BOUNCE_CHUNK_MS = 24 * 3_600_000
-# A stream pays per chunk and visitor, and visitors here have few pages a day.
-STREAM_CHUNK_MS = 10 * BOUNCE_CHUNK_MS
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,15 +30,17 @@ def bounces(page_log: DataFrame) -> DataFrame:
     return visits.bounces(page_log, [inputs.TIE], BOUNCE_GAP_MS, BOUNCE_CHUNK_MS)
 
 
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visits.with_visit_marks(pages(spark, sf_dir), [inputs.TIE], BOUNCE_GAP_MS)
+
+
 def visitor_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = pages(spark, sf_dir)
-    return facts.union_facts(
-        facts.page_facts(log), facts.visit_facts(unique_visits(log)), facts.bounce_facts(bounces(log))
-    )
+    """Page, visit and bounce facts, from one pass over the events."""
+    return facts.single_visitor_facts(marked_pages(spark, sf_dir))
 
 
 def visitor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.visitor_stats(visitor_facts(spark, sf_dir), window="1 hour")
+    return stats.visitor_stats(facts.marked_visitor_facts(marked_pages(spark, sf_dir)), window="1 hour")
 
 
 def plain_order_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +99,9 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payment_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide.payment_wide(
-        order_wide(spark, sf_dir), payments(spark, sf_dir), counted=details(spark, sf_dir)
-    )
+    """Payments join on the partitioning of the order join, before the dimensions make rows wide."""
+    paid = wide.payment_wide(plain_order_wide(spark, sf_dir), payments(spark, sf_dir))
+    return with_payment_dimensions(paid, spark, sf_dir)
 
 
 def with_payment_dimensions(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,29 +109,50 @@ def with_payment_dimensions(rows: DataFrame, spark: SparkSession, sf_dir: str) -
     return with_product(with_province(with_user(rows, spark, sf_dir), spark, sf_dir), spark, sf_dir)
 
 
-def _stored(rows: DataFrame, label: str) -> DataFrame:
-    """Rows written to the shared folder and read back, for rows that are read more than once."""
-    path = scratch_path(rows.sparkSession, label)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
-
-
 def product_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All seven kinds of fact. Wide orders are joined once and feed two of them."""
-    ordered = _stored(plain_order_wide(spark, sf_dir), "order-wide")
-    paid = wide.payment_wide(ordered, payments(spark, sf_dir))
+    """All seven kinds of fact: one pass over the events, one over the order details.
+
+    Details are joined to their orders and payments once, and each row gives the facts it stands for.
+    """
     events = inputs.table(spark, sf_dir, "events")
-    lineitem = inputs.table(spark, sf_dir, "lineitem")
-    log = inputs.page_log(events)
-    return facts.union_facts(
-        facts.click_facts(log),
-        facts.display_facts(log),
-        facts.favor_facts(inputs.favor_info(events)),
-        facts.cart_facts(inputs.cart_info(events)),
-        facts.order_facts(ordered),
-        facts.payment_facts(paid),
-        facts.refund_facts(inputs.order_refund_info(lineitem)),
-        facts.comment_facts(inputs.comment_info(lineitem)),
+    kind = F.col("event_type")
+    marked = inputs.page_log(events, "event_type")
+    second = F.floor(F.col("ts") / 1000) * 1000
+    from_pages = facts.page_product_facts(
+        marked, kind == "click", kind == "purchase", F.col("page.item"), second
+    )
+    lines = inputs.table(spark, sf_dir, "lineitem")
+    from_orders = facts.exploded_facts(_paid_details(lines, spark, sf_dir), _order_fact_array())
+    return facts.union_facts(from_pages, from_orders)
+
+
+def _paid_details(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every detail with the times of its order and payment; null where there is none."""
+    detail = inputs.order_detail_facts(lines)
+    ordered = orders(spark, sf_dir).select(F.col("id").alias("order_id"), text_to_millis("create_time").alias("order_ms"))
+    paid = payments(spark, sf_dir).select("order_id", text_to_millis("create_time").alias("paid_ms"))
+    return detail.join(ordered.join(paid, "order_id", "left"), "order_id", "left")
+
+
+def _order_fact_array() -> Column:
+    """The facts of one detail row: its order and payment if they lie in their bands, refund and comment."""
+    amount, order_id, sku = F.col("split_total_amount"), F.col("order_id"), F.col("sku_id")
+    near = (F.col("detail_ms") - F.col("order_ms")).between(-5_000, 5_000)
+    in_time = near & (F.col("paid_ms") - F.col("order_ms")).between(-5_000, 900_000)
+    order = facts.product_fact(
+        "order", sku, F.col("order_ms"), order_id, order_sku_num=F.col("sku_num"), order_amount=amount
+    )
+    payment = facts.product_fact("payment", sku, F.col("paid_ms"), order_id, payment_amount=amount)
+    refund = facts.product_fact("refund", sku, F.col("refund_ms"), order_id, refund_amount=F.col("refund_amount"))
+    good = F.when(F.col("appraise") == APPRAISE_GOOD, 1).otherwise(0)
+    comment = facts.product_fact(
+        "comment", sku, F.col("comment_ms"), comment_ct=F.lit(1), good_comment_ct=good
+    )
+    return F.array(
+        F.when(near, order),
+        F.when(in_time, payment),
+        F.when(F.col("refund_ms").isNotNull(), refund),
+        F.when(F.col("comment_ms").isNotNull(), comment),
     )
 
 
@@ -143,6 +168,26 @@ def sales_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_product(stats.product_stats(sold, window="1 day"), spark, sf_dir, with_price=True)
 
 
+def stored_by_day(stats_rows: DataFrame, label: str) -> DataFrame:
+    """An aggregate written once, by day, and read back: a report on it reads only its days' files."""
+    spark = stats_rows.sparkSession
+    path = scratch_path(spark, label)
+    tables.write_stats(stats_rows, path)
+    return tables.read_versions(spark, path).drop("batch_id")
+
+
+def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_by_day(sales_stats(spark, sf_dir), "sales")
+
+
+def stored_provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_by_day(province_stats(spark, sf_dir), "provinces")
+
+
+def stored_visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_by_day(visitor_stats(spark, sf_dir), "visitors")
+
+
 def province_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_province(plain_order_wide(spark, sf_dir), spark, sf_dir)
     return stats.province_stats(rows, window="1 day")

@@ -62,12 +62,27 @@ def newest_versions(rows: DataFrame, keys: list[str]) -> DataFrame:
     return latest_rows(rows, [*windowed, *keys], order)
 
 
-def read_dimensions(spark: SparkSession, path: str) -> DataFrame:
-    """The newest row per dimension key, from the changes appended so far."""
+def read_dimensions(spark: SparkSession, path: str, compacted: str | None = None) -> DataFrame:
+    """The newest row per dimension key, from the changes appended so far.
+
+    With a ``compacted`` table only the batches after it are read beside it, not the whole history.
+    """
     changes = spark.read.parquet(path)
+    if compacted is not None:
+        base = spark.read.parquet(compacted)
+        upto = base.agg(F.max("upto")).first()[0]
+        base = base.where(F.col("upto") == upto).drop("upto")
+        later = changes.where(F.col("batch_id") > upto).drop("batch_id")
+        return latest_rows(base.unionByName(later), ["sinkTable", "pk"], ["seq"])
     return latest_rows(changes.drop("batch_id"), ["sinkTable", "pk"], ["seq"])
 
 
-def compact_dimensions(spark: SparkSession, path: str, target: str) -> None:
-    """Write the newest rows as a table of their own, for readers that need no history."""
-    read_dimensions(spark, path).write.mode("overwrite").partitionBy("sinkTable").parquet(target)
+def compact_dimensions(spark: SparkSession, path: str, target: str, compacted: str | None = None) -> None:
+    """Write the newest rows as a table of their own, for readers that need no history.
+
+    It holds the changes up to the last batch there is; each run adds a version of its own to ``target``.
+    With an earlier ``compacted`` table the work is that of the changes since.
+    """
+    upto = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
+    rows = read_dimensions(spark, path, compacted)
+    rows.write.mode("overwrite").partitionBy("sinkTable").parquet(f"{target}/upto={upto}")
