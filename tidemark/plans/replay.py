@@ -44,17 +44,23 @@ class Replay:
         self.spark = spark
         self.sources: list[tuple[str, DataFrame, Column]] = []
         self.jobs: list[tuple[DataFrame, BatchWriter, str, str]] = []
+        self.rounds = set(range(PARTS))
 
     def _folder(self, label: str, schema: StructType) -> str:
         path = scratch_path(self.spark, label)
         self.spark.createDataFrame([], schema).write.parquet(path)
         return path
 
-    def source(self, rows: DataFrame, part: Column, **closing: Column) -> DataFrame:
-        """The rows as a stream; ``part`` (0 and up) says when a row arrives.
+    def source(self, rows: DataFrame, part: Column, late: bool = False, **closing: Column) -> DataFrame:
+        """The rows as a stream; ``part`` (0 and up, below ``PARTS``) says when a row arrives.
 
-        With ``closing`` values a row of these, null elsewhere, comes in the last round.
+        With ``late`` rows of the last part may come one round later. With ``closing`` values a row of
+        these, null elsewhere, comes in the last round.
         """
+        if late:
+            self.rounds.add(PARTS)
+        if closing:
+            self.rounds.add(PARTS + 1)
         path = self._folder("source", rows.schema)
         if closing:
             values = [
@@ -85,7 +91,7 @@ class Replay:
         return self.spark.readStream.schema(schema).parquet(path).drop("batch_id")
 
     def run(self) -> None:
-        for arrival in range(PARTS + 2):
+        for arrival in sorted(self.rounds):
             for path, rows, part in self.sources:
                 rows.where(part == arrival).drop("arrival").write.mode("append").parquet(path)
             for stream, write, checkpoint, mode in self.jobs:

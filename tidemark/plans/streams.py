@@ -38,6 +38,7 @@ def pages(replay: Replay, sf_dir: str, part: Column | None = None) -> DataFrame:
     return replay.source(
         log,
         millis_part() if part is None else part,
+        part is not None,
         common=filled("common", mid=CLOSING),
         page=filled("page", last_page_id="home"),
         ts=F.lit(FAR_MS),
@@ -50,7 +51,7 @@ def _without_closing(rows: DataFrame) -> DataFrame:
 
 
 def _bounced(log: DataFrame) -> DataFrame:
-    return processors.bounces_stream(log, inputs.TIE, warehouse.BOUNCE_GAP_MS, warehouse.BOUNCE_CHUNK_MS)
+    return processors.bounces_stream(log, inputs.TIE, warehouse.BOUNCE_GAP_MS, warehouse.STREAM_CHUNK_MS)
 
 
 def new_flag(spark: SparkSession, sf_dir: str) -> DataFrame:

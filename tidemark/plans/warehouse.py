@@ -16,6 +16,9 @@ SIX_HOURS_MS = 6 * 3_600_000
 # One event in a median of seven hours per user: a bounce is judged over hours, not seconds.
 BOUNCE_GAP_MS = SIX_HOURS_MS
 BOUNCE_CHUNK_MS = 24 * 3_600_000
+# A stream pays per chunk and visitor, and visitors here have few pages a day. A bounce leaves at its gap,
+# however long the chunk is.
+STREAM_CHUNK_MS = 10 * BOUNCE_CHUNK_MS
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

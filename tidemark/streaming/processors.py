@@ -193,46 +193,52 @@ def bounces_stream(
     return found.select(F.from_json("payload", schema).alias("page")).select("page.*")
 
 
-VISIT_SCHEMA = "ts bigint, tie bigint, payload string, settled boolean"
+VISIT_SCHEMA = "visit_key string, ts bigint, tie bigint, until bigint, payload string, settled boolean"
 
 
 class FirstVisit(StatefulProcessor):
-    """Per visitor and day, holds the earliest entry page until the watermark has passed it.
+    """Per visitor, holds the earliest entry page of each day until the watermark has passed it.
 
-    What comes after it, or after it has left, is dropped. The state goes when the day has passed.
+    What comes after it, or after it has left, is dropped. A day's state goes when the day has passed,
+    so there are as many as the watermark lets be open.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", VISIT_SCHEMA)
+        self.visits = handle.getListState("visits", VISIT_SCHEMA)
+
+    def _store(self, visits: list[tuple]) -> None:
+        self.visits.clear()
+        if visits:
+            self.visits.appendList(visits)
+            self.handle.registerTimer(min(until if settled else ts for _, ts, _, until, _, settled in visits) + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.first.get() if self.first.exists() else None
-        best = held
+        held = {visit[0]: tuple(visit) for visit in self.visits.get()}
+        before = dict(held)
         for visits in rows:
-            if best is not None and best[3]:
-                continue
-            visits = visits.sort_values(["ts", "tie"], kind="stable").iloc[0]
-            found = (int(visits["ts"]), int(visits["tie"]), str(visits["payload"]), False)
-            self.handle.registerTimer(max(int(visits["until"]), found[0]) + 1)
-            if best is None or found[:2] < best[:2]:
-                best = found
-        if best is not held:
-            if held is not None:
-                self.handle.deleteTimer(held[0] + 1)
-            self.first.update(best)
-            self.handle.registerTimer(best[0] + 1)
+            first = visits.sort_values(["ts", "tie"], kind="stable").drop_duplicates("visit_key")
+            columns = [first[name].tolist() for name in ("visit_key", "ts", "tie", "until", "payload")]
+            for found in zip(*columns):
+                best = held.get(found[0])
+                if best is None or (not best[5] and found[1:3] < best[1:3]):
+                    held[found[0]] = (*found, False)
+        if held != before:
+            self._store(list(held.values()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.first.exists():
-            return
-        ts, tie, payload, settled = self.first.get()
-        if not settled:
-            self.first.update((ts, tie, "", True))
-            yield pd.DataFrame([(payload,)], columns=["payload"])
-        elif expiredTimerInfo.getExpiryTimeInMs() > ts + 1:
-            self.first.clear()
+        passed = timerValues.getCurrentWatermarkInMs()
+        kept, left = [], []
+        for visit_key, ts, tie, until, payload, settled in self.visits.get():
+            if not settled and ts <= passed:
+                left.append((payload,))
+                payload, settled = "", True
+            if not settled or until > passed:
+                kept.append((visit_key, ts, tie, until, payload, settled))
+        self._store(kept)
+        if left:
+            yield pd.DataFrame(left, columns=["payload"])
 
     def close(self) -> None:
         pass
@@ -258,7 +264,7 @@ def unique_visits_stream(
         F.to_json(F.struct(*schema.names)).alias("payload"),
         millis_to_time("ts").alias("rt"),
     )
-    found = thin.withWatermark("rt", watermark).groupBy("visit_mid", "visit_key").transformWithStateInPandas(
+    found = thin.withWatermark("rt", watermark).groupBy("visit_mid").transformWithStateInPandas(
         statefulProcessor=FirstVisit(), outputStructType="payload string", outputMode="Append", timeMode="eventTime"
     )
     return found.select(F.from_json("payload", schema).alias("page")).select("page.*")
