@@ -70,6 +70,14 @@ def test_edges(spark):
     assert ht.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_deep_and_broken_pages_of_one_host(spark):
+    rows = [(i, f"http://d.example/{i}", "<div>" * 3000 + f"deep {i}" + "</div>" * (1500 + i)) for i in range(6)]
+    rows += [(50, "http://d.example/x", "<a " * 30_000 + "end"), (51, "http://d.example/y", "<b>" * 5000 + "</i>" * 5000 + "y")]
+    found = texts(spark, rows)
+    assert all(found[i, rows[i][1]] == f"deep {i}" for i in range(6))
+    assert found[50, "http://d.example/x"].endswith("end") and found[51, "http://d.example/y"] == "y"
+
+
 def test_wrappers_do_not_depend_on_the_order_of_pages():
     pages = [ht.skeleton(ht.page_tree(plain(i, "B"))[0]) for i in range(10)]
     one, two = pages[0], ht.skeleton(ht.page_tree(plain(9, "B"))[0])

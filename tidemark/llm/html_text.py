@@ -12,6 +12,7 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,10 +28,12 @@ TEMPLATE_SHARE = 0.8
 # texts is always among them.
 SLOT_TEXTS, REPEAT_TEXTS = 4, 128
 PARTS = 32
+# Levels of a tree that a wrapper holds; what lies deeper is content as its outermost node is.
+DEPTH = 100
 # A block outside an article whose letters are links to this share is a menu.
 LINK_SHARE = 0.8
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 
@@ -91,10 +94,14 @@ def parse(source: str) -> Node:
     """The DOM tree of a page; whatever is malformed, every text ends up somewhere in it."""
     root = Node("#root")
     open_nodes, at = [root], 0
+    open_tags: Counter[str] = Counter()
 
     def close(tags: set[str], limits: set[str]) -> None:
+        if not any(open_tags[tag] for tag in tags):
+            return
         for i in range(len(open_nodes) - 1, 0, -1):
             if open_nodes[i].tag in tags:
+                open_tags.subtract(node.tag for node in open_nodes[i:])
                 del open_nodes[i:]
                 return
             if open_nodes[i].tag in limits or open_nodes[i].tag in ROOTS:
@@ -111,9 +118,12 @@ def parse(source: str) -> Node:
         if match[2]:
             tag = match[2].lower()
             if match[1]:
-                if any(node.tag == tag for node in open_nodes[1:]):
-                    while open_nodes.pop().tag != tag:
-                        pass
+                if open_tags[tag] > 0:
+                    while True:
+                        closed = open_nodes.pop().tag
+                        open_tags[closed] -= 1
+                        if closed == tag:
+                            break
             else:
                 if tag in CLOSES:
                     close(*CLOSES[tag])
@@ -126,6 +136,7 @@ def parse(source: str) -> Node:
                     at = end.end() if end else len(source)
                 elif tag not in VOID and not match[3].endswith("/"):
                     open_nodes.append(node)
+                    open_tags[tag] += 1
         match = TOKEN.search(source, at)
     text(source[at:])
     return root
@@ -250,10 +261,10 @@ class Slot:
         return slot
 
 
-def skeleton(node: Node) -> Slot:
+def skeleton(node: Node, depth: int = DEPTH) -> Slot:
     """The slots of one page; a marked article is one slot, as all of it is content."""
     slot = Slot(node.label)
-    if node.tag in ROOTS or node.role == "main":
+    if node.tag in ROOTS or node.role == "main" or depth == 0:
         return slot
     blocks_below = []
     stack = list(reversed(node.parts))
@@ -265,7 +276,7 @@ def skeleton(node: Node) -> Slot:
             else:
                 blocks_below.append(part)
     for part in blocks_below:
-        made = skeleton(part)
+        made = skeleton(part, depth - 1)
         if slot.slots and slot.slots[-1].label == made.label:
             merge(slot.slots[-1], made, same_page=True)
         else:

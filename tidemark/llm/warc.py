@@ -128,7 +128,13 @@ def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, sha
         def close() -> None:
             out, temporary, name, state = open_file
             out.close()
-            store.move(temporary, f"{folder}/{name}")
+            try:
+                store.move(temporary, f"{folder}/{name}")
+            except OSError:
+                # Some file systems do not replace: an earlier attempt has left the same bytes there.
+                if store.get_file_info(f"{folder}/{name}").type == fs.FileType.NotFound:
+                    raise
+                store.delete_file(temporary)
             made.append({"shard": shard, "name": name, **state, "sha256": state["sha256"].hexdigest()})
 
         for batch in batches:
