@@ -79,6 +79,8 @@ def lookup(rows: DataFrame, found: DataFrame, keys: list[str], uses: str) -> Dat
     broadcast. The rows they answer, and rows whose key is null, go through the join of the other
     keys under keys of their own, spread by content.
     """
+    # Read three times below, so it is computed once.
+    found = stored(found, "lookup")
     total = found.agg(F.sum(uses)).first()[0] or 0
     least = max(1000, int(total * HOT_SHARE))
     values = [name for name in found.columns if name not in (*keys, uses)]
