@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
@@ -23,6 +23,8 @@ KINDS = ("email", "iban", "card", "date", "ip", "ssn", "phone")
 MADE = "n_email bigint, n_iban bigint, n_card bigint, n_date bigint, n_ip bigint, n_ssn bigint, n_phone bigint, spans string"
 # Dates of this range are permuted among each other, both ends included.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
+# Signs on either side of a value that can decide how it is read; more than the longest card or IBAN.
+NEAR = 64
 
 # The formats.
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]*)@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})")
@@ -30,6 +32,7 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z
 CARD = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])")
 DATE = re.compile(r"(?<![\d.\-/])(?:(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4}))(?![\d\-/]|\.\d)")
 IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)")
+GROUP = re.compile(r"[A-Z0-9]+")
 SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 PHONE = re.compile(
     r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}"
@@ -233,31 +236,71 @@ FORMATS = dict(
 )
 
 
-def find(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the validated values of a text, in order, not overlapping."""
+def _places(kind: str, text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The match itself, then what a card or IBAN may be inside it: whole groups, early starts and long ones first.
+
+    A security code, an expiry date or a short word behind a value is matched along with it.
+    """
+    yield start, end
+    if kind not in ("card", "iban"):
+        return
+    groups = [match.span() for match in GROUP.finditer(text, start, end)]
+    # An IBAN inside is met again from its own start, as only its first signs can be one.
+    for first, _ in groups if kind == "card" else groups[:1]:
+        for _, last in reversed(groups):
+            if last > first and (first, last) != (start, end):
+                yield first, last
+
+
+def _find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
+    """What ``find`` gives, and the matches of cards and IBANs that are no value as a whole."""
     found: list[tuple[int, int, str]] = []
+    failed: list[tuple[int, int]] = []
     taken = bytearray(len(text))
     digits = any(sign in text for sign in "0123456789")
     for kind, (pattern, change) in FORMATS.items():
         if (kind == "email" and "@" not in text) or (kind != "email" and not digits):
             continue
-        for match in pattern.finditer(text):
-            start, end = match.span()
-            if any(taken[start:end]) or change(match[0], KEY, False) is None:
-                continue
-            taken[start:end] = b"\1" * (end - start)
-            found.append((start, end, kind))
-    return sorted(found)
+        match = pattern.search(text)
+        while match:
+            at = match.start() + 1
+            for start, end in _places(kind, text, *match.span()):
+                if not any(taken[start:end]) and change(text[start:end], KEY, False) is not None:
+                    taken[start:end] = b"\1" * (end - start)
+                    found.append((start, end, kind))
+                    at = end
+                    break
+            if kind in ("card", "iban") and (not found or found[-1] != (*match.span(), kind)):
+                failed.append(match.span())
+            match = pattern.search(text, at)
+    return sorted(found), failed
+
+
+def find(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the validated values of a text, in order, not overlapping."""
+    return _find(text)[0]
 
 
 def pseudonyms(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with every value replaced, and the values' places in the given text."""
-    found = find(text)
-    parts, at = [], 0
-    for start, end, kind in found:
-        parts += [text[at:start], FORMATS[kind][1](text[start:end], key, back)]
-        at = end
-    return "".join([*parts, text[at:]]), found
+    found, failed = _find(text)
+    covered = bytearray(len(text))
+    for start, end in failed:
+        covered[start:end] = b"\1" * (end - start)
+    signs = list(text)
+    # Going back, values are replaced in the opposite order, so each one sees the same neighbours.
+    for start, end, kind in reversed(found) if back else found:
+        change = FORMATS[kind][1]
+        made = change("".join(signs[start:end]), key, back)
+        if any(covered[start:end]):
+            # With other digits a longer match could become valid; the permutation is walked on until
+            # the same values are found again, or the key would not give them back.
+            before, after = "".join(signs[max(0, start - NEAR) : start]), "".join(signs[end : end + NEAR])
+            wanted = find(before + "".join(signs[start:end]) + after)
+            while find(before + made + after) != wanted:
+                made = change(made, key, back)
+        signs[start:end] = made
+    return "".join(signs), found
 
 
 def pseudonymise(docs: DataFrame, keep: list[str], key: bytes = KEY, text_col: str = "text") -> DataFrame:
