@@ -81,3 +81,27 @@ def test_masked_texts_hold_no_secret(spark):
         if row["doc_id"] in range(10) and row["text"] is not None:
             assert not secrets.confirmed_spans(row["text"]) and not plain(row["text"])
     assert masked.where("doc_id = 900 and text is null").count() == 1
+
+
+def test_keys_that_do_not_stand_alone():
+    encoded = base64.b64encode(PEM.encode()).decode()
+    lines = "\n".join(B64[i : i + 64] for i in range(0, len(B64), 64))
+    literal = json.dumps({"private_key": PEM + "\n"})
+    wrapped = "\r\n  ".join(encoded[i : i + 76] for i in range(0, len(encoded), 76))
+    assert kinds(f"tls.key: {encoded} end") == [("pem", encoded)]
+    assert kinds(f"tls.key: |\n  {wrapped}\n") == [("pem", wrapped)]
+    for before in ("a=1\n", "ab=1\n", "abc=1\n"):
+        inner = base64.b64encode((before + PEM + "\n").encode()).decode()
+        (found,) = kinds(f"x {inner} y")
+        assert found[0] == "pem" and inner.endswith(found[1]) and len(found[1]) >= len(encoded) - 8
+    for glue in ("key", "path/", "/", "k", "AAAAB"):
+        assert kinds(f"see {glue}{B64} end") == [("der", B64)]
+    assert kinds(f"see\n{lines}\nend") == [("der", lines)]
+    escaped = lines.replace("\n", "\\n")
+    assert kinds(f'"see\\n{escaped}\\nend"') == [("der", escaped)]
+    assert kinds(literal) == [("pem", literal[literal.index("-----") : literal.rindex("-----") + 5])]
+    assert kinds(json.dumps(literal))[0][0] == "pem"
+    assert kinds(f"ssh-rsa {SSH}-x\nssh-rsa {SSH}\n") == [("ssh", SSH)] * 2
+    assert kinds(f"x {SSH[:60]}\n{SSH[60:]}\nnext") == [("ssh", f"{SSH[:60]}\n{SSH[60:]}")]
+    for text in (encoded, f"key{B64}", lines, literal):
+        assert not secrets.confirmed_spans(secrets.masked(text))

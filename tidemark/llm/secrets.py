@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
+import itertools
 import json
 import re
 
@@ -28,11 +30,37 @@ ASSIGN_LENGTH, ACCESS_LENGTH = 6, 20
 # The kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "ssh", "der")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,\\-]*?)-----END \1-----")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
+# Base64 in either alphabet, over line ends, also those written as a backslash and a letter.
+LINE_END = r"(?:[ \t]*\r?\n[ \t]*|(?:\\+[rn])+)"
+BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+BASE64_RUN = re.compile(rf"[A-Za-z0-9+/_-]+(?:{LINE_END}[A-Za-z0-9+/_-]+)*={{0,2}}")
+LEAST_SIGNS = 40
 HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){30,}(?![0-9A-Fa-f])")
 SSH_MAGIC = b"openssh-key-v1\x00"
+SSH_FIELD = re.compile(rb"\0\0\0[\x06-\x2f](?:ssh|ecdsa|sk)-")
+
+
+def _encoded_marks() -> list[tuple[str, str]]:
+    """How the begin mark of a PEM block reads in base64 at each of three offsets, and the signs before it."""
+    marks = []
+    for offset, before in enumerate((0, 2, 3)):
+        data = b"\0" * offset + b"-----BEGIN "
+        signs = base64.b64encode(data).decode()
+        marks.append((signs[before : len(data) * 8 // 6], signs[:before]))
+    return marks
+
+
+ENCODED_MARKS = _encoded_marks()
+# Where a key can start in base64: a DER sequence, the length of an SSH field, the OpenSSH magic, or a
+# PEM mark. A line may end between any two signs.
+STARTS = re.compile(
+    "|".join(
+        f"{signs[0]}(?={''.join(f'(?:{LINE_END})?{sign}' for sign in signs[1:])})"
+        for signs in (["M", "[A-P]"], [*"AAAA", "[A-L]"], list(base64.b64encode(SSH_MAGIC).decode()), *[list(mark) for mark, _ in ENCODED_MARKS])
+    )
+)
 DER_SEQUENCE, DER_INTEGER, DER_BYTES, DER_OID, DER_BITS = 0x30, 0x02, 0x04, 0x06, 0x03
 
 
@@ -47,6 +75,12 @@ def decode_base64(run: str) -> bytes | None:
         return None
 
 
+def decode_start(signs: str) -> bytes:
+    """The bytes of base64 signs without padding; a last sign that is no byte is left out."""
+    signs = signs[: len(signs) - (len(signs) % 4 == 1)].translate(str.maketrans("-_", "+/"))
+    return base64.b64decode(signs + "=" * (-len(signs) % 4))
+
+
 def der_item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, start and end of the value at ``at``; None unless its length fits before ``end``."""
     if at + 2 > end:
@@ -137,6 +171,7 @@ def is_token(header: str, body: str) -> bool:
 
 def pem_holds(label: str, body: str) -> bool:
     """Whether the block between PEM marks decodes to a key; legacy encrypted blocks carry header lines."""
+    body = re.sub(r"\\+/", "/", re.sub(r"\\+[nrt]", "\n", body))
     lines = [line.strip() for line in body.strip().splitlines()]
     encrypted = any(line.startswith("Proc-Type:") for line in lines)
     data = decode_base64("".join(line for line in lines if ":" not in line))
@@ -145,6 +180,104 @@ def pem_holds(label: str, body: str) -> bool:
     return encrypted or is_der_key(data) or is_ssh_key(data) or label.startswith("PGP")
 
 
+class Run:
+    """A base64 run without its line ends, and where each of its signs is in the text."""
+
+    def __init__(self, text: str, at: int) -> None:
+        while at and BASE64_LINE.match(text, at - 1):
+            at -= 1
+        self.start, self.end = BASE64_RUN.match(text, at).span()
+        lines = []
+        for part in re.split(f"({LINE_END})", text[self.start : self.end]):
+            if BASE64_LINE.match(part):
+                lines.append((at, part.rstrip("=")))
+            at += len(part)
+        self.places = [place for place, _ in lines]
+        # For every line the number of signs up to its end.
+        self.ends = list(itertools.accumulate(len(line) for _, line in lines))
+        self.signs = "".join(line for _, line in lines)
+        self.read: set[int] = set()
+
+    def index(self, place: int) -> int:
+        line = bisect.bisect_right(self.places, place) - 1
+        return (self.ends[line - 1] if line else 0) + place - self.places[line]
+
+    def place(self, index: int) -> int:
+        line = bisect.bisect_right(self.ends, index)
+        return self.places[line] + index - (self.ends[line - 1] if line else 0)
+
+    def end_place(self, index: int) -> int:
+        """Where the signs up to ``index`` end in the text; padding belongs to the last of them."""
+        return self.end if index == len(self.signs) else self.place(index - 1) + 1
+
+    def der_end(self, at: int) -> int | None:
+        """The end of a DER key that starts at a sign; its outer length says where that is."""
+        head = decode_start(self.signs[at : at + 24])
+        outer = der_item(head, 0, 1 << 40) if len(head) > 6 else None
+        if outer is None or outer[0] != DER_SEQUENCE or head[outer[1] : outer[1] + 1] not in (b"\x02", b"\x30"):
+            return None
+        end = at + -(-outer[2] * 4 // 3)
+        if not LEAST_SIGNS <= end - at <= len(self.signs) - at:
+            return None
+        return end if is_der_key(decode_start(self.signs[at:end])[: outer[2]]) else None
+
+    def ssh_end(self, at: int) -> int | None:
+        """The end of an SSH key that starts at a sign: of the lines that end where a key can, the last."""
+        head = decode_start(self.signs[at : at + 80])
+        if not head.startswith(SSH_MAGIC) and not SSH_FIELD.match(head):
+            return None
+        data = decode_start(self.signs[at:])
+        if head.startswith(SSH_MAGIC):
+            return len(self.signs) if len(self.signs) - at >= LEAST_SIGNS and is_ssh_key(data) else None
+        # Signs of the other alphabet end a key as well.
+        other = [match.start() for match in (re.search(signs, self.signs[at:]) for signs in ("[-_]", "[+/]")) if match]
+        ends = sorted([*self.ends, *(at + place for place in other)])
+        lengths = {(end - at) * 3 // 4: end for end in ends if end - at >= LEAST_SIGNS and (end - at) % 4 != 1}
+        done, fields, found = 0, 0, None
+        while done + 4 <= len(data):
+            done += 4 + int.from_bytes(data[done : done + 4], "big")
+            fields += 1
+            if fields > 1 and done in lengths and is_ssh_key(data[:done]):
+                found = lengths[done]
+        return found
+
+    def pem_spans(self, at: int) -> list[tuple[int, int]]:
+        """First and last sign of the PEM blocks from an encoded mark on, in all of the run that is read with it."""
+        before = next(signs for mark, signs in ENCODED_MARKS if self.signs.startswith(mark, at))
+        offset = at - len(before)
+        if offset % 4 in self.read:
+            return []
+        self.read.add(offset % 4)
+        data = decode_start(before + self.signs[at:]).decode("latin-1")
+        found = []
+        for match in PEM.finditer(data):
+            if pem_holds(match[1], match[2]):
+                # What follows the block in the last signs is at most a line end.
+                end = len(self.signs) if not data[match.end() :].strip() else offset + -(-match.end() * 4 // 3)
+                found.append((max(at, offset + match.start() * 4 // 3), end))
+        return found
+
+
+def base64_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the keys in base64, wherever in a run they start; one inside another is left out."""
+    found: list[tuple[int, int, int]] = []
+    run = None
+    for match in STARTS.finditer(text):
+        if any(start <= match.start() < end for start, _, end in found):
+            continue
+        if run is None or match.start() >= run.end:
+            run = Run(text, match.start())
+        at = run.index(match.start())
+        if any(run.signs.startswith(mark, at) for mark, _ in ENCODED_MARKS):
+            spans = [(first, 3, last) for first, last in run.pem_spans(at)]
+        elif run.signs[at] == "M":
+            spans = [(at, 6, end)] if (end := run.der_end(at)) else []
+        else:
+            spans = [(at, 5, end)] if (end := run.ssh_end(at)) else []
+        found += [(run.place(first), kind, run.end_place(last)) for first, kind, last in spans]
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns, leftmost and not overlapping within a kind."""
     found = []
@@ -169,20 +302,17 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     def inside(at: int) -> bool:
         return any(start <= at < end for start, end in blocks)
 
-    taken = set()
-    for pattern, decode in ((BASE64_RUN, decode_base64), (HEX_RUN, bytes.fromhex)):
-        for match in pattern.finditer(text):
-            # A DER sequence or an SSH length starts with few byte values; all else need not be decoded.
-            if inside(match.start()) or (pattern is BASE64_RUN and match[0][0] not in "MAb"):
-                continue
-            data = decode(match[0])
-            if not data or match.span() in taken:
-                continue
-            kind = 5 if is_ssh_key(data) else 6 if is_der_key(data) else None
-            if kind is not None:
-                taken.add(match.span())
-                found.append((match.start(), kind, match.end()))
-    return sorted(found)
+    for start, kind, end in base64_spans(text):
+        if not inside(start):
+            found.append((start, kind, end))
+    for match in HEX_RUN.finditer(text):
+        if inside(match.start()):
+            continue
+        data = bytes.fromhex(match[0])
+        kind = 5 if is_ssh_key(data) else 6 if is_der_key(data) else None
+        if kind is not None:
+            found.append((match.start(), kind, match.end()))
+    return sorted(set(found))
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:
