@@ -87,3 +87,21 @@ def test_wrappers_do_not_depend_on_the_order_of_pages():
         ht.merge(two, ht.skeleton(ht.page_tree(plain(i, "B"))[0]))
     assert one.pages == two.pages == 10
     assert ht.matched(one, two) == ht.matched(one, one) == ht.matched(two, two)
+
+
+def test_a_constant_text_among_many_neighbours_is_template(spark):
+    for host, each in (("few", 31), ("many", 150)):
+        wanted = {i: [f"{prose(i * each + k, 6)} {i} {k}" for k in range(each)] for i in range(60)}
+        rows = [
+            (i, f"http://{host}.example/{i}", "<body><div>" + "".join(f"<p>{text}</p>" for text in ["Read in our app", *own]) + "</div></body>")
+            for i, own in wanted.items()
+        ]
+        found = texts(spark, rows)
+        assert all(found[i, f"http://{host}.example/{i}"] == "\n".join(own) for i, own in wanted.items())
+
+
+def test_a_text_just_above_the_share_is_template(spark):
+    for share, left in ((82, 18), (78, 100)):
+        rows = [(i, "http://s.example/", f"<div>{'Same' if i < share else f'Own {i}'}</div><p>{prose(i, 9)} {i}</p>") for i in range(100)]
+        found = texts(spark, [(i, f"{url}{i}", page) for i, url, page in rows])
+        assert sum(1 for text in found.values() if "\n" in text) == left

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SLICE_ROWS, add_columns, lookup
+from tidemark.llm.common import SLICE_ROWS, add_columns, lookup, stored
 
 # A slot is template if at least this many pages have it and this share of them the same text.
 TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.8
-# Texts counted per slot, and per slot that repeats on a page: what has one of so many shares of all
-# texts is always among them.
+# Texts held per slot, and per slot that repeats on a page; more where one page has more than half as
+# many. They only name candidates: what their counts leave open is counted exactly.
 SLOT_TEXTS, REPEAT_TEXTS = 4, 128
 PARTS = 32
 # Levels of a tree that a wrapper holds; what lies deeper is content as its outermost node is.
@@ -242,24 +242,38 @@ class Slot:
     """A node of a wrapper: pages that have it, on how many which text was seen, and its slots in order.
 
     Neighbours with one label are one slot that repeats, with the texts of all of them. In the slots of a
-    page ``nodes`` holds its nodes, each with the key of its text ("" if it has blocks below).
+    page ``nodes`` holds its nodes, each with the key of its text ("" if it has blocks below). A text was
+    seen on at least as many pages as its count in ``texts`` says, and on at most ``off`` more; ``most``
+    is the most texts of one page.
     """
 
-    __slots__ = ("label", "pages", "texts", "repeats", "slots", "nodes")
+    __slots__ = ("label", "pages", "texts", "repeats", "slots", "nodes", "off", "most")
 
     def __init__(self, label: str, pages: int = 1) -> None:
         self.label, self.pages, self.texts, self.repeats, self.slots = label, pages, {}, False, []
         self.nodes: list[tuple[Node, str]] = []
+        self.off, self.most = 0, 0
 
     def to_list(self) -> list:
-        return [self.label, self.pages, self.texts, self.repeats, [slot.to_list() for slot in self.slots]]
+        return [self.label, self.pages, self.texts, self.repeats, [slot.to_list() for slot in self.slots], self.off, self.most]
 
     @classmethod
     def from_list(cls, values: list) -> Slot:
         slot = cls(values[0], values[1])
         slot.texts, slot.repeats, slot.slots = values[2], values[3], [cls.from_list(value) for value in values[4]]
+        slot.off, slot.most = values[5:]
         return slot
 
+    def in_order(self) -> list[Slot]:
+        """The slot and all below, outer ones first; a place in this list names a slot of a wrapper."""
+        return [self, *(slot for below in self.slots for slot in below.in_order())]
+
+    def is_open(self, key: str) -> bool:
+        """Whether the counts do not tell if a text is template."""
+        least = TEMPLATE_SHARE * self.pages
+        count = self.texts.get(key, 0)
+        return self.pages >= TEMPLATE_PAGES and count < least <= count + self.off
+
 
 def skeleton(node: Node, depth: int = DEPTH) -> Slot:
     """The slots of one page; a marked article is one slot, as all of it is content."""
@@ -284,6 +298,7 @@ def skeleton(node: Node, depth: int = DEPTH) -> Slot:
     key = "" if blocks_below else text_key(own_text(node))
     slot.nodes = [(node, key)]
     slot.texts = {key: 1} if key else {}
+    slot.most = len(slot.texts)
     return slot
 
 
@@ -316,25 +331,35 @@ def matched(a: Slot, b: Slot) -> int:
     return 1 + sum(matched(a.slots[i], b.slots[j]) for i, j in match_slots(a.slots, b.slots))
 
 
-def count_texts(texts: dict[str, int], limit: int) -> dict[str, int]:
-    """At most ``limit`` texts: a rarer one lowers the others' counts, so frequent ones always stay."""
+def count_texts(texts: dict[str, int], limit: int) -> tuple[dict[str, int], int]:
+    """At most ``limit`` texts: a rarer one lowers the others' counts, so frequent ones always stay; and by how much."""
     if len(texts) <= limit:
-        return texts
+        return texts, 0
     off = sorted(texts.values(), reverse=True)[limit]
-    return {key: count - off for key, count in texts.items() if count > off}
+    return {key: count - off for key, count in texts.items() if count > off}, off
 
 
 def merge(into: Slot, other: Slot, same_page: bool = False) -> None:
-    """Add the pages of ``other`` to a wrapper; with ``same_page`` they are repeats on one page."""
+    """Add the pages of ``other`` to a wrapper; with ``same_page`` they are repeats on one page.
+
+    A page adds at most ``most`` texts and lowering counts by one takes out more than twice as many, so
+    ``off`` stays below half of the pages and no text of four fifths of them is ever left out.
+    """
     into.repeats = into.repeats or other.repeats or same_page
     if same_page:
         into.nodes += other.nodes
+        into.texts.update(dict.fromkeys(other.texts, 1))
+        into.most = len(into.texts)
     else:
         into.pages += other.pages
-    texts = dict(into.texts)
-    for key, count in other.texts.items():
-        texts[key] = 1 if same_page else texts.get(key, 0) + count
-    into.texts = count_texts(texts, REPEAT_TEXTS if into.repeats else SLOT_TEXTS)
+        for key, count in other.texts.items():
+            into.texts[key] = into.texts.get(key, 0) + count
+        into.most = max(into.most, other.most)
+        limit = max(REPEAT_TEXTS if into.repeats else SLOT_TEXTS, 2 * into.most)
+        off = 0
+        if len(into.texts) > 2 * limit:
+            into.texts, off = count_texts(into.texts, limit)
+        into.off += other.off + off
     pairs = match_slots(into.slots, other.slots)
     new, done = [], 0
     at = 0
@@ -362,6 +387,25 @@ def mark_template(page: Slot, wrapper: Slot) -> None:
         mark_template(page.slots[i], wrapper.slots[j])
 
 
+def open_texts(page: Slot, wrapper: Slot, places: dict[int, int]) -> Iterator[tuple[int, str, int]]:
+    """(slot, text, pages of the slot) of the texts of a page that the wrapper's counts leave open, each once."""
+    for key in sorted({key for _, key in page.nodes if key}):
+        if wrapper.is_open(key):
+            yield places[id(wrapper)], key, wrapper.pages
+    for i, j in match_slots(page.slots, wrapper.slots):
+        yield from open_texts(page.slots[i], wrapper.slots[j], places)
+
+
+def load_wrapper(wrapper: str, template: str | None) -> Slot:
+    """A stored wrapper, with the texts that the exact count found to be template."""
+    root = Slot.from_list(json.loads(wrapper))
+    if template:
+        slots = root.in_order()
+        for mark in json.loads(template):
+            slots[mark["slot"]].texts[mark["text"]] = slots[mark["slot"]].pages
+    return root
+
+
 def page_text(source: str | None, wrapper: Slot | None) -> str:
     """The article's blocks, joined by line feeds; without a marked article all content slots of the page."""
     if not source:
@@ -377,7 +421,9 @@ def host_of(url: str) -> F.Column:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, uses): the wrapper of every host with two pages or more, and its number of pages.
+    """(host, wrapper, uses, open): the wrapper of every host with two pages or more, and its number of pages.
+
+    It holds the texts that may be template; ``open`` says whether some of them must be counted exactly.
 
     Every page is merged in. Tasks merge the pages they read; a host's partial wrappers, whose size does
     not grow with the pages, are merged in two steps, so no task gathers the pages of a large host.
@@ -419,15 +465,60 @@ def induce(pages: DataFrame) -> DataFrame:
             {"host": host, "wrapper": json.dumps(slot.to_list()), "uses": slot.pages} for host, slot in wrappers.items()
         ])
 
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in from_partial(batches):
+            for row in batch.to_pylist():
+                root = Slot.from_list(json.loads(row["wrapper"]))
+                slots = root.in_order()
+                for slot in slots:
+                    least = max(TEMPLATE_PAGES, TEMPLATE_SHARE * slot.pages)
+                    slot.texts = {key: count for key, count in slot.texts.items() if count + slot.off >= least}
+                unclear = any(slot.is_open(key) for slot in slots for key in ["", *slot.texts])
+                made = {"host": row["host"], "wrapper": json.dumps(root.to_list()), "uses": row["uses"], "open": unclear}
+                yield pa.RecordBatch.from_pylist([made])
+
     schema = "host string, wrapper string, uses bigint"
     found = pages.where("html is not null and host <> ''").select("host", "html").mapInArrow(from_pages, schema)
     part = F.pmod(F.xxhash64("wrapper"), F.lit(PARTS))
     some = found.withColumn("part", part).repartition("host", "part").sortWithinPartitions("host", "wrapper")
     some = some.select("host", "wrapper", "uses").mapInArrow(from_partial, schema)
-    one = some.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(from_partial, schema)
+    one = some.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(finish, f"{schema}, open boolean")
     return one.where("uses > 1")
 
 
+def count_open(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(host, template): the texts that are template where the counts of the given wrappers leave it open.
+
+    Every page of these hosts is aligned with its wrapper again, and the pages of each text that is open
+    are counted.
+    """
+
+    def from_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                known: dict[str, tuple[Slot, dict[int, int]]] = {}
+                found: Counter[tuple] = Counter()
+                for row in batch.slice(start, SLICE_ROWS).to_pylist():
+                    if row["wrapper"] not in known:
+                        root = load_wrapper(row["wrapper"], None)
+                        known[row["wrapper"]] = root, {id(slot): i for i, slot in enumerate(root.in_order())}
+                    page = skeleton(page_tree(row["html"])[0])
+                    found.update((row["host"], *values) for values in open_texts(page, *known[row["wrapper"]]))
+                if found:
+                    columns = zip(*((*key, n) for key, n in found.items()), strict=True)
+                    types = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+                    arrays = [pa.array(column, kind) for column, kind in zip(columns, types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["host", "slot", "text", "pages", "n"])
+
+    some = pages.where("html is not null and host <> ''").select("host", "html")
+    some = lookup(some, wrappers.select("host", "wrapper", "uses"), ["host"], "uses").where("wrapper is not null")
+    counts = some.mapInArrow(from_pages, "host string, slot int, text string, pages bigint, n bigint")
+    counts = counts.groupBy("host", "slot", "text", "pages").agg(F.sum("n").alias("n"))
+    template = counts.where(F.col("n") >= F.lit(TEMPLATE_SHARE) * F.col("pages"))
+    marks = F.sort_array(F.collect_list(F.struct("slot", "text")))
+    return template.groupBy("host").agg(F.to_json(marks).alias("template"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
@@ -436,17 +527,23 @@ def extract(pages: DataFrame) -> DataFrame:
     columns are not read, so their names cannot clash. An empty table gives an empty result.
     """
     rows = pages.select("page_id", "url", "html", F.coalesce(host_of("url"), F.lit("")).alias("host"))
-    with_wrapper = lookup(rows, induce(rows), ["host"], "uses")
-    paired = with_wrapper.select("page_id", "url", F.struct("html", "wrapper").alias("page"))
+    wrappers = stored(induce(rows), "wrappers")
+    unclear = wrappers.where("open")
+    if unclear.isEmpty():
+        found = wrappers.withColumn("template", F.lit(None).cast("string"))
+    else:
+        found = wrappers.join(count_open(rows, unclear), "host", "left")
+    with_wrapper = lookup(rows, found.drop("open"), ["host"], "uses")
+    paired = with_wrapper.select("page_id", "url", F.struct("html", "wrapper", "template").alias("page"))
 
     def texts(values: list[dict]) -> dict[str, list]:
-        known: dict[str, Slot] = {}
+        known: dict[tuple, Slot] = {}
         found = []
         for value in values:
-            wrapper = value["wrapper"]
-            if wrapper and wrapper not in known:
-                known[wrapper] = Slot.from_list(json.loads(wrapper))
-            found.append(page_text(value["html"], known.get(wrapper)))
+            made = value["wrapper"], value["template"]
+            if made[0] and made not in known:
+                known[made] = load_wrapper(*made)
+            found.append(page_text(value["html"], known.get(made)))
         return {"text": found, "n_chars": [len(text) for text in found]}
 
     return add_columns(paired, "page", texts, "text string, n_chars bigint", ["page_id", "url"])
