@@ -74,3 +74,25 @@ def test_empty_tables(spark):
     assert dc.find_leaks(docs, items).count() == 0
     assert dc.find_leaks(spark.createDataFrame([(1, "a b c d e")], "doc_id bigint, text string"), items).count() == 0
     assert dc.without_leaks(docs, items).count() == 0
+
+
+def leaks(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return sorted(tuple(row) for row in dc.find_leaks(docs, benchmark).collect())
+
+
+def test_items_cut_off_by_the_edges_of_a_document(spark):
+    words = ITEMS[2].split()
+    texts = [" ".join(words[:14]), " ".join(words[3:]), "other " + " ".join(words[:12]), " ".join(words[:11]), " ".join(words[4:])]
+    assert leaks(spark, texts, [ITEMS[2]]) == [(0, 0, 0, 0, 14, 14), (1, 0, 0, 3, 12, 12), (2, 0, 1, 0, 12, 12)]
+    # Of an item that is little longer than a stretch four fifths can be less than one.
+    words = prose("thirty", 30).split()
+    texts = [" ".join(words[-24:]), " ".join(words[:24]), " ".join(words[:23])]
+    assert leaks(spark, texts, [" ".join(words)]) == [(0, 0, 0, 6, 24, 24), (1, 0, 0, 0, 24, 24)]
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = ["Zebra quilt", "中国的首都是哪里", "กรุงเทพ", "xylophone"]
+    texts = ["a zebra, quilt!", "zebra and quilt", "请问中国的首都在哪里?", "中国的天气", "ไปกรุงเทพวันนี้", "xylophones", "Xylophone_"]
+    assert [row[:2] for row in leaks(spark, texts, items)] == [(0, 0), (2, 1), (4, 2), (6, 3)]

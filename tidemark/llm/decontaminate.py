@@ -22,18 +22,26 @@ from tidemark.llm.common import SLICE_ROWS, add_columns
 # 1 is compared, 0 is ignored. Any run of 4 to 16 tokens, and any longer one, with four
 # fifths of its tokens in place holds one of these.
 MASKS = ("1111", "11011", "11101", "10111")
+# Shorter items must be in the document as they are.
+SHORT_MASKS = ("1", "11", "111")
 # A document is contaminated by an item if in some stretch of as many tokens as the item has, at most
-# this many, four fifths of the tokens are the item's.
+# this many, four fifths of the tokens are the item's; or if it starts or ends inside the item and four
+# fifths of the item's tokens are there.
 STRETCH = 25
 PERCENT = 80
 # Tokens of the benchmark that are held by a task at a time; more items take further passes.
 BLOCK_TOKENS = 2_000_000
-TOKEN = re.compile(r"[^\W_]+")
+# Scripts written without spaces (Thai to Lao, Burmese, Khmer, kana, Han): every letter is a token.
+UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+    "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+)
+TOKEN = re.compile(rf"[^\W_{UNSPACED}]+|[{UNSPACED}](?<=\w)")
 MADE = "item_id bigint, doc_start bigint, item_start bigint, n_tokens bigint, n_same bigint"
 
 
 def tokens_of(text: str | None) -> list[str]:
-    """Runs of letters and digits, case folded."""
+    """Runs of letters and digits, case folded; single letters in scripts without spaces."""
     return TOKEN.findall((text or "").casefold())
 
 
@@ -54,14 +62,16 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str | None]]) -> None:
         known = WordHashes()
+        self.masks: set[str] = set()
         self.ids: list[int] = []
         self.tokens: list[np.ndarray] = []
         found, owner, place = [], [], []
         for item_id, text in rows:
             hashes = known.of(tokens_of(text))
-            if item_id is None or len(hashes) < len(MASKS[0]):
+            if item_id is None or not len(hashes):
                 continue
-            for mask in MASKS:
+            for mask in MASKS if len(hashes) >= len(MASKS[0]) else (SHORT_MASKS[len(hashes) - 1],):
+                self.masks.add(mask)
                 made = seeds(hashes, mask)
                 found.append(made)
                 owner.append(np.full(len(made), len(self.ids)))
@@ -80,7 +90,7 @@ class Items:
     def hits(self, hashes: np.ndarray) -> set[tuple[int, int]]:
         """(item, shift) of every seed that a document shares with an item; document place less item place."""
         out: set[tuple[int, int]] = set()
-        for mask in MASKS:
+        for mask in self.masks:
             made = seeds(hashes, mask)
             at = np.flatnonzero(self.maybe[(made >> np.uint64(44)).astype(np.int64)])
             first = np.searchsorted(self.seeds, made[at])
@@ -91,13 +101,18 @@ class Items:
         return out
 
     def overlap(self, hashes: np.ndarray, item: int, shift: int) -> tuple[int, int, int, int] | None:
-        """The best stretch along a shift: document start, item start, tokens, tokens that are the same."""
+        """The best stretch along a shift: document start, item start, tokens, tokens that are the same.
+
+        Where the document's edges leave less than a stretch, tokens of the item beyond them count as
+        different: four fifths of the whole item must be there, and what is there is given.
+        """
         own = self.tokens[item]
         size = min(len(own), STRETCH)
         low, high = max(0, -shift), min(len(own), len(hashes) - shift)
-        if high - low < size:
-            return None
         same = own[low:high] == hashes[low + shift : high + shift]
+        if high - low < size:
+            count = int(same.sum())
+            return (low + shift, low, high - low, count) if 100 * count >= PERCENT * len(own) else None
         sums = np.cumsum(np.r_[0, same])
         counts = sums[size:] - sums[:-size]
         best = int(np.argmax(counts))
@@ -135,9 +150,10 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and item whose text it holds, with the best stretch of tokens.
 
-    Null and empty texts, and items of fewer than four tokens, match nothing; items with a null id are
-    left out. Repeated rows each give their matches. Of equally good stretches the first is given. Only
-    the two named columns are read, so others cannot clash. Empty tables give an empty result.
+    Null and empty texts match nothing; items of fewer than four tokens match where they are unchanged;
+    items with a null id are left out. Repeated rows each give their matches. Of equally good stretches
+    the first is given. Only the two named columns are read, so others cannot clash. Empty tables give an
+    empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = StructType([rows.schema["doc_id"], *StructType.fromDDL(MADE)])
