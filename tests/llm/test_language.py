@@ -59,3 +59,24 @@ def test_a_tie_is_ambiguous_and_edges(spark):
     assert rows.count() == 12
     empty = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert language.language(empty).count() == 0
+
+
+def test_no_language_is_left_out(spark):
+    # More than two hundred, each with letters of its own; the last ones have the fewest documents.
+    ids = [i for i in range(3000) if not language.is_held_out(i)]
+    rows = []
+    for k in range(230):
+        own = "".join(chr(0x4E00 + 5 * k + i) for i in range(5))
+        rows += [(ids.pop(), " ".join(own[j % 5 :] + own for j in range(4)), f"l{k:03d}") for _ in range(3 if k < 200 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == [f"l{k:03d}" for k in range(230)]
+    found = language.identify([row[1] for row in rows], model)["lang_pred"]
+    assert np.mean([lang == row[2] for lang, row in zip(found, rows)]) > 0.95
+
+
+def test_a_repeated_document_leaves_room_for_other_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "ALL_DOCS", 20)
+    kept = [i for i in range(100) if not language.is_held_out(i)]
+    rows = [(kept[0], text_in("aa", 1), "aa")] * 200 + [(i, text_in("bb", i), "bb") for i in kept[1:4]]
+    assert language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).languages == ["aa", "bb"]

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import add_columns
 
-# Bounds of the training sample: documents of each language, and languages. Longer lists of languages
-# keep those with the most documents.
+# Bounds of the training sample: documents of each language, and of all together. With many languages
+# each has an equal share of the whole, one document at least.
 SAMPLE_DOCS = 400
-MOST_LANGUAGES = 200
+ALL_DOCS = 80_000
 BUCKETS = 1 << 15
 # Distances of the best two codewords closer than this are flagged.
 AMBIGUOUS = 0.15
@@ -51,9 +51,9 @@ def codewords(n: int) -> np.ndarray:
     bits, best, apart = 10 + 3 * int(np.ceil(np.log2(n))), None, -1
     for seed in range(40):
         draw = np.random.default_rng(seed).choice([-1, 1], (n, bits))
-        distance = (bits - draw @ draw.T) // 2 + bits * np.eye(n, dtype=int)
-        if distance.min() > apart and (np.abs(draw.sum(0)) < n).all():
-            best, apart = draw, distance.min()
+        least = least_distance(draw)
+        if least > apart and (np.abs(draw.sum(0)) < n).all():
+            best, apart = draw, least
     if best is None or apart < 1:
         width = int(np.ceil(np.log2(n)))
         own = np.array([[1 if i >> bit & 1 else -1 for bit in range(width)] for i in range(n)])
@@ -61,6 +61,17 @@ def codewords(n: int) -> np.ndarray:
     return best
 
 
+def least_distance(codes: np.ndarray) -> int:
+    """The least number of bits in which two words differ; a block of words at a time is compared with all."""
+    n, bits = codes.shape
+    signs, least = codes.astype(np.float32), bits
+    for start in range(0, n, 1000):
+        distance = (bits - signs[start : start + 1000] @ signs.T) / 2
+        distance[np.arange(len(distance)), np.arange(start, start + len(distance))] = bits
+        least = min(least, int(distance.min()))
+    return least
+
+
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of one to three signs of the whole text, and their share of all n-grams.
 
@@ -163,24 +174,29 @@ def held_out_column(id_col: str = "doc_id") -> F.Column:
 def fit(docs: DataFrame) -> Model:
     """Train on documents that are not held out and have text with a letter and a language.
 
-    Of every language at most ``SAMPLE_DOCS`` are taken, in the order of a hash of their id. Rows that
-    repeat a chosen id are taken too, up to the bound for all languages together.
+    Of every language at most ``SAMPLE_DOCS`` are taken, or an equal share of ``ALL_DOCS`` if that is
+    less, in the order of a hash of their id. Rows that repeat a chosen id are taken too, up to that share.
     """
     rows = docs.where(~held_out_column()).select("doc_id", "text", "lang").where("text is not null and lang is not null")
     rows = rows.where(F.length("text") > 0)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    langs = counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not counts:
+        return train([], [])
+    share = max(1, ALL_DOCS // len(counts))
+    each = min(SAMPLE_DOCS, share)
+    langs = docs.sparkSession.createDataFrame([tuple(row) for row in counts], "lang string, n bigint")
     # The choice is made on narrow rows. A language with many documents first keeps those with the least
-    # hashes, about four times the sample, so that no task ranks all documents of a language.
+    # hashes, well above the sample, so that no task ranks all documents of a language.
     light = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("rank")).join(F.broadcast(langs), "lang")
-    share = F.pmod("rank", F.lit(1 << 30)) / (1 << 30)
-    light = light.where(share * F.col("n") <= 4 * SAMPLE_DOCS)
+    part = F.pmod("rank", F.lit(1 << 30)) / (1 << 30)
+    light = light.where(part * F.col("n") <= 4 * SAMPLE_DOCS)
     order = Window.partitionBy("lang").orderBy("rank", "doc_id")
-    chosen = light.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
+    chosen = light.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
     chosen = chosen.select(F.col("doc_id").alias("doc_key"), F.col("lang").alias("lang_key")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("doc_key")) & (F.col("lang") == F.col("lang_key"))
     sample = rows.join(F.broadcast(chosen), same, "left_semi").select("lang", "text", "doc_id")
-    sample = sample.orderBy(F.xxhash64("doc_id", "text"), "lang").limit(SAMPLE_DOCS * MOST_LANGUAGES)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    sample = sample.withColumn("place", F.row_number().over(order)).where(F.col("place") <= share)
     found = sorted((row["lang"], row["text"]) for row in sample.collect() if has_letter(row["text"]))
     return train([text for _, text in found], [lang for lang, _ in found])
 
