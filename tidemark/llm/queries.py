@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, html_text, jaccard, language, line_quality, pii, repeats, secrets, warc
+from tidemark.llm import (
+    bpe,
+    decontaminate,
+    html_text,
+    jaccard,
+    language,
+    line_quality,
+    neighbours,
+    periodic,
+    pii,
+    repeats,
+    secrets,
+    warc,
+    whitening,
+)
 from tidemark.llm.common import table
 from tidemark.session import scratch_path
 
@@ -56,6 +70,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), ["vec_id"])
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.with_planted_runs(table(spark, sf_dir, "documents")))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(rows, rows.where("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -67,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_html_text": op9_html_text,
     "op10_secrets": op10_secrets,
+    "op11_whitening": op11_whitening,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_neighbours": op13_neighbours,
 }
 
 ORACLES: dict[str, str] = {
