@@ -5,8 +5,9 @@ vector belongs to, and every row goes to its most probable part. A query looks a
 probable parts and reranks what is there by the exact measure.
 
 Equal vectors are one class, searched once: a class carries the ``k + 1`` smallest ids, of which no answer
-can need more. Parts are dealt in blocks of candidates and of queries, so that a part of any size is
-spread over tasks and nothing is left out of it.
+can need more. Parts that follow each other, which lie near each other in the graph, make up a shard of
+bounded size, which a query visits once; a larger part is dealt over shards of its own. So are the queries
+of a shard, and nothing is left out of either.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +34,7 @@ PART_ROWS = 1024
 MOST_PARTS = 256
 # Share of true neighbours that must lie in the parts looked at.
 TARGET = 0.95
-# Candidates and queries that meet in one group of rows.
+# Candidates of a shard, and queries that meet them in one group of rows.
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 8_192
 # Queries scored at a time.
@@ -98,29 +99,35 @@ def _with_parts(rows: DataFrame, router: learned.Router | None, probes: int, kee
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Where scores reach the ``k``-th largest of their row, but for rounding."""
+    """Where scores reach the ``k``-th largest of their row, but for rounding, and are not minus infinity."""
+    real = scores > -np.inf
     if scores.shape[1] <= k:
-        return np.ones(scores.shape, bool)
+        return real
     edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-    return scores >= (edge - 1e-9 * np.maximum(np.abs(scores).max(axis=1), 1e-300))[:, None]
+    slack = 1e-9 * np.where(real, np.abs(scores), 1e-300).max(axis=1)
+    return real & (scores >= (edge - slack)[:, None])
 
 
-def _rerank(k: int):
-    """What one block of queries finds in one block of candidates, by exact inner products."""
+def _rerank(k: int, count: int):
+    """What queries find among the candidates of a shard, in the parts they look at, by exact inner products."""
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         out: dict[str, list] = {name: [] for name in ("key_a", "key_b", "ids", "scores")}
         if asked.num_rows and held.num_rows:
             queries, vectors = (_matrix(side.column("vec").to_pylist()) for side in (asked, held))
-            ids = held.column("ids").to_pylist()
+            ids, part_of = held.column("ids").to_pylist(), held.column("part").to_numpy()
             keys = [asked.column(name).to_pylist() for name in KEY]
+            probed = asked.column("parts").to_pylist()
             for start in range(0, len(queries), SCORE_ROWS):
-                part = queries[start : start + SCORE_ROWS]
-                near = _best(part @ vectors.T, k)
+                some = queries[start : start + SCORE_ROWS]
+                looks = np.zeros((len(some), count), bool)
+                for i, parts in enumerate(probed[start : start + SCORE_ROWS]):
+                    looks[i, parts] = True
+                near = _best(np.where(looks[:, part_of], some @ vectors.T, -np.inf), k)
                 for i, row in enumerate(near):
                     places = np.flatnonzero(row)
                     # The same order of additions for every pair, wherever it is computed.
-                    exact = (vectors[places] * part[i]).sum(axis=1).tolist()
+                    exact = (vectors[places] * some[i]).sum(axis=1).tolist()
                     pairs = [(-s, vec_id) for s, place in zip(exact, places, strict=True) for vec_id in ids[place]]
                     pairs = sorted(pairs)[:k]
                     out["key_a"].append(keys[0][start + i])
@@ -133,6 +140,21 @@ def _rerank(k: int):
     return run
 
 
+def _shards(sizes: dict[int, int], count: int) -> list[tuple[int, int, int]]:
+    """(part, first shard, number of shards): small parts in a row share one, a large part has several."""
+    out, shard, held = [], 0, 0
+    for part in range(count):
+        size = sizes.get(part, 0)
+        if held and held + size > BLOCK_ROWS:
+            shard, held = shard + 1, 0
+        several = max(1, math.ceil(size / BLOCK_ROWS))
+        out.append((part, shard, several))
+        held += size
+        if several > 1:
+            shard, held = shard + several, 0
+    return out
+
+
 def nearest_neighbours(
     rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
@@ -147,26 +169,29 @@ def nearest_neighbours(
     counts = asked.groupBy(*KEY).agg(F.first("vec").alias("vec"), F.count("*").alias("uses"))
     total = known.count()
     router, probes = _fit(known, total, k)
-    placed = stored(_with_parts(known, router, 1, [*KEY, "vec", "ids"]).withColumn("part", F.col("parts")[0]), "placed")
-    probed = _with_parts(counts, router, probes, [*KEY, "vec"]).withColumn("part", F.explode("parts"))
-    probed = stored(probed.drop("parts"), "probed")
-
-    # At most MOST_PARTS rows each.
-    def blocks(side: DataFrame, size: int, name: str) -> DataFrame:
-        return side.groupBy("part").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias(name))
-
-    cells = blocks(placed, BLOCK_ROWS, "n_held").join(blocks(probed, QUERY_ROWS, "n_asked"), "part")
-    cells = F.broadcast(cells)
-
-    def spread(side: DataFrame, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
-        """Each row in one block of its own side, for all blocks of the other."""
-        dealt = side.join(cells, "part").withColumn(own, F.pmod(F.xxhash64(F.lit(3), *KEY), F.col(n_own)).cast("int"))
-        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop(n_own, n_other)
-
-    cell = ["part", "held", "asks"]
-    left = spread(probed, "asks", "held", "n_asked", "n_held").select(*KEY, "vec", *cell)
-    right = spread(placed, "held", "asks", "n_held", "n_asked").select("vec", "ids", *cell)
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_rerank(k + 1), FOUND)
+    placed = _with_parts(known, router, 1, [*KEY, "vec", "ids"]).withColumn("part", F.col("parts")[0]).drop("parts")
+    placed = stored(placed, "placed")
+    # At most MOST_PARTS rows.
+    count = len(router.weights[3]) if router else 1
+    sizes = {row["part"]: row["count"] for row in placed.groupBy("part").count().collect()}
+    dealt = _shards(sizes, count)
+    first, several = (F.array(*[F.lit(one[i]) for one in dealt]) for i in (1, 2))
+    own = F.pmod(F.xxhash64(F.lit(3), *KEY), F.get(several, "part")).cast("int")
+    held = placed.withColumn("shard", F.get(first, "part") + own)
+
+    def of_part(part: Column) -> Column:
+        return F.sequence(F.get(first, part), F.get(first, part) + F.get(several, part) - 1)
+
+    probed = _with_parts(counts, router, probes, [*KEY, "vec"])
+    probed = probed.withColumn("shard", F.explode(F.array_distinct(F.flatten(F.transform("parts", of_part)))))
+    probed = stored(probed, "probed")
+    asks = probed.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(QUERY_ROWS)).cast("int").alias("asks"))
+    left = probed.join(asks, "shard").withColumn("ask", F.pmod(F.xxhash64(F.lit(5), *KEY), F.col("asks")).cast("int"))
+    right = held.join(asks, "shard").withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
+    cell = ["shard", "ask"]
+    left = left.select(*KEY, "vec", "parts", *cell).groupBy(*cell)
+    right = right.select("vec", "ids", "part", *cell).groupBy(*cell)
+    found = left.cogroup(right).applyInArrow(_rerank(k + 1, count), FOUND)
     pairs = found.select(*KEY, F.explode(F.arrays_zip("ids", "scores")).alias("pair"))
     order = Window.partitionBy(*KEY).orderBy(F.desc("pair.scores"), "pair.ids")
     best = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
