@@ -75,9 +75,12 @@ def test_run_gives_the_last_stage(spark, stages):
 
 
 def test_queries_cover_their_tables(spark):
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
-    n = {name: table(spark, SF_DIR, name).count() for name in ("documents", "pages")}
+    n = {name: table(spark, SF_DIR, name).count() for name in ("documents", "pages", "embeddings")}
+    asked = table(spark, SF_DIR, "embeddings").where("vec_id % 20 = 0").count()
+    wanted = {"op8_warc": n["pages"], "op9_html_text": n["pages"]}
+    wanted |= {"op11_whitening": 4 * n["embeddings"], "op13_neighbours": 20 * asked}
     for name, query in QUERIES.items():
         if name != "op7_decontaminate":
-            assert query(spark, SF_DIR).count() == n["pages" if name in ("op8_warc", "op9_html_text") else "documents"]
+            assert query(spark, SF_DIR).count() == wanted.get(name, n["documents"])

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-# Words whose hash a task remembers at most.
-KNOWN_WORDS = 500_000
+# Words whose hash a task remembers at most, and the length of a word up to which it does.
+KNOWN_WORDS = 100_000
+KNOWN_LENGTH = 64
 # The constants of a 64-bit finaliser (splitmix64).
 STEPS = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
 GOLDEN = 0x9E3779B97F4A7C15
@@ -27,9 +28,11 @@ class WordHashes(dict):
     """64-bit hash of a word, looked up as an item and remembered. Text is hashed as its UTF-8 bytes."""
 
     def __missing__(self, word: bytes | str) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KNOWN_LENGTH:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes] | list[str]) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -14,6 +14,8 @@ from tidemark.session import scratch_path
 
 # Rows handed to a Python function at a time, so that its lists stay small beside the Arrow batch.
 SLICE_ROWS = 256
+# Bytes of an Arrow batch on its way to Python, so that long texts do not add up there.
+BATCH_BYTES = 2 << 20
 # A key with more than this share of all rows is joined by broadcast: at most 1000 keys can have it.
 HOT_SHARE = 0.001
 
@@ -22,6 +24,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session are closed at ``BATCH_BYTES``, not only by their number of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def bounded(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query, which takes a session first, with ``bound_batches``."""
+
+    def run(spark: SparkSession, *args) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, *args)
+
+    return run
+
+
+def computed(column: str, compute: Callable[[list], list], made: str) -> Column:
+    """What ``compute`` makes of a column's values, ``SLICE_ROWS`` at a time. Only that column goes to Python."""
+    kind = to_arrow_type(StructType.fromDDL(f"made {made}")["made"].dataType)
+
+    def run(values: pa.Array) -> pa.Array:
+        parts = [values.slice(start, SLICE_ROWS) for start in range(0, len(values), SLICE_ROWS)]
+        found = [pa.array(compute(part.to_pylist()), kind) for part in parts]
+        return pa.concat_arrays(found) if found else pa.array([], kind)
+
+    # Named types, as the function travels without this module's annotations.
+    run.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, made)(F.col(f"`{column}`"))
+
+
 def stored(rows: DataFrame, label: str) -> DataFrame:
     """The rows written to the shared folder and read back: computed once, and safe if an executor is lost."""
     path = scratch_path(rows.sparkSession, label)

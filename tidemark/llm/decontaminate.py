@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.llm.arrays import WordHashes, mix
-from tidemark.llm.common import SLICE_ROWS, add_columns
+from tidemark.llm.common import SLICE_ROWS, computed
 
 # 1 is compared, 0 is ignored. Any run of 4 to 16 tokens, and any longer one, with four
 # fifths of its tokens in place holds one of these.
@@ -188,14 +188,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that hold no item's text, with all their columns."""
     for items in blocks(benchmark):
-        mark = "leaks_"
-        while mark in docs.columns:
-            mark += "_"
+        # Remembered for all rows of a task.
+        known = WordHashes()
 
-        def count(texts: list[str | None], items: Items = items, mark: str = mark) -> dict[str, list]:
-            known = WordHashes()
-            return {mark: [len(matches(text, items, known)) for text in texts]}
+        def clean(texts: list[str | None], items: Items = items, known: WordHashes = known) -> list[bool]:
+            return [not matches(text, items, known) for text in texts]
 
-        columns = docs.columns
-        docs = add_columns(docs, text_col, count, f"{mark} bigint", columns).where(F.col(mark) == 0).select(*columns)
+        docs = docs.where(computed(text_col, clean, "boolean"))
     return docs

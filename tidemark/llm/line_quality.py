@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import add_columns
+from tidemark.llm.common import add_columns, computed
 
 # Bounds of the training sample: labelled documents per quality class, and lines of each.
 SAMPLE_DOCS = 600
@@ -246,11 +246,4 @@ def line_quality(
 
 def keep_good(docs: DataFrame, field: LineField, text_col: str = "text") -> DataFrame:
     """The documents that are kept, with all their columns; see ``line_quality``."""
-    mark = "kept"
-    while mark in docs.columns:
-        mark += "_"
-
-    def kept(texts: list[str | None]) -> dict[str, list]:
-        return {mark: judge(texts, field)["kept"]}
-
-    return add_columns(docs, text_col, kept, f"`{mark}` boolean", docs.columns).where(F.col(mark)).select(*docs.columns)
+    return docs.where(computed(text_col, lambda texts: judge(texts, field)["kept"], "boolean"))

@@ -21,7 +21,7 @@ from tidemark.llm import (
     warc,
     whitening,
 )
-from tidemark.llm.common import table
+from tidemark.llm.common import bounded, table
 from tidemark.session import scratch_path
 
 
@@ -83,7 +83,7 @@ def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(rows, rows.where("vec_id % 20 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_pii": op3_pii,
@@ -98,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_periodic_runs": op12_periodic_runs,
     "op13_neighbours": op13_neighbours,
 }
+QUERIES = {name: bounded(query) for name, query in PLAIN.items()}
 
 ORACLES: dict[str, str] = {
     "op8_warc": """

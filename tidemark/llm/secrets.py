@@ -17,7 +17,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import add_columns
+from tidemark.llm.common import add_columns, computed
 
 MADE = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_confirmed bigint"
 # The base patterns and the least length of what they must match, in the order of the kinds.
@@ -362,6 +362,4 @@ def masked(text: str | None, mark: str = "[secret]") -> str | None:
 
 def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All documents and columns, with secrets replaced in the text; no row is dropped."""
-    made = f"`{text_col}` string"
-    rows = add_columns(docs, text_col, lambda texts: {text_col: [masked(text) for text in texts]}, made)
-    return rows.select(*docs.columns)
+    return docs.withColumn(text_col, computed(text_col, lambda texts: [masked(text) for text in texts], "string"))
