@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, jaccard, line_quality, secrets
-from tidemark.llm.common import table
+from tidemark.llm.common import bounded, table
 from tidemark.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -46,11 +46,11 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("quality rules", good_lines),
-    ("n-gram Jaccard join", distinct_documents),
-    ("benchmark decontamination", no_benchmark),
-    ("secret scans", no_secrets),
-    ("byte-level BPE", token_ids),
+    ("quality rules", bounded(good_lines)),
+    ("n-gram Jaccard join", bounded(distinct_documents)),
+    ("benchmark decontamination", bounded(no_benchmark)),
+    ("secret scans", bounded(no_secrets)),
+    ("byte-level BPE", bounded(token_ids)),
 ]
 # The labels of the first stage are a trained model's, and the ids of the last are no SQL expression.
 ORACLE_SQL = None
