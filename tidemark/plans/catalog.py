@@ -512,6 +512,11 @@ def stream_window_update(spark, sf_dir):
     return plain(tables.newest_versions(totals, ["id"]).drop("batch_id").join(times, ["stt", "edt", "id"]))
 
 
+def stream_window_firings(spark, sf_dir):
+    """Every firing of every window: at its end, on its timer and for each late row, with the total by then."""
+    return plain(streams.window_firings(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "gmv_day": gmv_day,
     "gmv_by_day": gmv_by_day,
@@ -579,4 +584,5 @@ QUERIES: dict[str, Query] = {
     "stream_topics": stream_topics,
     "stream_topic_table": stream_topic_table,
     "stream_window_update": stream_window_update,
+    "stream_window_firings": stream_window_firings,
 }

@@ -327,10 +327,11 @@ def dictionary(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(words.alias("word")).distinct()
 
 
-def sensors(events: DataFrame) -> DataFrame:
-    """Events as readings of one sensor per user."""
+def sensors(events: DataFrame, *keep: str) -> DataFrame:
+    """Events as readings of one sensor per user, and columns to ``keep``."""
     return events.select(
         F.col("user_id").cast("string").alias("id"),
         F.col("value").cast(schemas.MONEY).alias("vc"),
         F.col("ts").cast("timestamp").alias("rt"),
+        *keep,
     )

@@ -563,4 +563,48 @@ ORACLES: dict[str, str] = {
         SELECT date_trunc('day', ts) AS day, CAST(user_id AS VARCHAR) AS id,
                sum(CAST(value AS DECIMAL(18,2))) AS vc, count(DISTINCT epoch_us(ts) % 3) AS times
         FROM events GROUP BY 1, 2)""",
+    "stream_window_firings": f"""
+      WITH e AS (
+        SELECT CAST(user_id AS VARCHAR) AS id, CAST(value AS DECIMAL(18,2)) AS vc, ts, event_id,
+               epoch_ms(ts) AS ms, epoch_ms(ts) // 86400000 * 86400000 AS start,
+               greatest(least(floor((epoch_us(ts) // 1000000 - 1704067200) * 3 / 2592000), 2), 0)
+                 + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS b
+        FROM events
+      ), newest AS (SELECT b, max(ms) AS top FROM e GROUP BY b),
+      steps AS (SELECT unnest(range(0, 5)) AS b),
+      clock AS (
+        SELECT s.b, CASE WHEN s.b = 4 THEN 4102444800000 ELSE max(n.top) END AS now
+        FROM steps s LEFT JOIN newest n ON n.b < s.b GROUP BY s.b
+      ), spans AS (SELECT b, now, lag(now) OVER (ORDER BY b) AS was FROM clock),
+      rows_in AS (
+        SELECT e.*, start + 86400000 AS fin, now,
+               start + 86400000 <= coalesce(now, 0) AS late
+        FROM e JOIN spans USING (b) WHERE now IS NULL OR ms > now - 691200000
+      ), windows AS (SELECT DISTINCT id, start, fin FROM rows_in),
+      -- What is due when event time moves from was to now, with the rows that came before.
+      due AS (
+        SELECT w.id, w.start, w.fin, s.b, s.now, s.was,
+               (SELECT count(*) FROM rows_in r WHERE r.id = w.id AND r.start = w.start AND r.b < s.b) AS ct,
+               (SELECT sum(vc) FROM rows_in r WHERE r.id = w.id AND r.start = w.start AND r.b < s.b) AS vc
+        FROM windows w JOIN spans s ON s.now >= w.fin
+      ), fired AS (
+        SELECT id, start, b, 0 AS place, 0 AS ms, 0 AS event_id,
+               CASE WHEN was IS NULL OR was < fin THEN 'end' ELSE 'timer' END AS kind, ct, vc
+        FROM due WHERE ct > 0 AND (
+          was IS NULL OR was < fin
+          OR (was < fin + 691200000
+              AND (least(now, fin + 691199999) - fin) // 259200000 > (was - fin) // 259200000))
+        UNION ALL
+        SELECT id, start, b, 1, ms, event_id, 'late',
+               (SELECT count(*) FROM rows_in r WHERE r.id = l.id AND r.start = l.start
+                  AND (r.b < l.b OR (r.b = l.b AND (r.ms, r.event_id) <= (l.ms, l.event_id)))),
+               (SELECT sum(vc) FROM rows_in r WHERE r.id = l.id AND r.start = l.start
+                  AND (r.b < l.b OR (r.b = l.b AND (r.ms, r.event_id) <= (l.ms, l.event_id))))
+        FROM rows_in l WHERE late
+      )
+      SELECT id, strftime(make_timestamp(start * 1000), {_TIME}) AS stt,
+             strftime(make_timestamp((start + 86400000) * 1000), {_TIME}) AS edt,
+             CAST(row_number() OVER (PARTITION BY id, start ORDER BY b, place, ms, event_id) AS INTEGER) AS firing,
+             kind, ct, CAST(vc AS DOUBLE) AS vc
+      FROM fired""",
 }

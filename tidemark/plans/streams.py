@@ -18,14 +18,17 @@ from tidemark.plans.replay import FAR, FAR_MS, PARTS, Replay, millis_part, part_
 from tidemark.session import scratch_path
 from tidemark.sources import topics
 from tidemark.sources.tables import batch_writer
-from tidemark.streaming import jobs, processors
+from tidemark.streaming import jobs, processors, triggers
 
 CLOSING = "closing"
 # A wide order leaves with its last detail, up to this long after its order; a payment fact with the
 # later of the payment and the wide order, a payment being up to the same time before its order.
 WIDE_LATENESS, PAID_LATENESS = "5 seconds", "10 seconds"
-# Every so many events one comes a part late in ``late_pages``.
+# Every so many events one comes a part late in ``late_pages`` and ``window_firings``.
 LATE_EVERY = 50
+# Windows of a day that fire again every three days and are kept for eight.
+DAY_MS = 86_400_000
+FIRE_EVERY_MS, FIRE_KEEP_MS = 3 * DAY_MS, 8 * DAY_MS
 
 
 def pages(replay: Replay, sf_dir: str, part: Column | None = None) -> DataFrame:
@@ -238,3 +241,16 @@ def window_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = replay.job(totals, "sensor-totals", "update")
     replay.run()
     return spark.read.parquet(path)
+
+
+def window_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every firing of daily totals, where some readings come a part late."""
+
+    def build(replay: Replay) -> DataFrame:
+        rows = inputs.sensors(inputs.table(spark, sf_dir, "events"), inputs.TIE)
+        late = F.when(F.col(inputs.TIE) % LATE_EVERY == 0, 1).otherwise(0)
+        arrival = part_of(F.unix_seconds("rt")) + late
+        read = replay.source(rows, arrival, True, id=F.lit(CLOSING), rt=F.lit(FAR), event_id=F.lit(-1))
+        return triggers.repeated_totals(read, inputs.TIE, DAY_MS, FIRE_EVERY_MS, FIRE_KEEP_MS)
+
+    return run_one(spark, build, "window-firings").where(F.col("id") != CLOSING)
