@@ -18,6 +18,7 @@ from tidemark.operators.latest import latest_rows
 from tidemark.plans import inputs, streams, warehouse
 from tidemark.session import scratch_path
 from tidemark.sources import tables
+from tidemark.sources.buckets import BucketTable
 from tidemark.sources.changes import read_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -438,6 +439,27 @@ def versioned_replace(spark, sf_dir):
     return _stats(newest.drop("dt", "batch_id"))
 
 
+def cdc_snapshots(spark, sf_dir):
+    """Changes found between two versions of a table, by digests of its buckets."""
+    found = None
+    for name, key, column in (("customer", "c_custkey", "c_mktsegment"), ("orders", "o_orderkey", "o_orderpriority")):
+        rows = inputs.table(spark, sf_dir, name)
+        stored = BucketTable(spark, scratch_path(spark, f"{name}-versions"), rows.schema, [key], buckets=256)
+        stored.create()
+        stored.capture(inputs.older_version(rows, key, column), 1)
+        changed = stored.capture(rows, 2)
+        some = changed.select(
+            F.lit(name).alias("tableName"),
+            "op",
+            F.element_at(F.coalesce("after", "before"), F.lit(key)).alias("pk"),
+            F.element_at("before", F.lit(column)).alias("before"),
+            F.element_at("after", F.lit(column)).alias("after"),
+            "seq",
+        )
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
 # Streams
 
 
@@ -517,6 +539,12 @@ def stream_window_firings(spark, sf_dir):
     return plain(streams.window_firings(spark, sf_dir))
 
 
+def stream_dim_upsert(spark, sf_dir):
+    """Dimension rows of the routed stream in a table of buckets, where readers need not look for the newest."""
+    dimensions = streams.upserted_dimensions(spark, sf_dir)
+    return dimensions.select("sinkTable", "pk", "seq", F.element_at("after", F.lit("c_name")).alias("c_name"))
+
+
 QUERIES: dict[str, Query] = {
     "gmv_day": gmv_day,
     "gmv_by_day": gmv_by_day,
@@ -585,4 +613,6 @@ QUERIES: dict[str, Query] = {
     "stream_topic_table": stream_topic_table,
     "stream_window_update": stream_window_update,
     "stream_window_firings": stream_window_firings,
+    "stream_dim_upsert": stream_dim_upsert,
+    "cdc_snapshots": cdc_snapshots,
 }

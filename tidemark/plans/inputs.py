@@ -29,6 +29,9 @@ TIE = "event_id"
 
 LOG_WITH_TIE = schemas.LOG + ", event_id bigint"
 
+# What is added to the key of a row that an older version had.
+GONE = 1_000_000_000
+
 # The given texts have no Chinese: dictionary words are looked for in runs of letters instead.
 LETTER_RUNS = r"\p{L}+"
 DIGIT_RUNS = r"\p{N}+"
@@ -305,6 +308,14 @@ def captured_changes(rows: DataFrame, name: str, key: str) -> DataFrame:
     )
 
 
+def older_version(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """A table as it was before: of 500 keys one was not there yet, one had another value, one has since gone."""
+    turn = F.pmod(F.col(key), F.lit(500))
+    before = rows.where(turn != 1).withColumn(column, F.when(turn == 2, "old").otherwise(F.col(column)))
+    gone = rows.where(turn == 3).withColumn(key, F.col(key) + GONE)
+    return before.unionByName(gone)
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
     # From Arrow, so that Spark knows how small the table is.
     names = spark.createDataFrame([], schemas.RULE).columns

@@ -608,3 +608,14 @@ ORACLES: dict[str, str] = {
              kind, ct, CAST(vc AS DOUBLE) AS vc
       FROM fired""",
 }
+ORACLES["stream_dim_upsert"] = ORACLES["stream_cdc_route"]
+ORACLES["cdc_snapshots"] = " UNION ALL ".join(
+    f"""
+      SELECT '{name}' AS "tableName",
+             CASE {key} % 500 WHEN 1 THEN 'CREATE' WHEN 2 THEN 'UPDATE' ELSE 'DELETE' END AS op,
+             CAST({key} + CASE WHEN {key} % 500 = 3 THEN 1000000000 ELSE 0 END AS VARCHAR) AS pk,
+             CASE {key} % 500 WHEN 2 THEN 'old' WHEN 3 THEN {column} END AS before,
+             CASE WHEN {key} % 500 < 3 THEN {column} END AS after, CAST(2 AS BIGINT) AS seq
+      FROM {name} WHERE {key} % 500 IN (1, 2, 3) AND NOT ({key} % 500 = 2 AND {column} = 'old')"""
+    for name, key, column in (("customer", "c_custkey", "c_mktsegment"), ("orders", "o_orderkey", "o_orderpriority"))
+)

@@ -17,6 +17,7 @@ from tidemark.plans import inputs, warehouse
 from tidemark.plans.replay import FAR, FAR_MS, PARTS, Replay, millis_part, part_of, run_one, text_part
 from tidemark.session import scratch_path
 from tidemark.sources import topics
+from tidemark.sources.buckets import BucketTable, upsert_writer
 from tidemark.sources.tables import batch_writer
 from tidemark.streaming import jobs, processors, triggers
 
@@ -195,16 +196,21 @@ def keyword_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.read(path).where(F.col("stt") < FAR)
 
 
-def routed_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Topic messages and dimension changes, routed by rules read per micro-batch."""
-    replay = Replay(spark)
+def _envelopes(replay: Replay, sf_dir: str) -> DataFrame:
     captured = [
         replay.source(
-            inputs.captured_changes(inputs.table(spark, sf_dir, name), name, key), F.pmod("seq", F.lit(PARTS)).cast("int")
+            inputs.captured_changes(inputs.table(replay.spark, sf_dir, name), name, key),
+            F.pmod("seq", F.lit(PARTS)).cast("int"),
         )
         for name, key in (("customer", "c_custkey"), ("orders", "o_orderkey"))
     ]
-    envelopes = changes.normalise_changes(captured[0].unionByName(captured[1]))
+    return changes.normalise_changes(captured[0].unionByName(captured[1]))
+
+
+def routed_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Topic messages and dimension changes, routed by rules read per micro-batch."""
+    replay = Replay(spark)
+    envelopes = _envelopes(replay, sf_dir)
     facts_path, dimensions = scratch_path(spark, "topics"), scratch_path(spark, "dimensions")
     writer = jobs.route_writer(facts_path, dimensions, lambda: changes.current_rules(inputs.rule_table(spark)))
     replay.job(envelopes, "route", write=writer)
@@ -212,6 +218,23 @@ def routed_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return replay.read(facts_path), spark.read.parquet(dimensions)
 
 
+def upserted_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimension changes upserted micro-batch by micro-batch: the table as readers see it in the end."""
+    replay = Replay(spark)
+
+    def routed(rows: DataFrame) -> DataFrame:
+        rules = changes.current_rules(inputs.rule_table(spark))
+        return changes.dimension_changes(changes.route_changes(changes.drop_deletes(rows), rules))
+
+    envelopes = _envelopes(replay, sf_dir)
+    schema = routed(spark.createDataFrame([], envelopes.schema)).schema
+    table = BucketTable(spark, scratch_path(spark, "dimensions"), schema, ["sinkTable", "pk"], buckets=16)
+    table.create()
+    replay.job(envelopes, "upsert", write=upsert_writer(table, ["seq"], transform=routed))
+    replay.run()
+    return table.read()
+
+
 def topic_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as JSON messages in a topic, which a second job opens as a SQL table."""
     log = inputs.page_log(inputs.table(spark, sf_dir, "events"))
