@@ -545,6 +545,12 @@ def stream_dim_upsert(spark, sf_dir):
     return dimensions.select("sinkTable", "pk", "seq", F.element_at("after", F.lit("c_name")).alias("c_name"))
 
 
+def stream_rule_changes(spark, sf_dir):
+    """Where each change goes while rules change in mid-stream."""
+    routed = changes.with_output(streams.routed_by_streamed_rules(spark, sf_dir))
+    return routed.select("output", "tableName", "type", "seq", "sinkTable")
+
+
 QUERIES: dict[str, Query] = {
     "gmv_day": gmv_day,
     "gmv_by_day": gmv_by_day,
@@ -614,5 +620,6 @@ QUERIES: dict[str, Query] = {
     "stream_window_update": stream_window_update,
     "stream_window_firings": stream_window_firings,
     "stream_dim_upsert": stream_dim_upsert,
+    "stream_rule_changes": stream_rule_changes,
     "cdc_snapshots": cdc_snapshots,
 }

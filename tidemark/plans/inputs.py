@@ -323,6 +323,14 @@ def rule_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(pa.table(columns))
 
 
+def later_rules(rules: DataFrame, arrival: int) -> DataFrame:
+    """The rules that change before part ``arrival``: first that of new orders, then that of changed customers."""
+    table, kind = ("orders", "insert") if arrival == 1 else ("customer", "update")
+    changed = rules.where((F.col("sourceTable") == table) & (F.col("operateType") == kind))
+    target = F.concat("sinkTable", F.lit(f"_{arrival}"))
+    return changed.withColumns({"sinkTable": target, "seq": F.lit(arrival).cast("bigint")})
+
+
 def search_pages(conversations: DataFrame) -> DataFrame:
     """Conversation turns as pages: a user's turn is a search for its text."""
     second = F.lit(MONTH_START) + (F.col("conv_id") * 3600) % MONTH_SECONDS + F.col("turn") * 60

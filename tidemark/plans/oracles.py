@@ -619,3 +619,8 @@ ORACLES["cdc_snapshots"] = " UNION ALL ".join(
       FROM {name} WHERE {key} % 500 IN (1, 2, 3) AND NOT ({key} % 500 = 2 AND {column} = 'old')"""
     for name, key, column in (("customer", "c_custkey", "c_mktsegment"), ("orders", "o_orderkey", "o_orderpriority"))
 )
+ORACLES["stream_rule_changes"] = f"""WITH {_CHANGES}
+      SELECT output, tab AS "tableName", type, seq,
+             sink || CASE WHEN tab = 'orders' AND type = 'insert' AND seq % 3 >= 1 THEN '_1'
+                          WHEN tab = 'customer' AND type = 'update' AND seq % 3 >= 2 THEN '_2' ELSE '' END AS "sinkTable"
+      FROM routed"""

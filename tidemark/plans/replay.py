@@ -45,6 +45,8 @@ class Replay:
         self.sources: list[tuple[str, DataFrame, Column]] = []
         self.jobs: list[tuple[DataFrame, BatchWriter, str, str]] = []
         self.rounds = set(range(PARTS))
+        # Called with the number of each round before its jobs run.
+        self.hooks: list[Callable[[int], None]] = []
 
     def _folder(self, label: str, schema: StructType) -> str:
         path = scratch_path(self.spark, label)
@@ -94,6 +96,8 @@ class Replay:
         for arrival in sorted(self.rounds):
             for path, rows, part in self.sources:
                 rows.where(part == arrival).drop("arrival").write.mode("append").parquet(path)
+            for hook in self.hooks:
+                hook(arrival)
             for stream, write, checkpoint, mode in self.jobs:
                 jobs.run_available(stream, write, checkpoint, mode)
 

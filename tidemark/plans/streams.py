@@ -16,7 +16,7 @@ from tidemark.operators import changes, facts, keywords, stats, wide
 from tidemark.plans import inputs, warehouse
 from tidemark.plans.replay import FAR, FAR_MS, PARTS, Replay, millis_part, part_of, run_one, text_part
 from tidemark.session import scratch_path
-from tidemark.sources import topics
+from tidemark.sources import changelog, topics
 from tidemark.sources.buckets import BucketTable, upsert_writer
 from tidemark.sources.tables import batch_writer
 from tidemark.streaming import jobs, processors, triggers
@@ -235,6 +235,35 @@ def upserted_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+def routed_by_streamed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes routed by rules that are a stream themselves: a snapshot, then a new rule before every later part.
+
+    The first job upserts rules into a table; the second routes changes by the table as it is then.
+    """
+    replay = Replay(spark)
+    log, rules = scratch_path(spark, "rule-log"), inputs.rule_table(spark).withColumn("seq", F.lit(0).cast("bigint"))
+
+    def add_rules(arrival: int) -> None:
+        if arrival == 0:
+            changelog.append_snapshot(rules, log, 0)
+        else:
+            changelog.append_changes(inputs.later_rules(rules, arrival), log, arrival)
+
+    replay.hooks.append(add_rules)
+    held = BucketTable(spark, scratch_path(spark, "rules"), rules.schema, ["sourceTable", "operateType"], buckets=4)
+    held.create()
+    replay.job(changelog.read_changelog(spark, log, rules.schema), "rules", write=upsert_writer(held, ["seq"]))
+    path = scratch_path(spark, "routed")
+
+    def routed(rows: DataFrame) -> DataFrame:
+        now = changes.current_rules(held.read().drop("seq"))
+        return changes.route_changes(changes.drop_deletes(rows), now)
+
+    replay.job(_envelopes(replay, sf_dir), "route", write=batch_writer(path, transform=routed))
+    replay.run()
+    return replay.read(path)
+
+
 def topic_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as JSON messages in a topic, which a second job opens as a SQL table."""
     log = inputs.page_log(inputs.table(spark, sf_dir, "events"))
