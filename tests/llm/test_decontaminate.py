@@ -96,3 +96,11 @@ def test_short_items_and_scripts_without_spaces(spark):
     items = ["Zebra quilt", "中国的首都是哪里", "กรุงเทพ", "xylophone"]
     texts = ["a zebra, quilt!", "zebra and quilt", "请问中国的首都在哪里?", "中国的天气", "ไปกรุงเทพวันนี้", "xylophones", "Xylophone_"]
     assert [row[:2] for row in leaks(spark, texts, items)] == [(0, 0), (2, 1), (4, 2), (6, 3)]
+
+
+def test_an_item_of_a_word_or_two_drops_no_document(spark):
+    docs = spark.createDataFrame([(1, "we saw the fox"), (2, "see the red fox run far")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "the fox"), (3, "the red fox run")], "item_id bigint, text string")
+    assert [row["doc_id"] for row in dc.without_leaks(docs, items).collect()] == [1]
+    assert dc.without_leaks(docs, items, least=1).count() == 0
+    assert dc.find_leaks(docs, items).count() == 4

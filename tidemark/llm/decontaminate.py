@@ -29,6 +29,8 @@ SHORT_MASKS = ("1", "11", "111")
 # fifths of the item's tokens are there.
 STRETCH = 25
 PERCENT = 80
+# Tokens of an item from which on it can drop a document; a word or two stand in many clean ones.
+LEAST_DROPPING = 4
 # Tokens of the benchmark that are held by a task at a time; more items take further passes.
 BLOCK_TOKENS = 2_000_000
 # Scripts written without spaces (Thai to Lao, Burmese, Khmer, kana, Han): every letter is a token.
@@ -134,8 +136,8 @@ def matches(text: str | None, items: Items, known: WordHashes) -> list[tuple[int
     return sorted(best.values())
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark in blocks of bounded size; one block for any usual benchmark.
+def blocks(benchmark: DataFrame, least: int = 1) -> Iterator[Items]:
+    """The items of ``least`` tokens or more in blocks of bounded size; one block for any usual benchmark.
 
     The number of blocks follows from the total length. Which block an item is in is a hash of it.
     """
@@ -144,7 +146,8 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
     n = max(1, -(-int(total) // (2 * BLOCK_TOKENS)))
     for i in range(n):
         some = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield Items(sorted({(row[0], row[1]) for row in some.collect() if row[0] is not None}))
+        held = {(row[0], row[1]) for row in some.collect() if row[0] is not None}
+        yield Items(sorted(item for item in held if len(tokens_of(item[1])) >= least))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,9 +188,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that hold no item's text, with all their columns."""
-    for items in blocks(benchmark):
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: int = LEAST_DROPPING
+) -> DataFrame:
+    """The documents that hold the text of no item of ``least`` tokens or more, with all their columns.
+
+    Shorter items are reported by ``find_leaks`` but drop nothing.
+    """
+    for items in blocks(benchmark, least):
         # Remembered for all rows of a task.
         known = WordHashes()
 
