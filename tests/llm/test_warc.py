@@ -56,6 +56,31 @@ def test_same_rows_give_the_same_bytes_and_no_temporary_files(spark, scratch):
     assert sums[0] == sums[1]
 
 
+def test_any_layout_gives_the_same_shards(spark, scratch):
+    n = 30_000
+    made = spark.range(n).selectExpr(
+        "id * 7919 % 100003 AS page_id", "concat('u', id) AS url", "repeat(concat('<p>', id % 9000), 1 + id % 40) AS html"
+    )
+    sums = []
+    for layout in (made.repartition(2), made.repartition(7, "url"), made.orderBy("url").coalesce(3)):
+        path = scratch("warc")
+        found = warc.write_archive(layout, path, roll_bytes=200_000, shard_rows=100, shard_bytes=150_000).orderBy("name").collect()
+        sums.append([(row["name"], row["records"], row["sha256"]) for row in found])
+        assert max(row["records"] for row in found) <= 101
+        assert len(found) > 250
+    assert sums[0] == sums[1] == sums[2]
+
+
+def test_left_over_temporary_files_are_removed(spark, scratch):
+    path = scratch("warc")
+    os.makedirs(path)
+    with open(f"{path}/_tmp-gone-part-000000-00000.warc.gz", "wb") as file:
+        file.write(b"half a fi")
+    warc.write_archive(spark.createDataFrame(rows(), PAGES), path)
+    assert not [name for name in os.listdir(path) if name.startswith("_tmp")]
+    assert warc.read_archive(spark, path).count() == len(rows())
+
+
 def test_a_changed_file_is_found(spark, scratch):
     path = scratch("warc")
     name = warc.write_archive(spark.createDataFrame(rows()[:1], PAGES), path).first()["name"]

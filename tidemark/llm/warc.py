@@ -3,7 +3,8 @@
 Records are sorted by key range and written by one task per range, into files that are rolled by
 compressed size. Headers and digests are made anew from the payload. A task writes under a temporary
 name, renames, and leaves a manifest; the driver commits the archive with a manifest of manifests, so
-files of failed or repeated attempts are never read. The same rows give the same bytes.
+files of failed or repeated attempts are never read. Ranges are cut at exact running sums of bytes in
+the order of the keys, never at sampled quantiles, so the same rows give the same bytes in any layout.
 """
 
 from __future__ import annotations
@@ -14,20 +15,24 @@ import io
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SLICE_ROWS, lookup
+from tidemark.llm.common import SLICE_ROWS, lookup, stored
 
 ROLL_BYTES = 32 << 20
 # Payloads shorter than this are always written out.
 REVISIT_BYTES = 100
-# Rows per range: the number of shards follows the number of records.
+# A range is full at this many bytes of payload or at this many records, whichever comes first.
+SHARD_BYTES = 256 << 20
 SHARD_ROWS = 10_000
+# What a record weighs beside its payload.
+HEAD_BYTES = 512
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, name string, records bigint, bytes bigint, sha256 string"
@@ -99,31 +104,74 @@ def find_revisits(pages: DataFrame) -> DataFrame:
     repeat that page_id are responses too, as they are the same page; a row with a null page_id is a
     revisit if its payload has a response with an id.
     """
-    rows = with_digest(pages).where(F.col("payload_bytes") >= REVISIT_BYTES).select("page_id", "payload_digest")
+    return _revisits(with_digest(pages))
+
+
+def _revisits(known: DataFrame) -> DataFrame:
+    """``find_revisits`` of rows whose digests are known."""
+    rows = known.where(F.col("payload_bytes") >= REVISIT_BYTES).select("page_id", "payload_digest")
     groups = rows.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("uses"))
     found = lookup(rows, groups.where("uses > 1"), ["payload_digest"], "uses")
     return found.where(F.col("refers_to").isNotNull() & ~F.col("refers_to").eqNullSafe(F.col("page_id"))).distinct()
 
 
-def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def shard_starts(known: DataFrame, shard_bytes: int, shard_rows: int) -> list[tuple[bool, int, str]]:
+    """The first key of every shard, in order, as ``(page_id is not null, page_id, payload_digest)``.
+
+    A record weighs its payload, at least an equal share of a shard of ``shard_rows``; a shard is the keys
+    whose running weight begins within one more ``shard_bytes``. Running weights are exact: keys are sorted
+    by Spark, their weights summed by partition and then within each, so where the sort cut them does not
+    matter. Rows of one key stay together. One key per shard reaches the driver, about 40 bytes each.
+    """
+    least = max(1, shard_bytes // shard_rows)
+    weight = F.sum(F.greatest(F.col("payload_bytes") + HEAD_BYTES, F.lit(least))).alias("weight")
+    keys = [F.col(name).asc_nulls_first() for name in ("page_id", "payload_digest")]
+    groups = known.groupBy("page_id", "payload_digest").agg(weight)
+    # Written down, as the bounds of the sort are sampled anew whenever it runs.
+    groups = stored(groups.repartitionByRange(*keys).withColumn("piece", F.spark_partition_id()), "warc-keys")
+    done, before = 0, []
+    for piece, total in groups.groupBy("piece").agg(F.sum("weight")).orderBy("piece").collect():
+        before.append((piece, done))
+        done += total
+    if not before:
+        return []
+    pieces = F.broadcast(groups.sparkSession.createDataFrame(before, "piece int, before bigint"))
+    earlier = Window.partitionBy("piece").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    running = F.coalesce(F.sum("weight").over(earlier), F.lit(0)) + F.col("before")
+    placed = groups.join(pieces, "piece").withColumn("running", running).withColumn("shard", F.expr(f"running div {shard_bytes}"))
+    firsts = placed.groupBy("shard").agg(F.min(F.struct(F.col("page_id").isNotNull(), "page_id", "payload_digest")).alias("first"))
+    return [(row[0], row[1] or 0, row[2]) for row, in firsts.orderBy("shard").select("first").collect()]
+
+
+def write_archive(
+    pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES
+) -> DataFrame:
     """Write one record per page below ``path`` and return the manifest, one row per file.
 
     ``path`` must be a folder that every executor reaches. Pages are dealt out by ranges of page_id and
-    digest and sorted within them, so a repeated task writes the same files. Payloads are shuffled once:
-    what is known of revisits is sorted in before the pages it is about. Only page_id, url and html are
-    read, so other columns cannot clash. An empty table gives an archive of no files.
+    digest (``shard_starts``) and sorted within them, so the same rows give the same files whatever their
+    layout. Payloads are shuffled once: what is known of revisits is sorted in before the pages it is
+    about. Only page_id, url and html are read, so other columns cannot clash. An empty table gives an
+    archive of no files. Files under temporary names that failed attempts left are removed at the end.
     """
     rows = with_digest(pages)
-    answers = find_revisits(pages).withColumn("answer", F.lit(0))
-    records = rows.withColumn("answer", F.lit(1)).unionByName(answers, allowMissingColumns=True)
-    keys = [F.col(name).asc_nulls_first() for name in ("page_id", "payload_digest")]
-    n = max(1, -(-pages.count() // shard_rows))
-    dealt = records.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "answer", F.col("url").asc_nulls_first())
-    dealt = dealt.withColumn("shard", F.spark_partition_id())
+    known = stored(rows.select("page_id", "payload_digest", "payload_bytes"), "warc-digests")
+    starts = shard_starts(known, shard_bytes, shard_rows)
+    records = rows.withColumn("answer", F.lit(1)).unionByName(_revisits(known).withColumn("answer", F.lit(0)), allowMissingColumns=True)
+
+    def shard_of(page_ids: pa.Array, digests: pa.Array) -> pa.Array:
+        asked = zip(page_ids.to_pylist(), digests.to_pylist(), strict=True)
+        return pa.array([bisect_right(starts, (page is not None, page or 0, digest)) - 1 for page, digest in asked], pa.int32())
+
+    # Named types, as the function travels without this module's annotations.
+    shard_of.__annotations__ = {"page_ids": pa.Array, "digests": pa.Array, "return": pa.Array}
+    dealt = records.withColumn("shard", F.arrow_udf(shard_of, "int")("page_id", "payload_digest"))
+    keys = [F.col(name).asc_nulls_first() for name in ("shard", "page_id", "payload_digest", "answer", "url")]
+    dealt = dealt.repartitionById(max(1, len(starts)), "shard").sortWithinPartitions(*keys)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _place(path)
-        attempt, made, open_file, shard, known = uuid.uuid4().hex, [], None, None, {}
+        attempt, made, open_file, shard, n_files, known = uuid.uuid4().hex, [], None, None, 0, {}
 
         def close() -> None:
             out, temporary, name, state = open_file
@@ -139,7 +187,12 @@ def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, sha
 
         for batch in batches:
             for row in (row for i in range(0, batch.num_rows, SLICE_ROWS) for row in batch.slice(i, SLICE_ROWS).to_pylist()):
-                shard, about = row["shard"], (row["page_id"], row["payload_digest"])
+                if open_file and row["shard"] != shard:
+                    close()
+                    open_file = None
+                if row["shard"] != shard:
+                    shard, n_files = row["shard"], 0
+                about = (row["page_id"], row["payload_digest"])
                 if row["answer"] == 0:
                     known = {about: row["refers_to"]}
                     continue
@@ -148,7 +201,8 @@ def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, sha
                     close()
                     open_file = None
                 if open_file is None:
-                    name = f"part-{shard:06d}-{len(made):05d}.warc.gz"
+                    name = f"part-{shard:06d}-{n_files:05d}.warc.gz"
+                    n_files += 1
                     temporary = f"{folder}/_tmp-{attempt}-{name}"
                     store.create_dir(folder, recursive=True)
                     open_file = (
@@ -171,6 +225,10 @@ def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, sha
     manifest = dealt.mapInArrow(write, MANIFEST)
     # Writing the manifest runs the tasks; its commit is what makes the archive readable.
     manifest.write.json(f"{path.rstrip('/')}/_manifest")
+    store, folder = _place(path)
+    for entry in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if entry.base_name.startswith("_tmp-"):
+            store.delete_file(entry.path)
     return read_manifest(pages.sparkSession, path)
 
 
