@@ -2,7 +2,9 @@
 
 Patterns find assignments, access keys and hex runs. Beyond them, base64 and hex candidates are
 decoded and only reported if their structure holds: nested lengths of a DER key, the fields of an
-OpenSSH key, or the header of a signed token.
+OpenSSH key, or the header of a signed token. Keys may start at any bit that can be the first of a byte,
+so bytes or signs before a key do not hide it. Lengths are walked without decoding what they skip, and
+what a walk finds is remembered, so time grows in proportion to the text, however often marks repeat.
 """
 
 from __future__ import annotations
@@ -14,6 +16,9 @@ import hashlib
 import itertools
 import json
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 
@@ -30,37 +35,80 @@ ASSIGN_LENGTH, ACCESS_LENGTH = 6, 20
 # The kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "ssh", "der")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,\\-]*?)-----END \1-----")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s:,\\-]*")
+# A JSON object, perhaps after white space, begins with one of these signs in base64.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([eICD][A-Za-z0-9_-]{7,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 # Base64 in either alphabet, over line ends, also those written as a backslash and a letter.
 LINE_END = r"(?:[ \t]*\r?\n[ \t]*|(?:\\+[rn])+)"
 BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 BASE64_RUN = re.compile(rf"[A-Za-z0-9+/_-]+(?:{LINE_END}[A-Za-z0-9+/_-]+)*={{0,2}}")
-LEAST_SIGNS = 40
-HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){30,}(?![0-9A-Fa-f])")
+HEX_LINE = re.compile(r"[0-9A-Fa-f]+")
+HEX_RUN = re.compile(rf"[0-9A-Fa-f]+(?:{LINE_END}[0-9A-Fa-f]+)*")
+LEAST_BYTES = 30
 SSH_MAGIC = b"openssh-key-v1\x00"
 SSH_FIELD = re.compile(rb"\0\0\0[\x06-\x2f](?:ssh|ecdsa|sk)-")
+SSH_NAME = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,40}")
+PEM_BEGIN = b"-----BEGIN "
 
 
-def _encoded_marks() -> list[tuple[str, str]]:
-    """How the begin mark of a PEM block reads in base64 at each of three offsets, and the signs before it."""
+def _at_offsets(data: bytes) -> list[tuple[str, str]]:
+    """How bytes read in base64 at each of three offsets, and the signs before that are not theirs alone."""
     marks = []
     for offset, before in enumerate((0, 2, 3)):
-        data = b"\0" * offset + b"-----BEGIN "
-        signs = base64.b64encode(data).decode()
-        marks.append((signs[before : len(data) * 8 // 6], signs[:before]))
+        signs = base64.b64encode(b"\0" * offset + data).decode()
+        marks.append((signs[before : (offset + len(data)) * 8 // 6], signs[:before]))
     return marks
 
 
-ENCODED_MARKS = _encoded_marks()
-# Where a key can start in base64: a DER sequence, the length of an SSH field, the OpenSSH magic, or a
-# PEM mark. A line may end between any two signs.
-STARTS = re.compile(
-    "|".join(
-        f"{signs[0]}(?={''.join(f'(?:{LINE_END})?{sign}' for sign in signs[1:])})"
-        for signs in (["M", "[A-P]"], [*"AAAA", "[A-L]"], list(base64.b64encode(SSH_MAGIC).decode()), *[list(mark) for mark, _ in ENCODED_MARKS])
-    )
-)
+@dataclass
+class Form:
+    """An encoding of bytes: bits of a sign, its lines and runs, and where keys can start.
+
+    For every group of ``starts`` there is a kind of start: PEM marks with the signs they share with what
+    is before, other kinds with the first bit of the key, counted from the sign that was found.
+    """
+
+    bits: int
+    line: re.Pattern
+    run: re.Pattern
+    kinds: list[tuple[str, str | int]]
+    starts: re.Pattern
+
+
+# First signs of a DER sequence of 30 bytes or more, and of an SSH field that begins with s or e, at each
+# offset in a group of base64, with the first bit of the key in the first sign; then those in hex.
+BASE64_FIRSTS = [
+    ("der", 0, ["M", "[A-P]"]), ("der", 2, ["[DTjz]", "[A-C]"]), ("der", 4, ["[AEIMQUYcgkosw048]", "w", "[H-Za-g]"]),
+    ("ssh", 0, [*"AAAA", "[A-L]", "[GHWXmn23]", "[M-PU-X]"]), ("ssh", 2, ["[AQgw]", *"AAA", "[A-C]", "[BFJNRVZdhlptx159]", "[lz]"]),
+    ("ssh", 4, ["[AEIMQUYcgkosw048]", *"AAAA", "[G-Za-v]", "[Zc]"]),
+]
+HEX_FIRSTS = [("der", 0, [*"30", "[1-8]"]), ("ssh", 0, [*"000000", "[0-2]", "[0-9A-Fa-f]", "[67]", "[35]"])]
+
+
+def _form(bits: int, line: re.Pattern, run: re.Pattern, firsts: list, marks: list[tuple[str, str | int, list[str]]]) -> Form:
+    """A line may end between any two signs. After first signs there must be enough for the least key."""
+    sign, left = line.pattern.rstrip("+"), LEAST_BYTES * 8 // bits - 2
+    enough = f"(?={sign}(?:(?>{LINE_END})?+{sign}){{{left}}})"
+    found = []
+    for signs, after in [*((signs, "") for _, _, signs in marks), *((signs, enough) for _, _, signs in firsts)]:
+        rest = "".join(f"(?:{LINE_END})?{other}" for other in signs[1:])
+        found.append(f"({signs[0]}(?={rest}){after})")
+    return Form(bits, line, run, [(kind, more) for kind, more, _ in [*marks, *firsts]], re.compile("|".join(found)))
+
+
+def _base64_form() -> Form:
+    marks: list = [("pem", before, list(mark)) for mark, before in _at_offsets(PEM_BEGIN)]
+    marks += [("ssh", 8 * i - 6 * len(before), list(mark)) for i, (mark, before) in enumerate(_at_offsets(SSH_MAGIC))]
+    return _form(6, BASE64_LINE, BASE64_RUN, BASE64_FIRSTS, marks)
+
+
+def _hex_form() -> Form:
+    marks: list = [(kind, more, [f"[{sign}{sign.upper()}]" for sign in mark.hex()]) for kind, more, mark in (("pem", "", PEM_BEGIN), ("ssh", 0, SSH_MAGIC))]
+    return _form(4, HEX_LINE, HEX_RUN, HEX_FIRSTS, marks)
+
+
+BASE64, HEX_TEXT = _base64_form(), _hex_form()
 DER_SEQUENCE, DER_INTEGER, DER_BYTES, DER_OID, DER_BITS = 0x30, 0x02, 0x04, 0x06, 0x03
 
 
@@ -96,45 +144,49 @@ def der_item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, start, start + first) if start + first <= end else None
 
 
-def der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The values that fill ``start`` to ``end`` exactly; None if they do not."""
+def der_children(read: Callable[[int, int], bytes], start: int, end: int, most: int) -> list[tuple[int, int, int]]:
+    """Tag, start and end of the values that fill ``start`` to ``end`` exactly; none if they do not or are more than ``most``."""
     items = []
     while start < end:
-        item = der_item(data, start, end)
+        item = der_item(read(start, 6), 0, end - start) if len(items) < most else None
         if item is None:
-            return None
-        items.append(item)
-        start = item[2]
+            return []
+        items.append((item[0], start + item[1], start + item[2]))
+        start = items[-1][2]
     return items
 
 
-def is_der_key(data: bytes) -> bool:
-    """Whether the bytes are one key encoding whose nested lengths add up.
+def der_key_size(read: Callable[[int, int], bytes], limit: int) -> int | None:
+    """The size of the key encoding at the start of what ``read`` gives, if its nested lengths add up within ``limit``.
 
-    PKCS#1 (version and eight integers), SEC1 (version 1, a byte string), PKCS#8 (version, algorithm,
-    byte string), encrypted PKCS#8 (algorithm, byte string) or a public key (algorithm, bit string).
+    PKCS#1 (version and eight integers, perhaps more primes), SEC1 (version 1, a byte string), PKCS#8 (version,
+    algorithm, byte string; both with up to two optional values), encrypted PKCS#8 (algorithm, byte string) or a
+    public key (algorithm, bit string). ``read`` takes a place and a number of bytes; only heads are read.
     """
-    outer = der_item(data, 0, len(data))
-    if outer is None or outer[0] != DER_SEQUENCE or outer[2] != len(data):
-        return False
-    items = der_items(data, outer[1], outer[2])
-    if not items:
-        return False
+    outer = der_item(read(0, 6), 0, limit)
+    if outer is None or outer[0] != DER_SEQUENCE:
+        return None
+    items = der_children(read, outer[1], outer[2], 10)
     tags = [tag for tag, _, _ in items]
 
     def algorithm(item: tuple[int, int, int]) -> bool:
-        inner = der_items(data, item[1], item[2])
+        inner = der_children(read, item[1], item[2], 2)
         return bool(inner) and inner[0][0] == DER_OID
 
-    if len(tags) >= 9 and tags[:9] == [DER_INTEGER] * 9:
-        return True
-    if tags[:3] == [DER_INTEGER, DER_SEQUENCE, DER_BYTES]:
-        return algorithm(items[1])
-    if tags[:2] == [DER_INTEGER, DER_BYTES]:
-        return data[items[0][1] : items[0][2]] == b"\x01" and items[1][2] - items[1][1] >= 16
-    if tags in ([DER_SEQUENCE, DER_BYTES], [DER_SEQUENCE, DER_BITS]):
-        return algorithm(items[0])
-    return False
+    if tags[:9] == [DER_INTEGER] * 9:
+        fits = True
+    elif tags[:3] == [DER_INTEGER, DER_SEQUENCE, DER_BYTES]:
+        fits = algorithm(items[1])
+    elif tags[:2] == [DER_INTEGER, DER_BYTES]:
+        fits = read(items[0][1], items[0][2] - items[0][1]) == b"\x01" and items[1][2] - items[1][1] >= 16
+    else:
+        fits = tags in ([DER_SEQUENCE, DER_BYTES], [DER_SEQUENCE, DER_BITS]) and algorithm(items[0])
+    return outer[2] if fits else None
+
+
+def is_der_key(data: bytes) -> bool:
+    """Whether the bytes are one key encoding (``der_key_size``)."""
+    return der_key_size(lambda at, size: data[at : at + size], len(data)) == len(data)
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -150,7 +202,7 @@ def is_ssh_key(data: bytes) -> bool:
         field, at = data[at + 4 : at + 4 + size], at + 4 + size
     if names == 3:
         return int.from_bytes(data[at : at + 4], "big") >= 1 and len(data) >= at + 8
-    if not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,40}", field):
+    if not SSH_NAME.fullmatch(field):
         return False
     while at < len(data):
         at += 4 + int.from_bytes(data[at : at + 4], "big")
@@ -171,7 +223,7 @@ def is_token(header: str, body: str) -> bool:
 
 def pem_holds(label: str, body: str) -> bool:
     """Whether the block between PEM marks decodes to a key; legacy encrypted blocks carry header lines."""
-    body = re.sub(r"\\+/", "/", re.sub(r"\\+[nrt]", "\n", body))
+    body = re.sub(r"(?<!\\)\\+/", "/", re.sub(r"(?<!\\)\\+[nrt]", "\n", body))
     lines = [line.strip() for line in body.strip().splitlines()]
     encrypted = any(line.startswith("Proc-Type:") for line in lines)
     data = decode_base64("".join(line for line in lines if ":" not in line))
@@ -180,23 +232,47 @@ def pem_holds(label: str, body: str) -> bool:
     return encrypted or is_der_key(data) or is_ssh_key(data) or label.startswith("PGP")
 
 
+def pem_blocks(text: str) -> list[tuple[int, int]]:
+    """Start and end of the key blocks: an end mark and the nearest mark before it, if that begins the same label."""
+    found, begin = [], None
+    for mark in PEM_MARK.finditer(text):
+        if mark[1] == "BEGIN":
+            begin = mark
+            continue
+        if begin is not None and begin[2] == mark[2] and PEM_BODY.fullmatch(text, begin.end(), mark.start()):
+            if pem_holds(mark[2], text[begin.end() : mark.start()]):
+                found.append((begin.start(), mark.end()))
+        begin = None
+    return found
+
+
 class Run:
-    """A base64 run without its line ends, and where each of its signs is in the text."""
+    """A run of encoded signs without its line ends, and where each of its signs is in the text.
+
+    Places in the decoded bytes are told by their first bit in the run, so a key can start at any of them.
+    """
 
-    def __init__(self, text: str, at: int) -> None:
-        while at and BASE64_LINE.match(text, at - 1):
+    def __init__(self, form: Form, text: str, at: int) -> None:
+        self.form, self.bits = form, form.bits
+        while at and form.line.match(text, at - 1):
             at -= 1
-        self.start, self.end = BASE64_RUN.match(text, at).span()
+        self.start, self.end = form.run.match(text, at).span()
         lines = []
         for part in re.split(f"({LINE_END})", text[self.start : self.end]):
-            if BASE64_LINE.match(part):
+            if form.line.match(part):
                 lines.append((at, part.rstrip("=")))
             at += len(part)
         self.places = [place for place, _ in lines]
         # For every line the number of signs up to its end.
         self.ends = list(itertools.accumulate(len(line) for _, line in lines))
         self.signs = "".join(line for _, line in lines)
-        self.read: set[int] = set()
+        self.pem_read: set[int] = set()
+        # The last line end that a chain of fields meets after a bit, and whether it meets the next sign of
+        # either alphabet that the other one lacks.
+        self.line_ends, self.last_ends = set(self.ends), {}
+        alphabets = ("[-_]", "[+/]") if form is BASE64 else ()
+        self.others = [[match.start() for match in re.finditer(signs, self.signs)] for signs in alphabets]
+        self.meets: list[tuple[int, dict[int, bool]]] = [(-1, {}) for _ in self.others]
 
     def index(self, place: int) -> int:
         line = bisect.bisect_right(self.places, place) - 1
@@ -210,71 +286,127 @@ class Run:
         """Where the signs up to ``index`` end in the text; padding belongs to the last of them."""
         return self.end if index == len(self.signs) else self.place(index - 1) + 1
 
-    def der_end(self, at: int) -> int | None:
-        """The end of a DER key that starts at a sign; its outer length says where that is."""
-        head = decode_start(self.signs[at : at + 24])
-        outer = der_item(head, 0, 1 << 40) if len(head) > 6 else None
-        if outer is None or outer[0] != DER_SEQUENCE or head[outer[1] : outer[1] + 1] not in (b"\x02", b"\x30"):
-            return None
-        end = at + -(-outer[2] * 4 // 3)
-        if not LEAST_SIGNS <= end - at <= len(self.signs) - at:
+    def end_sign(self, bit: int) -> int:
+        return -(-bit // self.bits)
+
+    def read(self, bit: int, size: int) -> bytes:
+        """At most ``size`` bytes from a bit on."""
+        first, rest = divmod(bit, self.bits)
+        if self.bits == 4:
+            signs = self.signs[first : first + 2 * size]
+            return bytes.fromhex(signs[: len(signs) // 2 * 2])
+        ahead = rest // 2
+        return decode_start("A" * ahead + self.signs[first : first + (size + ahead) * 4 // 3 + 2 - ahead])[ahead : ahead + size]
+
+    def next_field(self, bit: int) -> int | None:
+        """The first bit after a field with its length; None if the run ends before."""
+        head = self.read(bit, 4)
+        after = bit + 32 + 8 * int.from_bytes(head, "big")
+        return after if len(head) == 4 and self.end_sign(after) <= len(self.signs) else None
+
+    def last_line_end(self, bit: int | None) -> int | None:
+        """Of the line ends that the fields from a bit on meet, the last."""
+        chain = []
+        while bit is not None and bit not in self.last_ends:
+            chain.append(bit)
+            bit = self.next_field(bit)
+        for before in reversed(chain):
+            found = None if bit is None else self.last_ends[bit]
+            if found is None and bit is not None and self.end_sign(bit) in self.line_ends:
+                found = self.end_sign(bit)
+            self.last_ends[before] = found
+            bit = before
+        return self.last_ends[bit]
+
+    def meets_other(self, which: int, at: int, bit: int | None) -> int | None:
+        """The next sign of one alphabet after a start, if the fields from a bit on end just before it."""
+        places = self.others[which]
+        later = bisect.bisect_left(places, at)
+        if later == len(places):
             return None
-        return end if is_der_key(decode_start(self.signs[at:end])[: outer[2]]) else None
+        if self.meets[which][0] != places[later]:
+            self.meets[which] = (places[later], {})
+        target, known = self.meets[which]
+        chain, met = [], False
+        while bit is not None and bit not in known:
+            chain.append(bit)
+            bit = self.next_field(bit)
+            if bit is not None and self.end_sign(bit) >= target:
+                met = self.end_sign(bit) == target
+                break
+        else:
+            met = bit is not None and known[bit]
+        known.update(dict.fromkeys(chain, met))
+        return target if met else None
 
-    def ssh_end(self, at: int) -> int | None:
-        """The end of an SSH key that starts at a sign: of the lines that end where a key can, the last."""
-        head = decode_start(self.signs[at : at + 80])
-        if not head.startswith(SSH_MAGIC) and not SSH_FIELD.match(head):
-            return None
-        data = decode_start(self.signs[at:])
+    def der_end(self, bit: int) -> int | None:
+        """The end of a DER key that starts at a bit."""
+        size = der_key_size(lambda at, size: self.read(bit + 8 * at, size), (len(self.signs) * self.bits - bit) // 8)
+        return None if size is None or size < LEAST_BYTES else self.end_sign(bit + 8 * size)
+
+    def ssh_end(self, bit: int) -> int | None:
+        """The end of an SSH key that starts at a bit: of the places where a key can end, the last.
+
+        These are the ends of lines, and, as a key has one alphabet, signs of the other one.
+        """
+        head, left = self.read(bit, 60), (len(self.signs) * self.bits - bit) // 8
         if head.startswith(SSH_MAGIC):
-            return len(self.signs) if len(self.signs) - at >= LEAST_SIGNS and is_ssh_key(data) else None
-        # Signs of the other alphabet end a key as well.
-        other = [match.start() for match in (re.search(signs, self.signs[at:]) for signs in ("[-_]", "[+/]")) if match]
-        ends = sorted([*self.ends, *(at + place for place in other)])
-        lengths = {(end - at) * 3 // 4: end for end in ends if end - at >= LEAST_SIGNS and (end - at) % 4 != 1}
-        done, fields, found = 0, 0, None
-        while done + 4 <= len(data):
-            done += 4 + int.from_bytes(data[done : done + 4], "big")
-            fields += 1
-            if fields > 1 and done in lengths and is_ssh_key(data[:done]):
-                found = lengths[done]
-        return found
+            at: int | None = bit + 8 * len(SSH_MAGIC)
+            for _ in range(3):
+                at = None if at is None else self.next_field(at)
+            if at is None or left < LEAST_BYTES or (at - bit) // 8 + 8 > left or not any(self.read(at, 4)):
+                return None
+            return len(self.signs)
+        if not SSH_FIELD.match(head) or not SSH_NAME.fullmatch(head[4 : 4 + head[3]]) or left < 4 + head[3]:
+            return None
+        after = bit + 8 * (4 + head[3])
+        ends = [self.last_line_end(after), *[self.meets_other(i, bit // self.bits, after) for i in range(len(self.others))]]
+        return max((end for end in ends if end is not None and end * self.bits - bit >= 8 * LEAST_BYTES), default=None)
+
+    def pem_spans(self, at: int, before: str) -> list[tuple[int, int]]:
+        """First and last sign of the PEM blocks from an encoded mark on, in all of the run that is read with it.
 
-    def pem_spans(self, at: int) -> list[tuple[int, int]]:
-        """First and last sign of the PEM blocks from an encoded mark on, in all of the run that is read with it."""
-        before = next(signs for mark, signs in ENCODED_MARKS if self.signs.startswith(mark, at))
+        ``before`` are the signs that the mark shares with what is before it.
+        """
         offset = at - len(before)
-        if offset % 4 in self.read:
+        group = 24 // self.bits if self.bits == 6 else 2
+        if offset % group in self.pem_read:
             return []
-        self.read.add(offset % 4)
-        data = decode_start(before + self.signs[at:]).decode("latin-1")
+        self.pem_read.add(offset % group)
+        signs = before + self.signs[at:]
+        data = (decode_start(signs) if self.bits == 6 else bytes.fromhex(signs[: len(signs) // 2 * 2])).decode("latin-1")
         found = []
-        for match in PEM.finditer(data):
-            if pem_holds(match[1], match[2]):
-                # What follows the block in the last signs is at most a line end.
-                end = len(self.signs) if not data[match.end() :].strip() else offset + -(-match.end() * 4 // 3)
-                found.append((max(at, offset + match.start() * 4 // 3), end))
+        for start, end in pem_blocks(data):
+            # What follows the block in the last signs is at most a line end.
+            last = len(self.signs) if not data[end:].strip() else offset + self.end_sign(end * 8)
+            found.append((max(at, offset + start * 8 // self.bits), last))
         return found
 
+    def keys_at(self, at: int, kind: str, more: str | int) -> list[tuple[int, int, int]]:
+        """(first sign, kind, last sign) of the key that starts at a sign, or of the PEM blocks from a mark there on."""
+        if kind == "pem":
+            return [(first, 3, last) for first, last in self.pem_spans(at, more)]
+        bit = self.bits * at + more
+        # A key whose first sign is before the run is not whole.
+        end = None if bit < 0 else self.der_end(bit) if kind == "der" else self.ssh_end(bit)
+        return [] if end is None else [(bit // self.bits, KINDS.index(kind), end)]
 
-def base64_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the keys in base64, wherever in a run they start; one inside another is left out."""
+
+def encoded_spans(text: str, form: Form) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the encoded keys, wherever in a run they start; one inside another is left out."""
     found: list[tuple[int, int, int]] = []
-    run = None
-    for match in STARTS.finditer(text):
-        if any(start <= match.start() < end for start, _, end in found):
+    ahead: list[tuple[int, int]] = []
+    covered, run = 0, None
+    for match in form.starts.finditer(text):
+        while ahead and ahead[0][0] <= match.start():
+            covered = max(covered, heappop(ahead)[1])
+        if match.start() < covered:
             continue
         if run is None or match.start() >= run.end:
-            run = Run(text, match.start())
-        at = run.index(match.start())
-        if any(run.signs.startswith(mark, at) for mark, _ in ENCODED_MARKS):
-            spans = [(first, 3, last) for first, last in run.pem_spans(at)]
-        elif run.signs[at] == "M":
-            spans = [(at, 6, end)] if (end := run.der_end(at)) else []
-        else:
-            spans = [(at, 5, end)] if (end := run.ssh_end(at)) else []
-        found += [(run.place(first), kind, run.end_place(last)) for first, kind, last in spans]
+            run = Run(form, text, match.start())
+        for first, kind, last in run.keys_at(run.index(match.start()), *form.kinds[match.lastindex - 1]):
+            found.append((run.place(first), kind, run.end_place(last)))
+            heappush(ahead, (found[-1][0], found[-1][2]))
     return found
 
 
@@ -290,28 +422,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def token_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of signed tokens. What is before a token may look like the first part of one."""
+    found = []
+    match = TOKEN.search(text)
+    while match:
+        holds = is_token(match[1], match[2])
+        if holds:
+            found.append((match.start(), 4, match.end()))
+        match = TOKEN.search(text, match.end() if holds else match.end(1))
+    return found
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of candidates whose decoded structure was confirmed."""
     found = []
     if "PRIVATE KEY-----" in text:
-        found += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if pem_holds(m[1], m[2])]
-    blocks = [(start, end) for start, _, end in found]
-    if "eyJ" in text or "ey" in text:
-        found += [(m.start(), 4, m.end()) for m in TOKEN.finditer(text) if m[1].startswith("e") and is_token(m[1], m[2])]
-
-    def inside(at: int) -> bool:
-        return any(start <= at < end for start, end in blocks)
-
-    for start, kind, end in base64_spans(text):
-        if not inside(start):
+        found += [(start, 3, end) for start, end in pem_blocks(text)]
+    starts, ends = [start for start, _, _ in found], [end for _, _, end in found]
+    if "." in text:
+        found += token_spans(text)
+    for start, kind, end in itertools.chain(encoded_spans(text, BASE64), encoded_spans(text, HEX_TEXT)):
+        block = bisect.bisect_right(starts, start) - 1
+        if block < 0 or ends[block] <= start:
             found.append((start, kind, end))
-    for match in HEX_RUN.finditer(text):
-        if inside(match.start()):
-            continue
-        data = bytes.fromhex(match[0])
-        kind = 5 if is_ssh_key(data) else 6 if is_der_key(data) else None
-        if kind is not None:
-            found.append((match.start(), kind, match.end()))
     return sorted(set(found))
 
 
