@@ -72,6 +72,8 @@ class Form:
     bits: int
     line: re.Pattern
     run: re.Pattern
+    # Runs of the least key's signs on one line, or of any over several.
+    long: re.Pattern
     kinds: list[tuple[str, str | int]]
     starts: re.Pattern
 
@@ -94,7 +96,9 @@ def _form(bits: int, line: re.Pattern, run: re.Pattern, firsts: list, marks: lis
     for signs, after in [*((signs, "") for _, _, signs in marks), *((signs, enough) for _, _, signs in firsts)]:
         rest = "".join(f"(?:{LINE_END})?{other}" for other in signs[1:])
         found.append(f"({signs[0]}(?={rest}){after})")
-    return Form(bits, line, run, [(kind, more) for kind, more, _ in [*marks, *firsts]], re.compile("|".join(found)))
+    more_lines = f"(?>{LINE_END}{sign}++)"
+    long = re.compile(f"(?<!{sign})(?:{sign}{{{left + 2},}}+{more_lines}*+|{sign}++{more_lines}++)")
+    return Form(bits, line, run, long, [(kind, more) for kind, more, _ in [*marks, *firsts]], re.compile("|".join(found)))
 
 
 def _base64_form() -> Form:
@@ -397,7 +401,9 @@ def encoded_spans(text: str, form: Form) -> list[tuple[int, int, int]]:
     found: list[tuple[int, int, int]] = []
     ahead: list[tuple[int, int]] = []
     covered, run = 0, None
-    for match in form.starts.finditer(text):
+    least = LEAST_BYTES * 8 // form.bits
+    runs = (whole.span() for whole in form.long.finditer(text) if whole.end() - whole.start() >= least)
+    for match in itertools.chain.from_iterable(form.starts.finditer(text, *span) for span in runs):
         while ahead and ahead[0][0] <= match.start():
             covered = max(covered, heappop(ahead)[1])
         if match.start() < covered:
