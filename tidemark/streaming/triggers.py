@@ -11,15 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.streaming.processors import GROUPS, key_group
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WINDOW_STATE = "total bigint, ct bigint, firings int, ended boolean, due bigint"
+WINDOW_STATE = "id string, total bigint, ct bigint, firings int, ended boolean, due bigint"
 FIRED_SCHEMA = "id string, stt bigint, firing int, kind string, ct bigint, total bigint"
 AT_END, BY_TIMER, FOR_LATE_ROW = "end", "timer", "late"
 
 
 class RepeatedFiring(StatefulProcessor):
-    """Per key and window, a running total that is put out again and again and never purged.
+    """Per key and window, a running total that is put out again and again; state is held per group of keys and window.
 
     It fires when event time passes the window's end, then once in every period in which event time moves
     on, and at once for every late row. ``keep_ms`` after the end the state goes. Event time is here the
@@ -34,7 +36,7 @@ class RepeatedFiring(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("window", WINDOW_STATE)
+        self.state = handle.getListState("windows", WINDOW_STATE)
 
     def _now(self, timerValues) -> int:
         """Event time; long ago as long as Spark knows none."""
@@ -55,60 +57,80 @@ class RepeatedFiring(StatefulProcessor):
             return None, fired
         return (total, ct, firings, True, end + self.every_ms * ((now - end) // self.every_ms + 1)), fired
 
-    def _store(self, start: int, before: tuple | None, state: tuple | None) -> None:
-        """Keep the state and one timer, for what is due next."""
-        if before is not None and before != state:
+    def _store(self, start: int, before: dict, states: dict) -> None:
+        """Keep the states and one timer, for what is due next."""
+        if before == states:
+            return
+        if before:
             self.handle.deleteTimer(self._timer(start, before))
-        if state is None:
-            self.state.clear()
-        elif before != state:
-            self.state.update(state)
-            self.handle.registerTimer(self._timer(start, state))
+        self.state.clear()
+        if states:
+            self.state.appendList([(name, *state) for name, state in states.items()])
+            self.handle.registerTimer(self._timer(start, states))
 
-    def _timer(self, start: int, state: tuple) -> int:
+    def _timer(self, start: int, states: dict) -> int:
         end = start + self.window_ms
-        return (min(state[4], end + self.keep_ms) if state[3] else end) - self.keep_ms + 1
+        due = min(min(state[4], end + self.keep_ms) if state[3] else end for state in states.values())
+        return due - self.keep_ms + 1
 
-    def _frame(self, key: tuple, fired: list[tuple]) -> Iterator[pd.DataFrame]:
+    def _frame(self, start: int, fired: list[tuple]) -> Iterator[pd.DataFrame]:
         if fired:
-            rows = [(key[0], int(key[1]), *one) for one in fired]
+            rows = [(one[0], start, *one[1:]) for one in fired]
             yield pd.DataFrame(rows, columns=["id", "stt", "firing", "kind", "ct", "total"])
 
+    def _due(self, start: int, before: dict, now: int) -> tuple[dict, list[tuple]]:
+        """What is left of the states after event time ``now``, and what fires for it."""
+        states, fired = {}, []
+        for name, held in before.items():
+            state, out = self._fire_due(start, held, now)
+            fired += [(name, *one) for one in out]
+            if state is not None:
+                states[name] = state
+        return states, fired
+
+    def _held(self) -> dict:
+        return {held[0]: tuple(held[1:]) for held in self.state.get()}
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now, start = self._now(timerValues), int(key[1])
-        before = tuple(self.state.get()) if self.state.exists() else None
-        held, fired = self._fire_due(start, before, now) if before is not None else (None, [])
-        total, ct, firings, ended, due = held if held is not None else (0, 0, 0, False, 0)
-        late = start + self.window_ms <= now
-        parts = [batch[batch["ts"] > now - self.keep_ms] for batch in rows]
-        if not late:
-            for part in parts:
-                total, ct = total + int(part["amount"].sum()), ct + len(part)
+        before = self._held()
+        states, fired = self._due(start, before, now)
+        end = start + self.window_ms
+        late = end <= now
+        # Rows that are not late only add up, so they need no order and are not held.
+        parts = (batch[batch["ts"] > now - self.keep_ms] for batch in rows)
         if late:
-            for amount in pd.concat(parts).sort_values(["ts", "tie"], kind="stable")["amount"].tolist():
-                total, ct, firings = total + int(amount), ct + 1, firings + 1
-                fired.append((firings, FOR_LATE_ROW, ct, total))
-            end = start + self.window_ms
-            ended, due = True, end + self.every_ms * ((now - end) // self.every_ms + 1)
-        # Nothing is held of a window of which all rows came too late.
-        alive = held is not None or any(len(part) for part in parts)
-        self._store(start, before, (total, ct, firings, ended, due) if alive else None)
-        yield from self._frame(key, fired)
+            parts = [pd.concat(list(parts)).sort_values(["ts", "tie"], kind="stable")]
+        for part in parts:
+            for name, amount in zip(part["id"].tolist(), part["amount"].tolist()):
+                total, ct, firings, ended, due = states.get(name) or (0, 0, 0, False, 0)
+                total, ct = total + int(amount), ct + 1
+                if late:
+                    firings, ended = firings + 1, True
+                    fired.append((name, firings, FOR_LATE_ROW, ct, total))
+                    due = end + self.every_ms * ((now - end) // self.every_ms + 1)
+                states[name] = (total, ct, firings, ended, due)
+        self._store(start, before, states)
+        yield from self._frame(start, fired)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
-            return
-        before, start = tuple(self.state.get()), int(key[1])
-        held, fired = self._fire_due(start, before, self._now(timerValues))
-        self._store(start, before, held)
-        yield from self._frame(key, fired)
+        before, start = self._held(), int(key[1])
+        states, fired = self._due(start, before, self._now(timerValues))
+        self._store(start, before, states)
+        yield from self._frame(start, fired)
 
     def close(self) -> None:
         pass
 
 
 def repeated_totals(
-    readings: DataFrame, tie: str, window_ms: int = 5_000, every_ms: int = 2_000, keep_ms: int = 20_000, delay_ms: int = 0
+    readings: DataFrame,
+    tie: str,
+    window_ms: int = 5_000,
+    every_ms: int = 2_000,
+    keep_ms: int = 20_000,
+    delay_ms: int = 0,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """Every firing of the sum of ``vc`` per sensor and window: id, stt, edt, firing, kind, ct, vc.
 
@@ -117,8 +139,8 @@ def repeated_totals(
     its end (``end``), afterwards on a timer every ``every_ms`` of event time (``timer``; periods passed at
     once fire once), and for each row that comes after the end (``late``, in order of time and ``tie``) up
     to ``keep_ms`` after it. A window first seen by a late row has no ``end``. Null amounts add nothing;
-    rows without an id or a time are left out. State is held per sensor and window, so a busy sensor is
-    spread over its windows.
+    rows without an id or a time are left out. State is held per group of sensors (``groups``) and
+    window, so a busy sensor is spread over its windows.
     """
     ms = F.unix_millis("rt")
     amount = F.coalesce((F.col("vc") * 100).cast("bigint"), F.lit(0).cast("bigint"))
@@ -134,7 +156,7 @@ def repeated_totals(
             "rt",
         )
     )
-    fired = thin.groupBy("id", "start").transformWithStateInPandas(
+    fired = thin.withColumn("key_group", key_group("id", groups)).groupBy("key_group", "start").transformWithStateInPandas(
         statefulProcessor=RepeatedFiring(window_ms, every_ms, keep_ms),
         outputStructType=FIRED_SCHEMA,
         outputMode="Append",
