@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
+from tidemark.operators.skew import estimated_bytes
 from tidemark.plans import inputs
 from tidemark.session import scratch_path
 from tidemark.sources.tables import BatchWriter, batch_writer
 from tidemark.streaming import jobs
 
 PARTS = 3
+# Bytes of the sources, by Spark's estimate, for each state partition.
+STATE_BYTES = 32 << 20
 FAR = datetime.datetime(2100, 1, 1, tzinfo=datetime.timezone.utc)
 FAR_MS = int(FAR.timestamp()) * 1000
 
@@ -92,14 +95,22 @@ class Replay:
         self.jobs.append((stream, batch_writer(path), scratch_path(self.spark, f"{label}-checkpoint"), "append"))
         return self.spark.readStream.schema(schema).parquet(path).drop("batch_id")
 
+    def state_partitions(self) -> int:
+        """One state partition per core, or as many more as the size of the sources asks for."""
+        context = self.spark.sparkContext
+        least = min(int(self.spark.conf.get(jobs.SHUFFLE_PARTITIONS)), context.defaultParallelism)
+        size = sum(estimated_bytes(rows) for _, rows, _ in self.sources)
+        return max(least, -(-size // STATE_BYTES))
+
     def run(self) -> None:
+        partitions = self.state_partitions()
         for arrival in sorted(self.rounds):
             for path, rows, part in self.sources:
                 rows.where(part == arrival).drop("arrival").write.mode("append").parquet(path)
             for hook in self.hooks:
                 hook(arrival)
             for stream, write, checkpoint, mode in self.jobs:
-                jobs.run_available(stream, write, checkpoint, mode)
+                jobs.run_available(stream, write, checkpoint, mode, partitions)
 
     def read(self, path: str) -> DataFrame:
         return self.spark.read.parquet(path).drop("batch_id")

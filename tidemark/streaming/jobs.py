@@ -12,11 +12,27 @@ from tidemark.operators.keywords import word_counts
 from tidemark.sources.tables import BatchWriter, batch_writer
 from tidemark.streaming.processors import use_rocksdb
 
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 
-def run_available(stream: DataFrame, write: BatchWriter, checkpoint: str, mode: str = "append") -> None:
-    """Process all input there is, then stop. An error in the stream is raised here."""
-    use_rocksdb(stream.sparkSession)
-    start(stream, write, checkpoint, mode, availableNow=True).awaitTermination()
+
+def run_available(
+    stream: DataFrame, write: BatchWriter, checkpoint: str, mode: str = "append", partitions: int | None = None
+) -> None:
+    """Process all input there is, then stop. An error in the stream is raised here.
+
+    ``partitions`` is the number of state partitions, by default that of the session's shuffles. Every
+    one is committed in every micro-batch. A checkpoint keeps the number it began with.
+    """
+    spark = stream.sparkSession
+    use_rocksdb(spark)
+    held = spark.conf.get(SHUFFLE_PARTITIONS)
+    # A stream works on a copy of the settings that it makes at its start.
+    spark.conf.set(SHUFFLE_PARTITIONS, str(partitions or held))
+    try:
+        query = start(stream, write, checkpoint, mode, availableNow=True)
+    finally:
+        spark.conf.set(SHUFFLE_PARTITIONS, held)
+    query.awaitTermination()
 
 
 def start(
