@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows of one key that one task takes; a key with more is spread over as many tasks as that makes.
 HOT_ROWS = 1_000_000
 # A lookup with at most this many rows is broadcast.
 BROADCAST_ROWS = 100_000
+# Shuffled bytes of a task within ``small_tasks``; in memory, rows and aggregates are many times larger.
+TASK_BYTES = 8 << 20
+TASK_SETTING = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
 
 def estimated_bytes(rows: DataFrame) -> int:
@@ -16,6 +22,24 @@ def estimated_bytes(rows: DataFrame) -> int:
     return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+@contextmanager
+def small_tasks(spark: SparkSession) -> Iterator[None]:
+    """Jobs run within it get tasks of at most about ``TASK_BYTES`` shuffled bytes, if the shuffle has enough partitions."""
+    held = spark.conf.get(TASK_SETTING)
+    if _bytes(held) > TASK_BYTES:
+        spark.conf.set(TASK_SETTING, f"{TASK_BYTES}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(TASK_SETTING, held)
+
+
+def _bytes(text: str) -> int:
+    text = text.lower().removesuffix("b")
+    unit = "kmgt".find(text[-1]) + 1
+    return int(text[:-1] if unit else text) << 10 * unit
+
+
 def fits_broadcast(rows: DataFrame) -> bool:
     """Whether a lookup is small: by Spark's estimate, or else by counting its rows up to the bound.
 

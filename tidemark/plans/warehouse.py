@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.constants import APPRAISE_GOOD
 from tidemark.functions.times import text_to_millis
-from tidemark.operators import dims, facts, stats, visits, wide
+from tidemark.operators import dims, facts, skew, stats, visits, wide
 from tidemark.plans import inputs
 from tidemark.session import scratch_path
 from tidemark.sources import tables
@@ -175,7 +175,8 @@ def stored_by_day(stats_rows: DataFrame, label: str) -> DataFrame:
     """An aggregate written once, by day, and read back: a report on it reads only its days' files."""
     spark = stats_rows.sparkSession
     path = scratch_path(spark, label)
-    tables.write_stats(stats_rows, path)
+    with skew.small_tasks(spark):
+        tables.write_stats(stats_rows, path)
     return tables.read_versions(spark, path).drop("batch_id")
 
 
