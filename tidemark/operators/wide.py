@@ -82,14 +82,19 @@ def order_wide(
     upper: str = "5 seconds",
     watermark: str = "0 seconds",
     hot_rows: int | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per order detail that lies within the band around its order's time."""
+    """One row per order detail that lies within the band around its order's time.
+
+    ``keep`` names further columns of the orders, such as those of dimensions joined to them before.
+    """
     left = with_event_time(orders, watermark=watermark).select(
         F.col("id").alias("order_id"),
         *ORDER_COLUMNS,
         create_date("create_time").alias("create_date"),
         create_hour("create_time").alias("create_hour"),
         "rt",
+        *keep,
     )
     right = (
         with_event_time(details, watermark=watermark)
@@ -97,7 +102,7 @@ def order_wide(
         .select("detail_id", "order_id", *DETAIL_COLUMNS, "detail_time")
     )
     joined = interval_join(left, right, "order_id", "rt", "detail_time", lower, upper, hot_rows)
-    return joined.select(*ORDER_WIDE_COLUMNS)
+    return joined.select(*ORDER_WIDE_COLUMNS, *keep)
 
 
 def payment_wide(

@@ -91,10 +91,11 @@ def with_product(
 
 
 def order_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_user(plain_order_wide(spark, sf_dir), spark, sf_dir)
-    return with_product(
-        with_province(rows, spark, sf_dir), spark, sf_dir, counted=details(spark, sf_dir)
-    )
+    """Users join the orders, which are fewer and narrower than wide rows; provinces come after the last shuffle."""
+    known = with_user(orders(spark, sf_dir), spark, sf_dir)
+    rows = wide.order_wide(known, details(spark, sf_dir), keep=("user_age", "user_gender"))
+    rows = with_product(rows, spark, sf_dir, counted=details(spark, sf_dir))
+    return with_province(rows, spark, sf_dir)
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
