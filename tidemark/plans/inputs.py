@@ -206,8 +206,8 @@ def comment_info(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def order_detail_facts(lineitem: DataFrame) -> DataFrame:
-    """Details with the times and values of the facts they give, from one pass over the table.
+def order_detail_facts(lineitem: DataFrame, *keep: str) -> DataFrame:
+    """Details with the times and values of the facts they give, and columns to ``keep``, from one pass over the table.
 
     The same values as ``order_detail``, ``order_refund_info`` and ``comment_info``; times in milliseconds.
     """
@@ -222,6 +222,7 @@ def order_detail_facts(lineitem: DataFrame) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", (second + 3600) * 1000).alias("refund_ms"),
         F.when(F.col("l_returnflag") == "A", (second + 7200) * 1000).alias("comment_ms"),
         F.when(F.col("l_linestatus") == "F", "1201").otherwise("1203").alias("appraise"),
+        *keep,
     )
 
 

@@ -131,11 +131,15 @@ def product_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paid_details(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every detail with the times of its order and payment; null where there is none."""
-    detail = inputs.order_detail_facts(lines)
+    """Every detail with the times of its order and payment; null where there is none.
+
+    Times and values are computed after the join, so that only the columns they come from are shuffled.
+    """
+    lines = lines.withColumn("order_id", F.col("l_orderkey"))
     ordered = orders(spark, sf_dir).select(F.col("id").alias("order_id"), text_to_millis("create_time").alias("order_ms"))
     paid = payments(spark, sf_dir).select("order_id", text_to_millis("create_time").alias("paid_ms"))
-    return detail.join(ordered.join(paid, "order_id", "left"), "order_id", "left")
+    joined = lines.join(ordered.join(paid, "order_id", "left"), "order_id", "left")
+    return inputs.order_detail_facts(joined, "order_ms", "paid_ms")
 
 
 def _order_fact_array() -> Column:
