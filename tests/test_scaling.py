@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from test_logs_visits import random_pages
 from test_streams import closing, in_order, real, trade
 
-from tidemark.operators import logs, skew, visits, wide
-from tidemark.plans import inputs, replay
+from tidemark.operators import keywords, logs, skew, visits, wide
+from tidemark.plans import catalog, inputs, replay, warehouse
 from tidemark.streaming import jobs, processors
 
 PARTITIONS = "spark.sql.shuffle.partitions"
@@ -67,6 +67,43 @@ def test_small_tasks_only_within(spark):
         spark.conf.set(skew.TASK_SETTING, held)
 
 
+def test_small_tasks_ask_for_partitions_by_size(spark):
+    held = spark.conf.get(skew.PARTITIONS_SETTING)
+    with skew.small_tasks(spark, 1 << 20, (int(held) + 3) << 20):
+        assert spark.conf.get(skew.PARTITIONS_SETTING) == str(int(held) + 3)
+        assert spark.conf.get(skew.TASK_SETTING) == f"{1 << 20}b"
+        with skew.small_tasks(spark, 1 << 20, 1 << 20):
+            assert spark.conf.get(skew.PARTITIONS_SETTING) == str(int(held) + 3)
+    with skew.small_tasks(spark, 1, 1 << 60):
+        assert spark.conf.get(skew.PARTITIONS_SETTING) == str(skew.MOST_PARTITIONS)
+    assert spark.conf.get(skew.PARTITIONS_SETTING) == held
+
+
+@pytest.mark.parametrize("name", ["sql_keyword_dictionary", "sql_keyword_split"])
+def test_words_of_a_lateral_join_are_made_in_small_tasks(spark, scratch, monkeypatch, name):
+    folder = scratch("tables")
+    turns = [(i, 0, "user", f"red shoes {i}" if i % 3 else f"tea, tea {i % 2}") for i in range(40)]
+    turns += [(1, 1, "user", "?!"), (1, 2, "user", "?!"), (1, 3, "user", None), (1, 4, "assistant", "red")]
+    turns = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    turns.coalesce(1).write.parquet(f"{folder}/conversations.parquet")
+    benchmark = spark.createDataFrame([(0, "red ed shoes tea")], "item_id bigint, text string")
+    benchmark.write.parquet(f"{folder}/benchmark.parquet")
+    monkeypatch.setattr(warehouse, "WORD_TASK_BYTES", 64)
+    coalescing = "spark.sql.adaptive.coalescePartitions.enabled"
+    held, parts = spark.conf.get(coalescing), int(spark.conf.get(skew.PARTITIONS_SETTING))
+    spark.conf.set(coalescing, "false")
+    try:
+        found = catalog.QUERIES[name](spark, folder)
+        assert len(found.inputFiles()) > parts
+    finally:
+        spark.conf.set(coalescing, held)
+    runs = (inputs.LETTER_RUNS, inputs.DIGIT_RUNS) if name == "sql_keyword_dictionary" else ()
+    searches = keywords.search_keywords(inputs.search_pages(turns))
+    wanted = keywords.split_keywords(searches, "keyword", inputs.dictionary(benchmark), *runs).select("ts", "word")
+    assert found.columns == wanted.columns and rows_of(found) == rows_of(wanted)
+    assert sorted(r.word for r in found.where("word = '?!'").collect()) == ["?!", "?!"]
+
+
 def test_columns_joined_to_orders_before_their_details(spark):
     orders, details, _ = trade(spark, 5)
     found = wide.order_wide(orders.withColumn("user_age", F.col("id") + 20), details, keep=("user_age",))

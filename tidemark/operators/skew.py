@@ -15,6 +15,9 @@ BROADCAST_ROWS = 100_000
 # Shuffled bytes of a task within ``small_tasks``; in memory, rows and aggregates are many times larger.
 TASK_BYTES = 8 << 20
 TASK_SETTING = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+PARTITIONS_SETTING = "spark.sql.shuffle.partitions"
+# The most partitions that ``small_tasks`` asks for: each costs every task before the shuffle one block.
+MOST_PARTITIONS = 10_000
 
 
 def estimated_bytes(rows: DataFrame) -> int:
@@ -23,15 +26,23 @@ def estimated_bytes(rows: DataFrame) -> int:
 
 
 @contextmanager
-def small_tasks(spark: SparkSession) -> Iterator[None]:
-    """Jobs run within it get tasks of at most about ``TASK_BYTES`` shuffled bytes, if the shuffle has enough partitions."""
-    held = spark.conf.get(TASK_SETTING)
-    if _bytes(held) > TASK_BYTES:
-        spark.conf.set(TASK_SETTING, f"{TASK_BYTES}b")
+def small_tasks(spark: SparkSession, task_bytes: int = TASK_BYTES, shuffled: int = 0) -> Iterator[None]:
+    """Jobs run within it get tasks of at most about ``task_bytes`` shuffled bytes, if the shuffle has enough partitions.
+
+    ``shuffled`` is about what a shuffle will hold; shuffles get as many partitions as that asks for, if these are
+    more than the session has. Adaptive execution puts together what turns out smaller.
+    """
+    held = {TASK_SETTING: spark.conf.get(TASK_SETTING), PARTITIONS_SETTING: spark.conf.get(PARTITIONS_SETTING)}
+    if _bytes(held[TASK_SETTING]) > task_bytes:
+        spark.conf.set(TASK_SETTING, f"{task_bytes}b")
+    asked = min(-(-shuffled // task_bytes), MOST_PARTITIONS)
+    if int(held[PARTITIONS_SETTING]) < asked:
+        spark.conf.set(PARTITIONS_SETTING, str(asked))
     try:
         yield
     finally:
-        spark.conf.set(TASK_SETTING, held)
+        for setting, value in held.items():
+            spark.conf.set(setting, value)
 
 
 def _bytes(text: str) -> int:

@@ -329,19 +329,19 @@ def sql_keyword_split(spark, sf_dir):
     found = keywords.search_keywords(inputs.search_pages(inputs.table(spark, sf_dir, "conversations")))
     found.createOrReplaceTempView("searched_keywords")
     keywords.register_split_function(spark, inputs.dictionary(inputs.table(spark, sf_dir, "benchmark")))
-    return spark.sql(
-        "SELECT ts, word FROM searched_keywords, LATERAL split_keyword(keyword)"
-    )
+    words = spark.sql("SELECT ts, word FROM searched_keywords, LATERAL split_keyword(keyword)")
+    return warehouse.stored_words(words, found)
 
 
 def sql_keyword_dictionary(spark, sf_dir):
     """The SQL table function with runs of letters looked up in the dictionary."""
     found = keywords.search_keywords(inputs.search_pages(inputs.table(spark, sf_dir, "conversations")))
     found.createOrReplaceTempView("searched_keywords")
-    words = inputs.dictionary(inputs.table(spark, sf_dir, "benchmark"))
+    dictionary = inputs.dictionary(inputs.table(spark, sf_dir, "benchmark"))
     name = "split_by_dictionary"
-    keywords.register_split_function(spark, words, name, inputs.LETTER_RUNS, inputs.DIGIT_RUNS)
-    return spark.sql(f"SELECT ts, word FROM searched_keywords, LATERAL {name}(keyword)")
+    keywords.register_split_function(spark, dictionary, name, inputs.LETTER_RUNS, inputs.DIGIT_RUNS)
+    words = spark.sql(f"SELECT ts, word FROM searched_keywords, LATERAL {name}(keyword)")
+    return warehouse.stored_words(words, found)
 
 
 # Records and names

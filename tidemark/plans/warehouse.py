@@ -19,6 +19,9 @@ BOUNCE_CHUNK_MS = 24 * 3_600_000
 # A stream pays per chunk and visitor, and visitors here have few pages a day. A bounce leaves at its gap,
 # however long the chunk is.
 STREAM_CHUNK_MS = 10 * BOUNCE_CHUNK_MS
+# Shuffled bytes of a task that splits keywords, and about how many times the searches' bytes a shuffle of them holds.
+WORD_TASK_BYTES = 1 << 20
+WORDS_PER_TEXT = 4
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +188,19 @@ def stored_by_day(stats_rows: DataFrame, label: str) -> DataFrame:
     return tables.read_versions(spark, path).drop("batch_id")
 
 
+def stored_words(words: DataFrame, searches: DataFrame) -> DataFrame:
+    """The words of a lateral join with ``searches``, written once in small tasks and read back.
+
+    Spark joins the words of a keyword to its searches by the keyword, so every word is shuffled and sorted beside
+    the whole text it is from: a task sorts many times the bytes it read.
+    """
+    spark = words.sparkSession
+    path = scratch_path(spark, "words")
+    with skew.small_tasks(spark, WORD_TASK_BYTES, WORDS_PER_TEXT * skew.estimated_bytes(searches)):
+        words.write.parquet(path)
+    return spark.read.schema(words.schema).parquet(path)
+
+
 def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_by_day(sales_stats(spark, sf_dir), "sales")
 
