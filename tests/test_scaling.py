@@ -54,6 +54,12 @@ def test_all_visitors_in_one_group(spark, pages, stream_of, scratch, kind):
     assert rows_of(real(spark.read.parquet(path)).drop("batch_id")) == rows_of(wanted)
 
 
+def test_the_size_of_a_join_is_that_of_its_tables(spark):
+    rows = spark.range(1000)
+    many = rows.join(rows.withColumnRenamed("id", "other"), F.expr("id % 7 = other % 5"))
+    assert skew.read_bytes(many) == 2 * skew.read_bytes(rows) < skew.estimated_bytes(many)
+
+
 def test_small_tasks_only_within(spark):
     held = spark.conf.get(skew.TASK_SETTING)
     with skew.small_tasks(spark):

@@ -14,6 +14,8 @@ HOT_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000
 # Shuffled bytes of a task within ``small_tasks``; in memory, rows and aggregates are many times larger.
 TASK_BYTES = 8 << 20
+# Spark's estimate where it knows nothing.
+UNKNOWN_BYTES = (1 << 63) - 1
 TASK_SETTING = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 PARTITIONS_SETTING = "spark.sql.shuffle.partitions"
 # The most partitions that ``small_tasks`` asks for: each costs every task before the shuffle one block.
@@ -25,6 +27,16 @@ def estimated_bytes(rows: DataFrame) -> int:
     return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def read_bytes(rows: DataFrame) -> int:
+    """Spark's size estimate of the tables that are read, without those it knows nothing about.
+
+    That of a join may be the product of its sides.
+    """
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(size for size in sizes if size < UNKNOWN_BYTES)
+
+
 @contextmanager
 def small_tasks(spark: SparkSession, task_bytes: int = TASK_BYTES, shuffled: int = 0) -> Iterator[None]:
     """Jobs run within it get tasks of at most about ``task_bytes`` shuffled bytes, if the shuffle has enough partitions.

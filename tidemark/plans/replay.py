@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from tidemark.operators.skew import estimated_bytes
+from tidemark.operators.skew import estimated_bytes, read_bytes
 from tidemark.plans import inputs
 from tidemark.session import scratch_path
 from tidemark.sources.tables import BatchWriter, batch_writer
@@ -99,7 +99,7 @@ class Replay:
         """One state partition per core, or as many more as the size of the sources asks for."""
         context = self.spark.sparkContext
         least = min(int(self.spark.conf.get(jobs.SHUFFLE_PARTITIONS)), context.defaultParallelism)
-        size = sum(estimated_bytes(rows) for _, rows, _ in self.sources)
+        size = sum(min(estimated_bytes(rows), read_bytes(rows)) for _, rows, _ in self.sources)
         return max(least, -(-size // STATE_BYTES))
 
     def run(self) -> None:
