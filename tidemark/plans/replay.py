@@ -20,6 +20,7 @@ from tidemark.plans import inputs
 from tidemark.session import scratch_path
 from tidemark.sources.tables import BatchWriter, batch_writer
 from tidemark.streaming import jobs
+from tidemark.streaming.pending import PendingJoin, Side, both_sides
 
 PARTS = 3
 # Bytes of the sources, by Spark's estimate, for each state partition.
@@ -43,8 +44,10 @@ def text_part(column: str = "create_time") -> Column:
 
 
 class Replay:
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
+    """``changelog`` says how the jobs store their state (see ``processors.use_rocksdb``)."""
+
+    def __init__(self, spark: SparkSession, changelog: bool = True) -> None:
+        self.spark, self.changelog = spark, changelog
         self.sources: list[tuple[str, DataFrame, Column]] = []
         self.jobs: list[tuple[DataFrame, BatchWriter, str, str]] = []
         self.rounds = set(range(PARTS))
@@ -89,11 +92,42 @@ class Replay:
 
     def chained(self, stream: DataFrame, label: str) -> DataFrame:
         """A job's output as the stream the next job reads, the way it would read a topic."""
-        path = scratch_path(self.spark, label)
-        schema = StructType(list(stream.schema.fields)).add("batch_id", IntegerType())
-        self.spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch_id=-1")
+        path, found = self._topic(stream.schema, label)
         self.jobs.append((stream, batch_writer(path), scratch_path(self.spark, f"{label}-checkpoint"), "append"))
-        return self.spark.readStream.schema(schema).parquet(path).drop("batch_id")
+        return found
+
+    def joined(
+        self,
+        left: DataFrame,
+        right: DataFrame,
+        sides: tuple[Side, Side],
+        join: Callable[[DataFrame, DataFrame], DataFrame],
+        label: str,
+    ) -> DataFrame:
+        """The pairs of two streams as the stream the next job reads."""
+        empty = (self.spark.createDataFrame([], side.schema) for side in (left, right))
+        path, found = self._topic(join(*empty).schema, label)
+        self.pairs(left, right, sides, join, label, batch_writer(path))
+        return found
+
+    def pairs(
+        self,
+        left: DataFrame,
+        right: DataFrame,
+        sides: tuple[Side, Side],
+        join: Callable[[DataFrame, DataFrame], DataFrame],
+        label: str,
+        write: BatchWriter,
+    ) -> None:
+        """A job that gives the pairs of two streams to ``write`` (see ``PendingJoin``)."""
+        pending = PendingJoin(scratch_path(self.spark, f"{label}-pending"), *sides, join)
+        self.job(both_sides(left, right), label, write=pending.writer(write))
+
+    def _topic(self, schema: StructType, label: str) -> tuple[str, DataFrame]:
+        path = scratch_path(self.spark, label)
+        stored = StructType(list(schema.fields)).add("batch_id", IntegerType())
+        self.spark.createDataFrame([], schema).write.parquet(f"{path}/batch_id=-1")
+        return path, self.spark.readStream.schema(stored).parquet(path).drop("batch_id")
 
     def state_partitions(self) -> int:
         """One state partition per core, or as many more as the size of the sources asks for."""
@@ -106,19 +140,26 @@ class Replay:
         partitions = self.state_partitions()
         for arrival in sorted(self.rounds):
             for path, rows, part in self.sources:
-                rows.where(part == arrival).drop("arrival").write.mode("append").parquet(path)
+                # Every job has read the part before: it goes.
+                rows.where(part == arrival).drop("arrival").write.mode("overwrite").parquet(path)
             for hook in self.hooks:
                 hook(arrival)
             for stream, write, checkpoint, mode in self.jobs:
-                jobs.run_available(stream, write, checkpoint, mode, partitions)
+                jobs.run_available(stream, write, checkpoint, mode, partitions, self.changelog)
 
     def read(self, path: str) -> DataFrame:
         return self.spark.read.parquet(path).drop("batch_id")
 
 
-def run_one(spark: SparkSession, build: Callable[[Replay], DataFrame], label: str, mode: str = "append") -> DataFrame:
+def run_one(
+    spark: SparkSession,
+    build: Callable[[Replay], DataFrame],
+    label: str,
+    mode: str = "append",
+    changelog: bool = True,
+) -> DataFrame:
     """Run a chain whose last job writes what ``build`` returns, and read that."""
-    replay = Replay(spark)
+    replay = Replay(spark, changelog)
     path = replay.job(build(replay), label, mode)
     replay.run()
     return replay.read(path)

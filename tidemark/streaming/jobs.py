@@ -16,15 +16,21 @@ SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def run_available(
-    stream: DataFrame, write: BatchWriter, checkpoint: str, mode: str = "append", partitions: int | None = None
+    stream: DataFrame,
+    write: BatchWriter,
+    checkpoint: str,
+    mode: str = "append",
+    partitions: int | None = None,
+    changelog: bool = True,
 ) -> None:
     """Process all input there is, then stop. An error in the stream is raised here.
 
     ``partitions`` is the number of state partitions, by default that of the session's shuffles. Every
-    one is committed in every micro-batch. A checkpoint keeps the number it began with.
+    one is committed in every micro-batch. A checkpoint keeps the number it began with. For ``changelog``
+    see ``use_rocksdb``.
     """
     spark = stream.sparkSession
-    use_rocksdb(spark)
+    use_rocksdb(spark, changelog)
     held = spark.conf.get(SHUFFLE_PARTITIONS)
     # A stream works on a copy of the settings that it makes at its start.
     spark.conf.set(SHUFFLE_PARTITIONS, str(partitions or held))
