@@ -1,5 +1,6 @@
 """What keeps the cost of streams, tasks and shuffles in proportion to the input."""
 
+import glob
 import os
 
 import pytest
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 from test_logs_visits import random_pages
 from test_streams import closing, in_order, real, trade
 
-from tidemark.operators import keywords, logs, skew, visits, wide
+from tidemark.operators import facts, keywords, logs, skew, stats, visits, wide
 from tidemark.plans import catalog, inputs, replay, warehouse
+from tidemark.sources.tables import batch_writer
 from tidemark.streaming import jobs, processors
 
 PARTITIONS = "spark.sql.shuffle.partitions"
@@ -126,3 +128,26 @@ def test_detail_facts_after_a_join_keep_its_columns(spark):
     found = inputs.order_detail_facts(lines.withColumn("order_ms", F.col("l_orderkey")), "order_ms")
     assert rows_of(found.drop("order_ms")) == rows_of(inputs.order_detail_facts(lines))
     assert sorted(r.order_ms or 0 for r in found.collect()) == [0, 7]
+
+
+def test_state_as_it_is_held_not_every_change(spark, stream_of, scratch):
+    held = spark.range(100).select(F.timestamp_seconds("id").alias("rt"), F.col("id").alias("id"), F.lit(1).alias("vc"))
+    counts = stats.sensor_totals(stream_of(held, held), "10 seconds", "1 seconds")
+    for changelog in (True, False):
+        checkpoint = scratch("checkpoint")
+        jobs.run_available(counts, batch_writer(scratch("found")), checkpoint, partitions=2, changelog=changelog)
+        assert bool(glob.glob(f"{checkpoint}/state/0/*/*.changelog")) == changelog
+
+
+def test_one_row_per_order_for_all_kinds_of_fact(spark):
+    schema = "fact string, sku_id bigint, order_id bigint, ts bigint"
+    made = [("order", 1, 7), ("payment", 1, 7), ("refund", 1, 7), ("order", 1, 7), ("order", 1, 8), ("refund", 1, None)]
+    made += [("click", 1, None), ("order", 2, None), ("payment", None, 7)]
+    rows = spark.createDataFrame([(*row, 1000) for row in made], schema)
+    amounts = [F.lit(1).cast("decimal(18,2)").alias(name) for name in facts.PRODUCT_AMOUNTS]
+    rows = rows.select("*", *[F.lit(1).cast("bigint").alias(name) for name in facts.PRODUCT_COUNTERS], *amounts)
+    found = stats.product_stats(rows.withColumn("rt", F.timestamp_millis("ts")))
+    got = {r.sku_id: (r.order_ct, r.paid_order_ct, r.refund_order_ct, r.click_ct) for r in found.collect()}
+    assert got == {1: (2, 1, 1, 7), 2: (0, 0, 0, 1), None: (0, 1, 0, 1)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("fact#" not in line.split("], [")[0] for line in plan.splitlines() if "Aggregate" in line)

@@ -63,19 +63,20 @@ def visitor_stats(facts: DataFrame, window: str = "10 seconds", watermark: str =
 def product_stats(facts: DataFrame, window: str = "10 seconds", watermark: str = "2 seconds") -> DataFrame:
     """Counters, amounts and distinct orders per sku.
 
-    Facts are first reduced to one row per window, sku, kind of fact and order; distinct orders
-    are then a count of those rows. Both steps reduce before their shuffle, a best-selling sku is
-    spread over its orders in the first one, and no step holds a set of order ids.
+    Facts are first reduced to one row per window, sku and order, marked by the kinds of fact it has;
+    distinct orders are then a count of those marks. Both steps reduce before their shuffle, a best-selling
+    sku is spread over its orders in the first one, and no step holds a set of order ids.
     """
     measures = [*PRODUCT_COUNTERS, *PRODUCT_AMOUNTS]
+    marks = [F.max(F.when(F.col("fact") == kind, 1)).alias(f"has_{kind}") for kind in ("order", "payment", "refund")]
     per_order = (
         _watermarked(facts, watermark)
-        .groupBy(F.window("rt", window).alias("window"), "sku_id", "fact", "order_id")
-        .agg(*[F.sum(name).alias(name) for name in measures], F.min("ts").alias("ts"))
+        .groupBy(F.window("rt", window).alias("window"), "sku_id", "order_id")
+        .agg(*[F.sum(name).alias(name) for name in measures], *marks, F.min("ts").alias("ts"))
     )
 
     def orders(kind: str):
-        return F.count(F.when(F.col("fact") == kind, F.col("order_id")))
+        return F.count(F.when(F.col(f"has_{kind}") == 1, F.col("order_id")))
 
     return (
         per_order.groupBy("window", "sku_id")
