@@ -38,9 +38,10 @@ class PendingJoin:
 
     A micro-batch joins its rows to each other and to those of earlier ones that may still find a partner, which
     wait in a table at ``path``. The watermark is that of Spark's join of two streams: the least of the sides'
-    latest times less their delays, as of the micro-batch before. Rows that are not later are dropped; a row waits
-    as long as one in its reach would not be. Every micro-batch has its own version of the table and the marks, so
-    one that is repeated gives the same rows.
+    latest times less their delays, as of the micro-batch before. Rows that are not later are dropped, as there,
+    where it may take one more micro-batch until they are; a row waits as long as one in its reach would not be
+    dropped. Every micro-batch has its own version of the table and the marks, so one that is repeated gives the
+    same rows.
 
     Spark's join puts every row into a state store and takes it out again. Here a micro-batch is shuffled as a
     whole, only rows at its end are stored, and adaptive execution splits a key with very many rows.
